@@ -17,8 +17,7 @@ def base(path: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """Path without its last component; ``/`` for a file at the root."""
-    cut = F.length(path) - F.length(base(path)) - 1
-    return F.when(cut > 0, F.substring(path, F.lit(1), cut)).otherwise(F.lit("/"))
+    return F.regexp_replace(path, r"(?!\A)/[^/]*\z|(?<=\A/)[^/]+\z", "")
 
 
 def depth(directory: Column) -> Column:

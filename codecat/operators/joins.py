@@ -44,7 +44,7 @@ def fits_broadcast(df: DataFrame) -> bool:
             width = width + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
         elif kind.startswith(("array", "map", "struct")):
             width = width + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
-    size = df.select(F.sum(width.cast("long")).alias("size")).first()["size"]
+    size = df.select(F.sum(width.cast("long")).alias("size")).collect()[0]["size"]
     return (size or 0) <= limit
 
 
@@ -87,10 +87,15 @@ def sized_join(
     on: str | list[str],
     spread: str,
     how: str = "inner",
+    small: bool | None = None,
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Equi-join: map-side when ``right`` is measured small, else salted."""
-    if fits_broadcast(right):
+    """Equi-join: map-side when ``right`` is small, else salted.
+
+    ``small`` is the outcome of a measure that bounds ``right``; by default
+    ``right`` itself is measured.
+    """
+    if fits_broadcast(right) if small is None else small:
         return left.join(F.broadcast(right), on, how)
     return salted_join(left, right, on, spread, how, rows_per_task)
 
@@ -99,6 +104,7 @@ def containing(
     files: DataFrame,
     owners: DataFrame,
     first: Column | None = None,
+    small: bool | None = None,
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Pair each file with every owner directory above it.
@@ -109,10 +115,11 @@ def containing(
     on ancestors. With few owners each file expands its own ancestors and meets
     them map-side. Otherwise only distinct directories expand, so the shuffle
     grows with directories times depth, and files join the owned directories.
+    ``small`` is as in :func:`sized_join`.
     """
     first = F.lit(1) if first is None else first
     above = F.explode(ancestors(F.col("dir"), first)).alias("owner")
-    if fits_broadcast(owners):
+    if fits_broadcast(owners) if small is None else small:
         return files.select("*", above).join(F.broadcast(owners), "owner")
     folders = files.select("dir").distinct().select("dir", above)
     owned = salted_join(folders, owners, "owner", "dir", "inner", rows_per_task)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, depth, eligible_npm_root, npm_root, parent
 from ..schema import Scope
-from .joins import containing, sized_join
+from .joins import containing, fits_broadcast, sized_join
 
 
 def _below_roots(facts: DataFrame, kind: str, scope: Scope) -> DataFrame:
@@ -22,13 +22,14 @@ def npm_roots(files: DataFrame, scope: Scope = Scope()) -> DataFrame:
     return roots.where(eligible_npm_root(F.col("root"), scope.homes, scope.excluded))
 
 
-def _topmost(facts: DataFrame, scope: Scope) -> DataFrame:
-    """Manifests that no other manifest lies above, valid or not.
-
-    Directories below a hidden one are not searched.
-    """
+def _manifests(facts: DataFrame, scope: Scope) -> DataFrame:
+    """Manifests in directories that are searched: no hidden one below the root."""
     inside = F.substring(F.col("dir"), F.length("root") + 1, F.length("dir"))
-    manifests = _below_roots(facts, "manifest", scope).where(~inside.contains("/."))
+    return _below_roots(facts, "manifest", scope).where(~inside.contains("/."))
+
+
+def _topmost(manifests: DataFrame, small: bool) -> DataFrame:
+    """Manifests that no other manifest lies above, valid or not."""
     folders = manifests.select("dir", "root")
     proper = ancestors(F.col("dir"), depth(F.col("root")), depth(F.col("dir")) - 1)
     shadowed = sized_join(
@@ -37,19 +38,16 @@ def _topmost(facts: DataFrame, scope: Scope) -> DataFrame:
         "above",
         "dir",
         "left_semi",
+        small,
     )
     # One row per directory on both sides, so neither can be skewed.
     return manifests.join(shadowed.select("dir").distinct(), "dir", "left_anti")
 
 
-def npm_packages(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
-    """``(root, dir, manifest, name, version)`` of the topmost valid packages.
-
-    ``manifest`` is the path of the manifest without the root.
-    """
+def _packages(manifests: DataFrame, small: bool) -> DataFrame:
     relative = F.replace(F.col("path"), F.col("root"), F.lit(""))
-    valid = _topmost(facts, scope).where(F.col("name").isNotNull() & F.col("version").isNotNull())
-    return valid.select(
+    valid = F.col("name").isNotNull() & F.col("version").isNotNull()
+    return _topmost(manifests, small).where(valid).select(
         "root",
         parent(F.concat("root", relative)).alias("dir"),
         relative.alias("manifest"),
@@ -58,9 +56,19 @@ def npm_packages(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
     )
 
 
+def npm_packages(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """``(root, dir, manifest, name, version)`` of the topmost valid packages.
+
+    ``manifest`` is the path of the manifest without the root.
+    """
+    manifests = _manifests(facts, scope)
+    return _packages(manifests, fits_broadcast(manifests))
+
+
 def npm_rejects(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
     """Topmost manifests without a usable name and version."""
-    bad = _topmost(facts, scope).where(F.col("name").isNull() | F.col("version").isNull())
+    manifests = _manifests(facts, scope)
+    bad = _topmost(manifests, fits_broadcast(manifests)).where(F.col("name").isNull() | F.col("version").isNull())
     return bad.select(
         "path", F.lit("javascript").alias("stage"), F.lit("bad manifest").alias("reason")
     )
@@ -72,10 +80,13 @@ def npm_modules(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
     The name is the path below the root. Nested ``node_modules`` and hidden
     directories inside a package are included.
     """
-    owners = npm_packages(facts, scope).select(
+    manifests = _manifests(facts, scope)
+    small = fits_broadcast(manifests)  # bounds the packages as well
+    owners = _packages(manifests, small).select(
         F.col("dir").alias("owner"), F.col("name").alias("package"), "version"
     )
     sources = _below_roots(facts, "js", scope).select("path", "dir", "root")
-    owned = containing(sources, owners, first=depth(npm_root(F.concat("dir", F.lit("/")))))
+    root_depth = depth(npm_root(F.concat("dir", F.lit("/"))))
+    owned = containing(sources, owners, root_depth, small)
     name = F.substring(F.col("path"), F.length("root") + 2, F.length("path"))
     return owned.select("root", "package", "version", name.alias("name"), "path")

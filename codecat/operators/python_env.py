@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, depth, parent, prefixes_ending, under
 from ..schema import Scope
-from .joins import sized_join
+from .joins import salted_join, sized_join
 
 SITE_PACKAGES = "site-packages"
 
@@ -55,8 +55,9 @@ def python_modules(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
         .select("dir", F.explode(prefixes_ending(F.col("dir"), SITE_PACKAGES)).alias("site_packages"))
         .distinct()
     )
-    owned = sized_join(packages, site_packages(facts, scope), "site_packages", "dir")
-    found = sized_join(modules, owned, "dir", "path")
+    # Both right sides grow with the corpus, so neither is measured up front.
+    owned = salted_join(packages, site_packages(facts, scope), "site_packages", "dir")
+    found = salted_join(modules, owned, "dir", "path")
     return found.select("venv", "site_packages", _module_name().alias("name"), "path")
 
 

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import io
 import posixpath
+import sys
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Executors need no copy of this package: what runs in tasks is sent along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EXPANDED = "archive string, path string, content binary, reason string"
 
 _SCHEMA = pa.schema(

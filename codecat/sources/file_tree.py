@@ -8,14 +8,19 @@ mounted on all executors.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Executors need no copy of this package: what runs in tasks is sent along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _SCHEMA = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 #: Bytes that a task gathers before it hands a batch on.
 BATCH_BYTES = 32 << 20

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+# Executors need no copy of this package: what runs in tasks is sent along.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROOT = "/home/dev"
 #: Directory below which source archives are extracted.
@@ -108,13 +112,13 @@ def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
             "concat('1.', p_partkey % 4) AS version",
         )
         .selectExpr(
-            """concat('/home/dev/.m2/', if(k % 9 = 0, 'repo/', 'repository/'),
+            """explode(array(concat('/home/dev/.m2/', if(k % 9 = 0, 'repo/', 'repository/'),
                 CASE k % 5 WHEN 0 THEN 'repository/x/' WHEN 1 THEN 'org/acme/' WHEN 2 THEN ''
                     ELSE concat('com/b', k % 3, '/') END,
                 lib, '/', version, '/', lib, if(k % 8 = 3, '-9', concat('-', version)),
                 CASE k % 6 WHEN 0 THEN '-sources.jar' WHEN 1 THEN '-javadoc.jar'
                     WHEN 2 THEN '-tests-sources.jar' WHEN 3 THEN '.jar' WHEN 4 THEN '.pom'
-                    ELSE '-sources.jar.sha1' END) AS path"""
+                    ELSE '-sources.jar.sha1' END))) AS path"""
         )
         .distinct()
     )
@@ -123,9 +127,9 @@ def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jvm_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path)`` of files of installed JDKs, one per customer, twenty to a machine."""
     return table(spark, sf_dir, "customer").selectExpr(
-        """concat('/hosts/h', c_custkey - c_custkey % 20, '/usr/lib/jvm/java-',
+        """explode(array(concat('/hosts/h', c_custkey - c_custkey % 20, '/usr/lib/jvm/java-',
             8 + c_custkey % 11, '-openjdk-', if(c_custkey % 2 = 0, 'amd64', 'arm64'),
-            '/lib/', if(c_custkey % 3 = 0, 'modules', 'src.zip')) AS path"""
+            '/lib/', if(c_custkey % 3 = 0, 'modules', 'src.zip')))) AS path"""
     ).distinct()
 
 

@@ -132,10 +132,10 @@ _NAME_LC = f"translate(name, '{_UPPER}', '{_LOWER}')"
 _ARTIFACTS = f"""
 WITH src AS (SELECT path, string_split(path, '/') AS parts FROM ({ARTIFACTS})
              WHERE ends_with(path, '-sources.jar') OR ends_with(path, '-javadoc.jar')),
-at AS (SELECT *, list_max(list_filter(range(1, len(parts) - 2), lambda i: parts[i] = 'repository')) AS i FROM src),
-bad AS (SELECT path FROM at WHERE i IS NULL),
+at1 AS (SELECT *, list_max(list_filter(range(1, len(parts) - 2), lambda i: parts[i] = 'repository')) AS i FROM src),
+bad AS (SELECT path FROM at1 WHERE i IS NULL),
 c AS (SELECT path, array_to_string(parts[i + 1:-4], '.') AS group_id, parts[-3] AS artifact_id, parts[-2] AS version,
-        regexp_replace(parts[-1], '\\.[^.]*$', '') AS stem FROM at WHERE i IS NOT NULL),
+        regexp_replace(parts[-1], '\\.[^.]*$', '') AS stem FROM at1 WHERE i IS NOT NULL),
 d AS (SELECT path, group_id, artifact_id, version,
         CASE WHEN starts_with(stem, artifact_id || '-' || version || '-')
              THEN substr(stem, length(artifact_id || '-' || version || '-') + 1) ELSE '' END AS classifier FROM c),
