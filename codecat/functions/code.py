@@ -1,12 +1,15 @@
 """Extraction of declarations from file contents.
 
-Each function is one or two regular expressions over the whole content, so a
-file is never exploded to lines on the way to its declarations. Patterns use
-the ``d`` flag: only a line feed ends a line.
+All are built-in expressions over the whole content, so a file is not exploded
+to rows on the way to its declarations. Only a line feed ends a line, hence the
+``d`` flag where a pattern looks for line starts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,41 +23,50 @@ TRIMMED = (
 )
 #: Marks that make a line a comment when they are its first word.
 COMMENT_MARK = r"(?://|/\*|\*/|\*)"
-#: A type declaration and a package clause.
-TYPE_NAME = r"(?:class|interface|record|enum){blank}+([a-zA-Z0-9_$]+)"
+#: Words that start a type declaration.
+TYPE_WORDS = ("class", "interface", "record", "enum")
+#: Fixed value: a package clause.
 PACKAGE_CLAUSE = rf"package{BLANK}+([a-zA-Z0-9_.]+);"
 #: Fixed value: a note that is removed from a line before it is read.
 PACKAGE_NOTE = "/* package */"
 
-_IN_LINE_TRIM = "[" + TRIMMED.replace("\n", "") + "]"
 _IN_LINE_BLANK = BLANK.replace(r"\n", "")
-_COMMENT_LINE = rf"^{_IN_LINE_TRIM}*{COMMENT_MARK}(?={BLANK}|\z)[^\n]*"
+_COMMENT_LINE = rf"\A[{TRIMMED}]*{COMMENT_MARK}(?:{BLANK}|\z)"
+# The look-ahead spares most positions the alternatives.
+_TYPE_NAME = (
+    f"(?=[{''.join(word[0] for word in TYPE_WORDS)}])(?:{'|'.join(TYPE_WORDS)})"
+    rf"{_IN_LINE_BLANK}+([a-zA-Z0-9_$]+)"
+)
 
 
-def _without_notes(content: Column) -> Column:
-    return F.replace(content, F.lit(PACKAGE_NOTE), F.lit(""))
+def _lines(content: Column) -> Column:
+    return F.split(F.replace(content, F.lit(PACKAGE_NOTE), F.lit("")), "\n", -1)
 
 
 def java_lines(content: Column) -> Column:
     """Array of lines, trimmed and without package notes."""
-    lines = F.split(_without_notes(content), "\n", -1)
-    return F.transform(lines, lambda line: F.btrim(line, F.lit(TRIMMED)))
+    return F.transform(_lines(content), lambda line: F.btrim(line, F.lit(TRIMMED)))
 
 
 def is_comment_line(line: Column) -> Column:
-    """The first word of a trimmed line is exactly a comment mark."""
-    return line.rlike(rf"^{COMMENT_MARK}(?:{BLANK}|\z)")
+    """The first word of a line is exactly a comment mark."""
+    return line.rlike(_COMMENT_LINE)
 
 
 def java_types(content: Column) -> Column:
     """Array of the distinct names declared outside comment lines.
 
-    Comment lines are an alternative of the pattern, so they are consumed
-    whole and yield an empty name, which is dropped.
+    A plain substring test leaves few lines for the regular expressions. They
+    are joined again, and as the pattern does not cross a line feed, one
+    extraction finds all names.
     """
-    pattern = rf"(?md){_COMMENT_LINE}|{TYPE_NAME.format(blank=_IN_LINE_BLANK)}"
-    found = F.regexp_extract_all(_without_notes(content), F.lit(pattern), 1)
-    return F.array_distinct(F.filter(found, lambda name: name != ""))
+
+    def candidate(line: Column) -> Column:
+        has_word = reduce(or_, [line.contains(word) for word in TYPE_WORDS])
+        return has_word & ~is_comment_line(line)
+
+    code = F.array_join(F.filter(_lines(content), candidate), "\n")
+    return F.array_distinct(F.regexp_extract_all(code, F.lit(_TYPE_NAME), 1))
 
 
 def jdk_package(path: Column, fix: bool = False) -> Column:
@@ -70,9 +82,16 @@ def jdk_package(path: Column, fix: bool = False) -> Column:
     return F.regexp_replace(kept, r"\A\.|\.\z", "")
 
 
-def java_package(path: Column, content: Column, jdk_fix: bool = False) -> Column:
-    """Package of a Java file; null when none is declared."""
-    declared = F.regexp_extract(content, PACKAGE_CLAUSE, 1)
+def declared_package(content: Column) -> Column:
+    """Name in the first package clause; empty when there is none."""
+    return F.regexp_extract(content, PACKAGE_CLAUSE, 1)
+
+
+def java_package(path: Column, declared: Column, jdk_fix: bool = False) -> Column:
+    """Package of a Java file: from the path for JDK sources, else as declared.
+
+    Null when none is declared.
+    """
     return F.when(path.contains("/jdk/"), jdk_package(path, jdk_fix)).when(declared != "", declared)
 
 
@@ -87,20 +106,20 @@ def java_name(package: Column, top: Column, declared: Column) -> Column:
     return F.when(declared == top, F.concat_ws(".", package, top)).otherwise(inner)
 
 
-def go_module(content: Column) -> Column:
-    """Module name of a ``go.mod``; null when there is none."""
+def declared_module(content: Column) -> Column:
+    """Module name as written in a ``go.mod``; empty when there is none."""
     word = BLANK.replace("[", "[^", 1)
-    found = F.regexp_extract(content, rf"(?md)^module{BLANK}+({word}+)", 1)
-    return F.when(found != "", F.btrim(found, F.lit('"')))
+    return F.regexp_extract(content, rf"(?md)^module{BLANK}+({word}+)", 1)
 
 
-def npm_manifest(content: Column) -> Column:
-    """Struct ``(name, version)`` of a manifest.
+def go_module(declared: Column) -> Column:
+    """Module name without quotes; null when none is declared."""
+    return F.when(declared != "", F.btrim(declared, F.lit('"')))
 
-    A field is null unless the content starts with a valid JSON object in
-    which that field is a JSON string.
-    """
-    parsed = F.from_json(
+
+def parsed_manifest(content: Column) -> Column:
+    """Struct of the fields of a manifest that are read, with their JSON types."""
+    return F.from_json(
         content,
         "name VARIANT, version VARIANT, _bad STRING",
         {
@@ -110,9 +129,13 @@ def npm_manifest(content: Column) -> Column:
         },
     )
 
-    def text(field: str) -> Column:
-        value = parsed[field]
-        usable = parsed["_bad"].isNull() & (F.schema_of_variant(value) == "STRING")
-        return F.when(usable, F.try_variant_get(value, "$", "string"))
 
-    return F.struct(text("name").alias("name"), text("version").alias("version"))
+def manifest_text(parsed: Column, field: str) -> Column:
+    """A field of a parsed manifest.
+
+    Null unless the content starts with a valid JSON object in which the field
+    is a JSON string.
+    """
+    value = parsed[field]
+    usable = parsed["_bad"].isNull() & (F.schema_of_variant(value) == "STRING")
+    return F.when(usable, F.try_variant_get(value, "$", "string"))

@@ -68,19 +68,27 @@ def digest(
     files: DataFrame, scope: Scope = Scope(), kinds: Collection[str] | None = None
 ) -> DataFrame:
     """Reduce ``files(path, content)`` to facts. Lazy; unused facts are pruned."""
-    path, content = F.col("path"), F.col("content")
-    kind = file_kind(path, scope)
-    manifest = F.when(kind == "manifest", code.npm_manifest(content))
-    facts = files.select(
-        path,
+    path, content, kind = F.col("path"), F.col("content"), F.col("kind")
+    known = files.select("path", "content", file_kind(path, scope).alias("kind"))
+    known = known.where(kind.isNotNull() if kinds is None else kind.isin(*kinds))
+    # Raw values are a projection of their own, so that each is computed once.
+    raw = known.select(
+        "path",
         paths.parent(path).alias("dir"),
-        kind.alias("kind"),
-        F.when(kind == "java", code.java_package(path, content, scope.jdk_fix)).alias("package"),
+        "kind",
+        F.when(kind == "java", code.declared_package(content)).alias("package"),
         F.when(kind == "java", code.java_types(content)).alias("types"),
-        manifest["name"].alias("name"),
-        manifest["version"].alias("version"),
-        F.when(kind == "gomod", code.go_module(content)).alias("module"),
+        F.when(kind == "manifest", code.parsed_manifest(content)).alias("manifest"),
+        F.when(kind == "gomod", code.declared_module(content)).alias("module"),
+    )
+    package = code.java_package(path, F.col("package"), scope.jdk_fix)
+    return raw.select(
+        "path",
+        "dir",
+        "kind",
+        F.when(kind == "java", package).alias("package"),
+        "types",
+        code.manifest_text(F.col("manifest"), "name").alias("name"),
+        code.manifest_text(F.col("manifest"), "version").alias("version"),
+        code.go_module(F.col("module")).alias("module"),
     )
-    if kinds is None:
-        return facts.where(F.col("kind").isNotNull())
-    return facts.where(F.col("kind").isin(*kinds))
