@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code, paths
 from ..schema import Scope
+from .joins import fitting_groups
 
 #: Marker files by kind.
 MARKERS = {
@@ -92,3 +93,13 @@ def digest(
         code.manifest_text(F.col("manifest"), "version").alias("version"),
         code.go_module(F.col("module")).alias("module"),
     )
+
+
+def small_markers(facts: DataFrame) -> set[str]:
+    """Kinds of marker files that are few enough to broadcast, by one measure.
+
+    This bounds all that is derived from them one to one: environments,
+    packages and modules.
+    """
+    columns = ["path", "dir", "kind", "name", "version", "module"]
+    return fitting_groups(facts.select(*columns), "kind", list(MARKERS.values()))

@@ -30,11 +30,17 @@ def go_rejects(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
 
 
 def go_files(
-    facts: DataFrame, scope: Scope = Scope(), modules: DataFrame | None = None
+    facts: DataFrame,
+    scope: Scope = Scope(),
+    modules: DataFrame | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
-    """``(name, path)``: each Go file once per enclosing module."""
+    """``(name, path)``: each Go file once per enclosing module.
+
+    ``small`` tells that the modules were measured to fit a broadcast.
+    """
     modules = go_modules(facts, scope) if modules is None else modules
     sources = _in_scope(facts, "go", scope).select("path", "dir")
-    owned = containing(sources, modules.withColumnRenamed("mod_dir", "owner"))
+    owned = containing(sources, modules.withColumnRenamed("mod_dir", "owner"), small=small)
     below = F.substring(F.col("path"), F.length("owner") + 1, F.length("path"))
     return owned.select(F.concat("module", below).alias("name"), "path")

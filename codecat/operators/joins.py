@@ -8,6 +8,7 @@ construction (:data:`HOT_KEYS`).
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(number) << _UNITS[unit]
 
 
+def _row_size(df: DataFrame) -> Column:
+    """Estimate of the bytes of a row: texts as they are, and a share per field."""
+    size = F.lit(16 * (len(df.columns) + 1))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return size.cast("long")
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Measure ``df`` and compare it with the broadcast threshold.
 
@@ -38,16 +50,19 @@ def fits_broadcast(df: DataFrame) -> bool:
     limit = broadcast_limit(df.sparkSession)
     if limit <= 0:
         return False
-    width = F.lit(16 * (len(df.columns) + 1))
-    for name, kind in df.dtypes:
-        if kind in ("string", "binary"):
-            width = width + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
-        elif kind.startswith(("array", "map", "struct")):
-            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
-    size = df.select(F.sum(width.cast("long")).alias("size")).collect()[0]["size"]
+    size = df.select(F.sum(_row_size(df)).alias("size")).collect()[0]["size"]
     return (size or 0) <= limit
 
 
+def fitting_groups(df: DataFrame, key: str, groups: Collection[str]) -> set[str]:
+    """Those of a few groups of ``df`` that would each fit a broadcast; one aggregation."""
+    limit = broadcast_limit(df.sparkSession)
+    if limit <= 0:
+        return set()
+    rows = df.where(F.col(key).isin(*groups)).groupBy(key).agg(F.sum(_row_size(df)).alias("size"))
+    return set(groups) - {row[key] for row in rows.collect() if row["size"] > limit}
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

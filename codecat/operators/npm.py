@@ -56,32 +56,41 @@ def _packages(manifests: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def npm_packages(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
+def npm_packages(
+    facts: DataFrame, scope: Scope = Scope(), small: bool | None = None
+) -> DataFrame:
     """``(root, dir, manifest, name, version)`` of the topmost valid packages.
 
-    ``manifest`` is the path of the manifest without the root.
+    ``manifest`` is the path of the manifest without the root. ``small`` tells
+    that the manifests were measured to fit a broadcast.
     """
     manifests = _manifests(facts, scope)
-    return _packages(manifests, fits_broadcast(manifests))
+    return _packages(manifests, fits_broadcast(manifests) if small is None else small)
 
 
-def npm_rejects(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
+def npm_rejects(
+    facts: DataFrame, scope: Scope = Scope(), small: bool | None = None
+) -> DataFrame:
     """Topmost manifests without a usable name and version."""
     manifests = _manifests(facts, scope)
-    bad = _topmost(manifests, fits_broadcast(manifests)).where(F.col("name").isNull() | F.col("version").isNull())
+    small = fits_broadcast(manifests) if small is None else small
+    bad = _topmost(manifests, small).where(F.col("name").isNull() | F.col("version").isNull())
     return bad.select(
         "path", F.lit("javascript").alias("stage"), F.lit("bad manifest").alias("reason")
     )
 
 
-def npm_modules(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
+def npm_modules(
+    facts: DataFrame, scope: Scope = Scope(), small: bool | None = None
+) -> DataFrame:
     """``(root, package, version, name, path)`` of every source of a package.
 
     The name is the path below the root. Nested ``node_modules`` and hidden
     directories inside a package are included.
     """
     manifests = _manifests(facts, scope)
-    small = fits_broadcast(manifests)  # bounds the packages as well
+    # A bound of the manifests is one of the packages.
+    small = fits_broadcast(manifests) if small is None else small
     owners = _packages(manifests, small).select(
         F.col("dir").alias("owner"), F.col("name").alias("package"), "version"
     )

@@ -28,11 +28,14 @@ def virtual_envs(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
     return found.select(F.col("dir").alias("venv")).distinct()
 
 
-def site_packages(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
+def site_packages(
+    facts: DataFrame, scope: Scope = Scope(), small: bool | None = None
+) -> DataFrame:
     """``(venv, site_packages)``: the last package directory of each environment.
 
     A ``site-packages`` inside another one, as seen from the environment, does
     not count. "Last" is by comparison of path components, not of strings.
+    ``small`` tells that the environments were measured to fit a broadcast.
     """
     sites = (
         _below_site_packages(facts)
@@ -41,13 +44,15 @@ def site_packages(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
     )
     above = ancestors(F.col("site"), _outer_depth(F.col("site")) + 1)
     candidates = sites.select("site", F.explode(above).alias("venv"))
-    owned = sized_join(candidates, virtual_envs(facts, scope), "venv", "site")
+    owned = sized_join(candidates, virtual_envs(facts, scope), "venv", "site", small=small)
     return owned.groupBy("venv").agg(
         F.max_by("site", F.split("site", "/")).alias("site_packages")
     )
 
 
-def python_modules(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
+def python_modules(
+    facts: DataFrame, scope: Scope = Scope(), small: bool | None = None
+) -> DataFrame:
     """``(venv, site_packages, name, path)``: files beside an ``__init__.py``."""
     modules = _below_site_packages(facts.where(F.col("kind") == "python")).select("path", "dir")
     packages = (
@@ -56,7 +61,7 @@ def python_modules(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
         .distinct()
     )
     # Both right sides grow with the corpus, so neither is measured up front.
-    owned = salted_join(packages, site_packages(facts, scope), "site_packages", "dir")
+    owned = salted_join(packages, site_packages(facts, scope, small), "site_packages", "dir")
     found = salted_join(modules, owned, "dir", "path")
     return found.select("venv", "site_packages", _module_name().alias("name"), "path")
 
@@ -69,10 +74,12 @@ def _module_name() -> Column:
     return F.replace(name, F.lit("/"), F.lit("."))
 
 
-def python_rejects(facts: DataFrame, scope: Scope = Scope()) -> DataFrame:
+def python_rejects(
+    facts: DataFrame, scope: Scope = Scope(), small: bool | None = None
+) -> DataFrame:
     """Environments without a package directory."""
     # One row per environment on both sides, so neither can be skewed.
-    bare = virtual_envs(facts, scope).join(site_packages(facts, scope), "venv", "left_anti")
+    bare = virtual_envs(facts, scope).join(site_packages(facts, scope, small), "venv", "left_anti")
     marker = F.concat(F.rtrim(F.col("venv"), F.lit("/")), F.lit("/pyvenv.cfg"))
     return bare.select(
         marker.alias("path"),

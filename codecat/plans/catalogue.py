@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import lower_ascii
-from ..operators.digest import KINDS, digest
+from ..operators.digest import KINDS, digest, small_markers
 from ..operators.gomod import go_files, go_rejects
 from ..operators.java import java_rejects, java_symbols
 from ..operators.joins import fits_broadcast
@@ -21,17 +21,22 @@ from ..sources.scratch import drop_scratch, scratch_dir, staged
 
 
 def documents_of(
-    facts: DataFrame, languages: Collection[str] | None = None, scope: Scope = Scope()
+    facts: DataFrame,
+    languages: Collection[str] | None = None,
+    scope: Scope = Scope(),
+    small: Collection[str] | None = None,
 ) -> DataFrame:
     """Distinct ``(language, name, path)`` of a digest.
 
     Languages are matched case-sensitively; an unknown one adds nothing.
+    ``small`` is the outcome of :func:`small_markers`, if known.
     """
+    small = small_markers(facts) if small is None else small
     producers = {
         "java": lambda: java_symbols(facts),
-        "python": lambda: python_modules(facts, scope),
-        "javascript": lambda: npm_modules(facts, scope),
-        "go": lambda: go_files(facts, scope),
+        "python": lambda: python_modules(facts, scope, "venv" in small),
+        "javascript": lambda: npm_modules(facts, scope, "manifest" in small),
+        "go": lambda: go_files(facts, scope, small="gomod" in small),
     }
     parts = [
         produce().select(F.lit(language).alias("language"), "name", "path")
@@ -44,13 +49,17 @@ def documents_of(
 
 
 def rejects_of(
-    facts: DataFrame, languages: Collection[str] | None = None, scope: Scope = Scope()
+    facts: DataFrame,
+    languages: Collection[str] | None = None,
+    scope: Scope = Scope(),
+    small: Collection[str] | None = None,
 ) -> DataFrame:
     """``(path, stage, reason)`` of the inputs that yield nothing."""
+    small = small_markers(facts) if small is None else small
     producers = {
         "java": lambda: java_rejects(facts),
-        "python": lambda: python_rejects(facts, scope),
-        "javascript": lambda: npm_rejects(facts, scope),
+        "python": lambda: python_rejects(facts, scope, "venv" in small),
+        "javascript": lambda: npm_rejects(facts, scope, "manifest" in small),
         "go": lambda: go_rejects(facts, scope),
     }
     parts = [
@@ -85,7 +94,8 @@ def build_catalogue(
     facts = digest(files, scope, _kinds(languages))
     if stage:
         facts = staged(facts, "digest", "kind")
-    return documents_of(facts, languages, scope), rejects_of(facts, languages, scope)
+    small = small_markers(facts)
+    return documents_of(facts, languages, scope, small), rejects_of(facts, languages, scope, small)
 
 
 def open_catalogue(spark: SparkSession, table: str) -> DataFrame:

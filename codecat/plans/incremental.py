@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import npm_root
+from ..operators.digest import small_markers
 from ..operators.gomod import go_files, go_modules
 from ..operators.java import java_symbols
 from ..operators.joins import containing, sized_join
@@ -21,12 +22,13 @@ from ..operators.python_env import python_modules, virtual_envs
 from ..schema import Scope
 
 
-def _python_units(facts: DataFrame, fresh: DataFrame, scope: Scope) -> DataFrame:
+def _python_units(facts: DataFrame, fresh: DataFrame, scope: Scope, small: bool) -> DataFrame:
     """Facts below the environments that have a fresh file below them."""
     kinds = F.col("kind").isin("python", "venv") | F.col("path").contains("/site-packages/")
     envs = virtual_envs(facts, scope).withColumnRenamed("venv", "owner")
-    touched = containing(fresh.where(kinds).select("path", "dir"), envs).select("owner").distinct()
-    below = containing(facts.where(kinds), touched)
+    touched = containing(fresh.where(kinds).select("path", "dir"), envs, small=small)
+    touched = touched.select("owner").distinct()
+    below = containing(facts.where(kinds), touched, small=small)
     return below.select(*facts.columns).dropDuplicates(["path"])
 
 
@@ -44,12 +46,14 @@ def affected_documents(facts: DataFrame, fresh: DataFrame, scope: Scope = Scope(
 
     ``facts`` is the digest of the whole corpus so far, ``fresh`` its new part.
     """
+    small = small_markers(facts)
+    envs, manifests, modules = (kind in small for kind in ("venv", "manifest", "gomod"))
     parts = {
         "java": java_symbols(fresh),
-        "python": python_modules(_python_units(facts, fresh, scope), scope),
-        "javascript": npm_modules(_npm_units(facts, fresh), scope),
-        "go": go_files(fresh, scope, go_modules(facts, scope)).unionByName(
-            go_files(facts, scope, go_modules(fresh, scope))
+        "python": python_modules(_python_units(facts, fresh, scope, envs), scope, envs),
+        "javascript": npm_modules(_npm_units(facts, fresh), scope, manifests),
+        "go": go_files(fresh, scope, go_modules(facts, scope), modules).unionByName(
+            go_files(facts, scope, go_modules(fresh, scope), modules)
         ),
     }
     named = [df.select(F.lit(lang).alias("language"), "name", "path") for lang, df in parts.items()]

@@ -41,7 +41,7 @@ def _flag(value: str | None, default: bool) -> bool:
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options):
         self.root = options["path"].rstrip("/") or "/"
         self.content = _flag(options.get("content"), True)
         self.skip_hidden = _flag(options.get("skipHidden"), False)
@@ -133,7 +133,7 @@ class FileTree(DataSource):
         return "path string, length bigint, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(dict(self.options))
+        return _TreeReader(self.options)
 
 
 def register(spark: SparkSession) -> None:
