@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import npm_root
@@ -19,25 +19,40 @@ from ..operators.java import java_symbols
 from ..operators.joins import containing, sized_join
 from ..operators.npm import npm_modules
 from ..operators.python_env import python_modules, virtual_envs
-from ..schema import Scope
+from ..schema import CATALOGUE, Scope
+
+
+def _is_python(kind: Column, path: Column) -> Column:
+    return kind.isin("python", "venv") | path.contains("/site-packages/")
+
+
+#: Which facts each language reads.
+_READS = {
+    "java": lambda kind, path: kind == "java",
+    "python": _is_python,
+    "javascript": lambda kind, path: kind.isin("manifest", "js"),
+    "go": lambda kind, path: kind.isin("gomod", "go"),
+}
+
+
+def _read_by(facts: DataFrame, language: str) -> DataFrame:
+    return facts.where(_READS[language](F.col("kind"), F.col("path")))
 
 
 def _python_units(facts: DataFrame, fresh: DataFrame, scope: Scope, small: bool) -> DataFrame:
     """Facts below the environments that have a fresh file below them."""
-    kinds = F.col("kind").isin("python", "venv") | F.col("path").contains("/site-packages/")
     envs = virtual_envs(facts, scope).withColumnRenamed("venv", "owner")
-    touched = containing(fresh.where(kinds).select("path", "dir"), envs, small=small)
+    touched = containing(_read_by(fresh, "python").select("path", "dir"), envs, small=small)
     touched = touched.select("owner").distinct()
-    below = containing(facts.where(kinds), touched, small=small)
+    below = containing(_read_by(facts, "python"), touched, small=small)
     return below.select(*facts.columns).dropDuplicates(["path"])
 
 
 def _npm_units(facts: DataFrame, fresh: DataFrame) -> DataFrame:
     """Facts below the npm roots that have a fresh file."""
-    kinds = F.col("kind").isin("manifest", "js")
     root = npm_root(F.col("path")).alias("root")
-    touched = fresh.where(kinds).select(root).where(F.col("root").isNotNull()).distinct()
-    rooted = facts.where(kinds).select("*", root).where(F.col("root").isNotNull())
+    touched = _read_by(fresh, "javascript").select(root).where(F.col("root").isNotNull()).distinct()
+    rooted = _read_by(facts, "javascript").select("*", root).where(F.col("root").isNotNull())
     return sized_join(rooted, touched, "root", "path", "left_semi").select(*facts.columns)
 
 
@@ -45,16 +60,28 @@ def affected_documents(facts: DataFrame, fresh: DataFrame, scope: Scope = Scope(
     """Distinct documents of the units that ``fresh`` touches.
 
     ``facts`` is the digest of the whole corpus so far, ``fresh`` its new part.
+    A language that reads no fresh file is left out.
     """
     small = small_markers(facts)
     envs, manifests, modules = (kind in small for kind in ("venv", "manifest", "gomod"))
-    parts = {
-        "java": java_symbols(fresh),
-        "python": python_modules(_python_units(facts, fresh, scope, envs), scope, envs),
-        "javascript": npm_modules(_npm_units(facts, fresh), scope, manifests),
-        "go": go_files(fresh, scope, go_modules(facts, scope), modules).unionByName(
+    producers = {
+        "java": lambda: java_symbols(fresh),
+        "python": lambda: python_modules(_python_units(facts, fresh, scope, envs), scope, envs),
+        "javascript": lambda: npm_modules(_npm_units(facts, fresh), scope, manifests),
+        "go": lambda: go_files(fresh, scope, go_modules(facts, scope), modules).unionByName(
             go_files(facts, scope, go_modules(fresh, scope), modules)
         ),
     }
-    named = [df.select(F.lit(lang).alias("language"), "name", "path") for lang, df in parts.items()]
-    return reduce(DataFrame.unionByName, named).distinct()
+    read = [
+        F.max(test(F.col("kind"), F.col("path"))).alias(language)
+        for language, test in _READS.items()
+    ]
+    touched = fresh.agg(*read).collect()[0]
+    parts = [
+        produce().select(F.lit(language).alias("language"), "name", "path")
+        for language, produce in producers.items()
+        if touched[language]
+    ]
+    if not parts:
+        return facts.sparkSession.createDataFrame([], CATALOGUE)
+    return reduce(DataFrame.unionByName, parts).distinct()

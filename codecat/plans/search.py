@@ -81,31 +81,34 @@ def search_batch(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
         F.when(known.isin(*LANGUAGE_CODES), known).otherwise("").alias("asked"),
     )
     patterns = asked.select("pattern", "asked").distinct()
-    pieces = patterns.select(
-        "pattern", "asked", F.explode(F.array_distinct(_query_grams(F.col("pattern")))).alias("gram")
-    )
+    grams = F.explode(F.array_distinct(_query_grams(F.col("pattern")))).alias("gram")
+    pieces = staged(patterns.select("pattern", "asked", grams), "pieces")
     # At most GRAM + 1 sizes.
     sizes = [row[0] for row in pieces.select(F.length("gram")).distinct().collect()]
     keyed = catalogue.select(*CATALOGUE_KEY, _name_lc(catalogue).alias("_name_lc"))
     of_name = F.explode(_grams(F.col("_name_lc"), sizes or [GRAM])).alias("gram")
+    used = pieces.select("gram").distinct()
+    few = fits_broadcast(used)
     counts = (
-        sized_join(keyed.select("path", of_name), pieces.select("gram").distinct(), "gram", "path", "left_semi")
+        sized_join(keyed.select("path", of_name), used, "gram", "path", "left_semi", few)
         .groupBy("gram")
         .agg(F.count(F.lit(1)).alias("names"))
     )
     # A piece that no name has leaves its pattern without a match.
     rarest = F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram"))
     chosen = staged(
-        sized_join(pieces, counts, "gram", "pattern", "left")
+        sized_join(pieces, counts, "gram", "pattern", "left", few)
         .groupBy("pattern", "asked")
         .agg(rarest.alias("gram")),
         "patterns",
     )
+    small = fits_broadcast(chosen)
     candidates = keyed.select("*", of_name)
-    if not fits_broadcast(chosen):
-        used = chosen.select("gram").distinct()
-        candidates = sized_join(candidates, used, "gram", "path", "left_semi")
-    met = sized_join(candidates, chosen, "gram", "path").where(
+    if not small:
+        # Drop the pieces that no pattern took before the shuffle, if those are few.
+        taken = chosen.select("gram").distinct()
+        candidates = sized_join(candidates, taken, "gram", "path", "left_semi", few)
+    met = sized_join(candidates, chosen, "gram", "path", small=small).where(
         F.col("asked").isin("", F.col("language"))
         & F.like(F.col("_name_lc"), escape_like(F.col("pattern")))
     )

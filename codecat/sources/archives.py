@@ -14,6 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import fits_broadcast
+
 # Executors need no copy of this package: what runs in tasks is sent along.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,10 +35,10 @@ BATCH_BYTES = 32 << 20
 MAX_ENTRY_BYTES = (1 << 31) - (1 << 20)
 
 
-def _entries(archive: str, out_dir: str, data: bytes) -> Iterator[tuple]:
+def _entries(archive: str, out_dir: str, source: str | io.BytesIO) -> Iterator[tuple]:
     """Rows of one archive; one with a reason and no content per refused entry."""
     try:
-        opened = zipfile.ZipFile(io.BytesIO(data))
+        opened = zipfile.ZipFile(source)
     except (zipfile.BadZipFile, ValueError, OSError) as error:
         yield archive, None, None, f"bad archive: {type(error).__name__}"
         return
@@ -68,11 +70,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``path, out_dir`` and, unless the path is to be opened, ``content``."""
     rows, held = [], 0
     for batch in batches:
         for i in range(batch.num_rows):
-            archive, out_dir, data = (batch.column(c)[i].as_py() for c in range(3))
-            for row in _entries(archive, out_dir, data):
+            archive, out_dir, *data = (column[i].as_py() for column in batch.columns)
+            for row in _entries(archive, out_dir, io.BytesIO(data[0]) if data else archive):
                 rows.append(row)
                 held += len(row[2] or b"") + 64
                 if held >= BATCH_BYTES:
@@ -82,21 +85,38 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows)
 
 
+def _placed(wanted: DataFrame, root: str) -> DataFrame:
+    out_dir = F.concat(F.lit(root.rstrip("/") + "/"), F.col("out_dir"))
+    return wanted.select("path", out_dir.alias("out_dir")).distinct()
+
+
 def expand_archives(archives: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
     """``(archive, path, content, reason)``: one row per archive entry.
 
     ``archives(path, content)`` are read where ``wanted(path, out_dir)`` names
     them, and an entry goes to ``<root>/<out_dir>/<entry>``. Refused entries and
     archives have a reason and no content. Each archive is one row, at most
-    2 GB, and is opened in the task that reads it.
+    2 GB. Contents are shuffled only when ``wanted`` is too large to broadcast;
+    where executors see the archives as files, :func:`expand_mounted` never
+    moves them.
     """
-    placed = wanted.select(
-        "path", F.concat(F.lit(root.rstrip("/") + "/"), F.col("out_dir")).alias("out_dir")
-    ).distinct()
+    placed = _placed(wanted, root)
+    if fits_broadcast(placed):
+        placed = F.broadcast(placed)
     chosen = archives.join(placed, "path").select("path", "out_dir", "content")
     return chosen.mapInArrow(_expand, EXPANDED)
 
 
+def expand_mounted(wanted: DataFrame, root: str) -> DataFrame:
+    """As :func:`expand_archives`, for archives on a file system that all executors mount.
+
+    Only paths are shuffled. Each task opens its archives in place and reads
+    one entry at a time, so an archive may be larger than a row.
+    """
+    placed = _placed(wanted, root).repartition("path")
+    return placed.select("path", "out_dir").mapInArrow(_expand, EXPANDED)
+
+
 def expanded_files(expanded: DataFrame) -> DataFrame:
     """``files(path, content)`` of the accepted entries; bad bytes become U+FFFD."""
     text = F.make_valid_utf8(F.col("content").cast("string"))

@@ -139,23 +139,39 @@ _ARCHIVE_PATH = """CASE WHEN d % 50 = 0
         '/lib', i, '-1.', p, '-sources.jar') END"""
 
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pack each document: two files, a directory and an entry that leaves its directory."""
+def _packed(row: dict) -> bytes:
+    """A document as two files, a directory and an entry that leaves its directory."""
+    data = row["text"].encode()
+    if row["d"] % 23 == 0:
+        return data
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        out.writestr("META-INF/", "")
+        out.writestr(f"org/acme{row['m']}/Doc{row['d']}.java", data)
+        out.writestr(f"a/b/c/d/{row['d']}.txt", data + data)
+        out.writestr(f"../evil{row['d']}.txt", data)
+    return packed.getvalue()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, held = [], 0
     for batch in batches:
         for row in batch.to_pylist():
-            data = row["text"].encode()
-            if row["d"] % 23:
-                packed = io.BytesIO()
-                with zipfile.ZipFile(packed, "w") as out:
-                    out.writestr("META-INF/", "")
-                    out.writestr(f"org/acme{row['m']}/Doc{row['d']}.java", data)
-                    out.writestr(f"a/b/c/d/{row['d']}.txt", data + data)
-                    out.writestr(f"../evil{row['d']}.txt", data)
-                data = packed.getvalue()
-            yield pa.RecordBatch.from_pylist([{"path": row["path"], "content": data}])
+            rows.append({"path": row["path"], "content": _packed(row)})
+            held += len(rows[-1]["content"])
+            if held > 32 << 20:
+                yield pa.RecordBatch.from_pylist(rows)
+                rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows)
+
+
+def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path)`` of :func:`archives`."""
+    return _documents(spark, sf_dir).selectExpr(f"explode(array({_ARCHIVE_PATH})) AS path")
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``archives(path, content)``: one per document; some are no zip files."""
     documents = _documents(spark, sf_dir).selectExpr("d", "m", "text", f"{_ARCHIVE_PATH} AS path")
-    return documents.mapInArrow(_zip, "path string, content binary")
+    return documents.mapInArrow(_pack, "path string, content binary")

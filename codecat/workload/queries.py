@@ -306,7 +306,7 @@ def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expand_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives that hold the documents, expanded; contents are shown by digest."""
     archives = fixture.archives(spark, sf_dir)
-    found = archives.select("path")
+    found = fixture.archive_paths(spark, sf_dir)
     wanted = maven.java_sources(maven.artifacts(found), maven.jdk_archives(found, ["17"]))
     return expand(archives, wanted, fixture.EXTRACTED).select(
         "archive",

@@ -107,6 +107,17 @@ def test_archives_to_symbols(spark):
     assert files.where("path LIKE '%bytes.bin'").first()["content"] == "\ufffd\ufffd"
 
 
+def test_expand_mounted(spark, tmp_path):
+    jar = tmp_path / "lib-1-sources.jar"
+    jar.write_bytes(packed([("A.java", "package q; class A"), ("../B.java", "")]))
+    wanted = [(str(jar), "sources/lib/1"), (str(tmp_path / "gone.jar"), "sources/gone/1")]
+    expanded = archives.expand_mounted(spark.createDataFrame(wanted, "path string, out_dir string"), "/out")
+    assert archives.expanded_files(expanded).collect() == [("/out/sources/lib/1/A.java", "package q; class A")]
+    assert sorted(r["reason"] for r in archives.expansion_rejects(expanded).collect()) == [
+        "bad archive: FileNotFoundError", "entry leaves its directory",
+    ]
+
+
 def test_large_archives_come_in_batches(monkeypatch):
     monkeypatch.setattr(archives, "BATCH_BYTES", 1000)
     data = packed([(f"f{i}", "x" * 300) for i in range(20)])
