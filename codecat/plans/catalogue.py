@@ -141,13 +141,12 @@ def upsert_catalogue(documents: DataFrame, table: str) -> None:
     if stored.isEmpty():
         _write(new, table, "append")
         return
-    path = scratch_dir(spark, "documents")
-    new.write.parquet(path)
-    new = spark.read.schema(CATALOGUE).parquet(path)
+    work = scratch_dir(spark, "upsert")
+    new = staged(new, "new", under=work)
     if fits_broadcast(new):
         stored = stored.join(F.broadcast(new), CATALOGUE_KEY, "left_semi")
     _write(new.join(stored, CATALOGUE_KEY, "left_anti"), table, "append")
-    drop_scratch(spark, path)
+    drop_scratch(spark, work)
 
 
 def index(
@@ -162,16 +161,14 @@ def index(
     ``remove`` drops all languages, also when only some are built.
     """
     spark = files.sparkSession
-    path = scratch_dir(spark, "digest")
-    facts = digest(files, scope, _kinds(languages))
-    facts.write.partitionBy("kind").parquet(path)
-    facts = spark.read.schema(facts.schema).parquet(path)
+    work = scratch_dir(spark, "index")
+    facts = staged(digest(files, scope, _kinds(languages)), "digest", "kind", under=work)
     documents = documents_of(facts, languages, scope)
     if remove:
         reset_catalogue(documents, table)
     else:
         upsert_catalogue(documents, table)
-    drop_scratch(spark, path)
+    drop_scratch(spark, work)
 
 
 def catalogue_counts(catalogue: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from ..operators.joins import containing, sized_join
 from ..operators.npm import npm_modules
 from ..operators.python_env import python_modules, virtual_envs
 from ..schema import CATALOGUE, Scope
+from ..sources.scratch import staged
 
 
 def _is_python(kind: Column, path: Column) -> Column:
@@ -39,35 +40,44 @@ def _read_by(facts: DataFrame, language: str) -> DataFrame:
     return facts.where(_READS[language](F.col("kind"), F.col("path")))
 
 
-def _python_units(facts: DataFrame, fresh: DataFrame, scope: Scope, small: bool) -> DataFrame:
+def _python_units(
+    facts: DataFrame, fresh: DataFrame, scope: Scope, small: bool, work: str
+) -> DataFrame:
     """Facts below the environments that have a fresh file below them."""
     envs = virtual_envs(facts, scope).withColumnRenamed("venv", "owner")
     touched = containing(_read_by(fresh, "python").select("path", "dir"), envs, small=small)
     touched = touched.select("owner").distinct()
     below = containing(_read_by(facts, "python"), touched, small=small)
-    return below.select(*facts.columns).dropDuplicates(["path"])
+    # Read several times over, so computed once.
+    return staged(below.select("path", "dir", "kind").distinct(), "python", under=work)
 
 
-def _npm_units(facts: DataFrame, fresh: DataFrame) -> DataFrame:
+def _npm_units(facts: DataFrame, fresh: DataFrame, work: str) -> DataFrame:
     """Facts below the npm roots that have a fresh file."""
     root = npm_root(F.col("path")).alias("root")
     touched = _read_by(fresh, "javascript").select(root).where(F.col("root").isNotNull()).distinct()
     rooted = _read_by(facts, "javascript").select("*", root).where(F.col("root").isNotNull())
-    return sized_join(rooted, touched, "root", "path", "left_semi").select(*facts.columns)
+    found = sized_join(rooted, touched, "root", "path", "left_semi")
+    return staged(found.select("path", "dir", "kind", "name", "version"), "npm", under=work)
 
 
-def affected_documents(facts: DataFrame, fresh: DataFrame, scope: Scope = Scope()) -> DataFrame:
+def affected_documents(
+    facts: DataFrame, fresh: DataFrame, work: str, scope: Scope = Scope()
+) -> DataFrame:
     """Distinct documents of the units that ``fresh`` touches.
 
     ``facts`` is the digest of the whole corpus so far, ``fresh`` its new part.
-    A language that reads no fresh file is left out.
+    A language that reads no fresh file is left out. Touched units are staged
+    below the folder ``work``, which the result reads.
     """
     small = small_markers(facts)
     envs, manifests, modules = (kind in small for kind in ("venv", "manifest", "gomod"))
     producers = {
         "java": lambda: java_symbols(fresh),
-        "python": lambda: python_modules(_python_units(facts, fresh, scope, envs), scope, envs),
-        "javascript": lambda: npm_modules(_npm_units(facts, fresh), scope, manifests),
+        "python": lambda: python_modules(
+            _python_units(facts, fresh, scope, envs, work), scope, envs
+        ),
+        "javascript": lambda: npm_modules(_npm_units(facts, fresh, work), scope, manifests),
         "go": lambda: go_files(fresh, scope, go_modules(facts, scope), modules).unionByName(
             go_files(facts, scope, go_modules(fresh, scope), modules)
         ),

@@ -31,11 +31,18 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/codecat-{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` once as Parquet and read it back."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, label: str, *partition_by: str, under: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet and read it back.
+
+    The table is a folder of its own, or the folder ``label`` below ``under``.
+    With partition columns, rows are rebalanced first: else each of many tasks
+    would write a small file per partition.
+    """
+    spark = df.sparkSession
+    path = f"{under}/{label}" if under else scratch_dir(spark, label)
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:

@@ -12,6 +12,7 @@ from ..plans.catalogue import upsert_catalogue
 from ..plans.incremental import affected_documents
 from ..schema import FILES, Scope
 from ..sources.corpus import stream_corpus
+from ..sources.scratch import drop_scratch, scratch_dir
 
 
 def reindex(
@@ -21,7 +22,6 @@ def reindex(
     digests: str,
     checkpoint: str,
     scope: Scope = Scope(),
-    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Index what was added to ``corpus`` since the last run, then stop.
 
@@ -35,12 +35,15 @@ def reindex(
     def add(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         own = f"{digests}/batch={batch_id}"
-        digest(batch, scope).write.mode("overwrite").partitionBy("kind").parquet(own)
+        facts = digest(batch, scope).hint("rebalance", "kind")
+        facts.write.mode("overwrite").partitionBy("kind").parquet(own)
         facts = session.read.schema(stored).parquet(digests)
         facts = facts.where(F.col("batch") <= batch_id)
         fresh = facts.where(F.col("batch") == batch_id)
-        documents = affected_documents(facts.drop("batch"), fresh.drop("batch"), scope)
+        work = scratch_dir(session, "batch")
+        documents = affected_documents(facts.drop("batch"), fresh.drop("batch"), work, scope)
         upsert_catalogue(documents, table)
+        drop_scratch(session, work)
 
     return (
         stream_corpus(spark, corpus)
