@@ -29,7 +29,7 @@ def depth(directory: Column) -> Column:
 def prefix(directory: Column, components: Column) -> Column:
     """The first ``components`` components of a directory."""
     head = F.call_function("substring_index", directory, F.lit("/"), components)
-    return F.when(head == "", F.lit("/")).otherwise(head)
+    return F.when(components == 1, F.lit("/")).otherwise(head)
 
 
 def ancestors(directory: Column, first: Column | int = 1, last: Column | None = None) -> Column:
@@ -45,11 +45,11 @@ def ancestors(directory: Column, first: Column | int = 1, last: Column | None =
 
 def prefixes_ending(directory: Column, component: str) -> Column:
     """Array of the prefixes of ``directory`` whose last component is ``component``."""
-    parts = F.split(directory, "/")
-    places = F.filter(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.get(parts, i - 1) == component
+    found = F.transform(
+        F.split(directory, "/"),
+        lambda part, i: F.when(part == component, prefix(directory, i + 1)),
     )
-    return F.transform(places, lambda i: prefix(directory, i))
+    return F.array_compact(found)
 
 
 def ends_with_any(path: Column, suffixes: Sequence[str]) -> Column:
