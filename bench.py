@@ -73,7 +73,9 @@ def main() -> None:
         "lookup_content": lambda: consume(
             find.lookup_content(find.search(catalogue, "f 1"), corpus)
         ),
-        "search_batch": lambda: consume(registered["search_batch"](spark, sf_dir)),
+        "search_batch": lambda: consume(
+            find.search_batch(catalogue, fixture.name_queries(spark, sf_dir))
+        ),
         "expand_archives": lambda: consume(registered["expand_archives"](spark, sf_dir)),
         "maven_artifacts": lambda: consume(registered["maven_artifacts"](spark, sf_dir)),
     }

@@ -133,6 +133,17 @@ def jvm_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``queries(qid, pattern, language)`` for a batch search, one per part."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS qid",
+        """CASE p_partkey % 4 WHEN 0 THEN concat('%Doc', p_partkey, '%Color%')
+            WHEN 1 THEN concat('%F', p_partkey, '.%') WHEN 2 THEN concat('%_kg%m', p_partkey)
+            ELSE concat('org.acme%Doc', p_partkey) END AS pattern""",
+        "CASE p_partkey % 3 WHEN 0 THEN 'Java' WHEN 1 THEN 'go' END AS language",
+    )
+
+
 _ARCHIVE_PATH = """CASE WHEN d % 50 = 0
     THEN concat('/hosts/h', i, '/usr/lib/jvm/java-17-openjdk/lib/src.zip')
     ELSE concat('/home/dev/.m2/repository/org/acme', m, '/lib', i, '/1.', p,

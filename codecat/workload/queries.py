@@ -197,13 +197,7 @@ def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query per part against the stored catalogue."""
     target = scratch_dir(spark, "catalogue")
     store.index(fixture.files(spark, sf_dir), target)
-    asked = fixture.table(spark, sf_dir, "part").selectExpr(
-        "p_partkey AS qid",
-        """CASE p_partkey % 4 WHEN 0 THEN concat('%Doc', p_partkey, '%Color%')
-            WHEN 1 THEN concat('%F', p_partkey, '.%') WHEN 2 THEN concat('%_kg%m', p_partkey)
-            ELSE concat('org.acme%Doc', p_partkey) END AS pattern""",
-        "CASE p_partkey % 3 WHEN 0 THEN 'Java' WHEN 1 THEN 'go' END AS language",
-    )
+    asked = fixture.name_queries(spark, sf_dir)
     return find.search_batch(store.open_catalogue(spark, target), asked)
 
 
