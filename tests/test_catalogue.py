@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from codecat.operators.digest import digest
 from codecat.plans import catalogue as store
