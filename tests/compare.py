@@ -9,7 +9,7 @@ from collections import Counter
 import duckdb
 
 #: DuckDB type names by Spark type name.
-SAME_TYPE = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER"}
+SAME_TYPE = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def duck_rows(sf_dir: str, sql: str) -> tuple[dict[str, str], Counter]:
