@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, sharding
+from . import exact_dedup, mixing, quality_rules, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return cut.select("doc_id", "n_words", "n_removed", digest)
+
+
 def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -39,6 +45,7 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substrings,
         "op2_exact_dedup": exact,
         "op4_sharding": shards,
         "op6_quality_rules": rules,
@@ -46,6 +53,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s FROM w, unnest(range(1, len(ws) - 48)) AS t(i)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM g),
+c AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, i FROM f WHERE least < doc_id), unnest(range(i, i + 50)) AS t(p)),
+k AS (
+  SELECT w.doc_id, count(c.p) AS n_removed, coalesce(string_agg(ws[q], ' ' ORDER BY q) FILTER (c.p IS NULL), '') AS kept
+  FROM w, unnest(range(1, len(ws) + 1)) AS t(q) LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = q GROUP BY w.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
 EXACT_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -83,4 +103,4 @@ FROM c
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL}
+    return {"op1_substring_dedup": SUBSTRING_SQL, "op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL}
