@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, sharding, substring_dedup
+from . import exact_dedup, mixing, quality_rules, secrets, sharding, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,35 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, ("assign", "access", "hex")),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")), with_payload=False)
+
+    def page(name: str) -> Column:
+        return F.expr(f"try_cast(regexp_extract({name}, '^<urn:page:(-?[0-9]+)>$', 1) AS BIGINT)")
+
+    return read.where("gap is null").select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("times")
 
@@ -49,7 +78,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact,
         "op4_sharding": shards,
         "op6_quality_rules": rules,
+        "op7_secret_scans": secret_spans,
         "op8_mixing": mixture,
+        "op10_warc": web_archive,
     }
 
 
@@ -102,5 +133,14 @@ FROM c
 """
 
 
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM g
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_SQL, "op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL}
+    return {"op1_substring_dedup": SUBSTRING_SQL, "op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL, "op10_warc": WARC_SQL}
