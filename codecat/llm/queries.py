@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, secrets, sharding, substring_dedup, warc
+from . import exact_dedup, mixing, ngram_join, quality_rules, secrets, sharding, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_warc(warc.write_warc(table(spark, sf_dir, "pages")), with_payload=False)
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": rules,
         "op7_secret_scans": secret_spans,
         "op8_mixing": mixture,
+        "op9_ngram_join": similar,
         "op10_warc": web_archive,
     }
 
@@ -133,6 +138,21 @@ FROM c
 """
 
 
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s
+  FROM w, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS joint FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * joint >= 90 * (x.n + y.n - joint)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
+
 WARC_SQL = r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
@@ -143,4 +163,4 @@ FROM g
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_SQL, "op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL, "op10_warc": WARC_SQL}
+    return {"op1_substring_dedup": SUBSTRING_SQL, "op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL, "op9_ngram_join": JOIN_SQL, "op10_warc": WARC_SQL}

@@ -69,14 +69,14 @@ def window_entropies(text: str, width: int) -> Iterator[float]:
     logs = [0.0, *(c * math.log2(c) for c in range(1, width + 1))]
     weighted = 0.0  # sum of c * log2(c) over the counts
     for i, new in enumerate(text):
-        c = counts.get(new, 0)
-        counts[new] = c + 1
-        weighted += logs[c + 1] - logs[c] if i >= width or c < width else 0.0
         if i >= width:
             old = text[i - width]
             c = counts[old]
             counts[old] = c - 1
             weighted += logs[c - 1] - logs[c]
+        c = counts.get(new, 0)
+        counts[new] = c + 1
+        weighted += logs[c + 1] - logs[c]
         if i >= width - 1:
             yield math.log2(width) - weighted / width
 

@@ -19,22 +19,23 @@ from .words import mix
 #: Values of ``known``: undecided; its key is shared; decided, only to be handed on.
 OPEN, SHARED, PASSED = 0, 1, 2
 SCHEMA = "key long, owner long, place long, known byte"
+#: With the key of PASSED rows, for those who ask for keys.
+KEYED_SCHEMA = f"{SCHEMA}, own_key long"
 PLACES = "owner long, place long"
 _AT_ONCE = 200_000
 
 
-def batches(key: np.ndarray, owner: np.ndarray, place: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(key), _AT_ONCE):
-        part = slice(a, a + _AT_ONCE)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(key[part].view(np.int64)),
-                pa.array(owner[part]),
-                pa.array(place[part]),
-                pa.array(known[part].astype(np.int8)),
-            ],
-            ["key", "owner", "place", "known"],
-        )
+def batches(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA or KEYED_SCHEMA."""
+    names = ["key", "owner", "place", "known", "own_key"][: len(columns)]
+    for a in range(0, len(columns[0]), _AT_ONCE):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + _AT_ONCE]) for c in columns], names)
+
+
+def _moved(key: np.ndarray, owner: np.ndarray, place: np.ndarray, passed: np.ndarray) -> np.ndarray:
+    """The keys, those of PASSED rows replaced by random ones."""
+    other = mix(key + mix(place.astype(np.uint64)) + mix(owner.view(np.uint64)))
+    return np.where(passed, other, key).view(np.int64)
 
 
 def _runs(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,19 +51,27 @@ def _sorted(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.n
     return key[order], owner[order], place[order]
 
 
-def combined_shared(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Combine a batch for :func:`shared`: of a key with two owners one row stays in the group."""
+def combined_shared(
+    key: np.ndarray, owner: np.ndarray, place: np.ndarray, with_key: bool = False
+) -> Iterator[pa.RecordBatch]:
+    """Combine a batch for :func:`shared`: of a key with two owners one row stays in the group.
+
+    Rows that are equal in all three columns become one.
+    """
     if not len(key):
         return
     key, owner, place = _sorted(key, owner, place)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+    key, owner, place = key[new], owner[new], place[new]
     starts, run = _runs(key, owner)
     ends = np.append(starts[1:], len(key)) - 1
     known = np.where((owner[starts] != owner[ends])[run], PASSED, OPEN)
     first = starts[known[starts] == PASSED]
     known[first] = SHARED
     passed = known == PASSED
-    key = np.where(passed, mix(key + mix(place.astype(np.uint64)) + mix(owner.view(np.uint64))), key)
-    yield from batches(key, owner, place, known)
+    columns = [_moved(key, owner, place, passed), owner, place, known.astype(np.int8)]
+    yield from batches(*columns, *([np.where(passed, key, 0).view(np.int64)] if with_key else []))
 
 
 def combined_later(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -72,8 +81,7 @@ def combined_later(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Ite
     key, owner, place = _sorted(key, owner, place)
     starts, run = _runs(key, owner)
     passed = owner > owner[starts][run]
-    key = np.where(passed, mix(key + mix(place.astype(np.uint64)) + mix(owner.view(np.uint64))), key)
-    yield from batches(key, owner, place, np.where(passed, PASSED, OPEN))
+    yield from batches(_moved(key, owner, place, passed), owner, place, np.where(passed, PASSED, OPEN).astype(np.int8))
 
 
 def _dealt(occurrences: DataFrame) -> DataFrame:
@@ -81,7 +89,10 @@ def _dealt(occurrences: DataFrame) -> DataFrame:
 
 
 def shared(occurrences: DataFrame, with_key: bool = False) -> DataFrame:
-    """``owner, place`` (and ``key``) of the occurrences whose key has two owners or more."""
+    """``owner, place`` of the occurrences whose key has two owners or more.
+
+    ``with_key`` adds ``key``; the occurrences are then rows of KEYED_SCHEMA.
+    """
     schema = f"key long, {PLACES}" if with_key else PLACES
 
     def stream(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +103,8 @@ def shared(occurrences: DataFrame, with_key: bool = False) -> DataFrame:
         for part in parts:
             key, owner, place, known = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             done = known == PASSED
-            out = [(key[done], owner[done], place[done])]
+            own_key = part.column(4).to_numpy(zero_copy_only=False) if with_key else key
+            out = [(own_key[done], owner[done], place[done])]
             key, owner, place, known = key[~done], owner[~done], place[~done], known[~done]
             if len(key):
                 starts, run = _runs(key, owner)
