@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, quality_rules, secrets, sharding, substring_dedup, warc
+from . import exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    held_out = quality_classifier.held_out(F.col("doc_id")).alias("held_out")
+    return quality_classifier.score(docs, chain).select("doc_id", held_out, "score", "predicted")
+
+
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"))
     text = F.coalesce(F.col("record.text"), F.lit("")).cast("binary")
@@ -80,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substrings,
         "op2_exact_dedup": exact,
+        "op3_quality_classifier": classified,
         "op4_sharding": shards,
         "op6_quality_rules": rules,
         "op7_secret_scans": secret_spans,
