@@ -81,11 +81,29 @@ def mix(
     product. A source whose target exceeds its size is taken whole as often as it fits; the rest of
     the target is filled by the hash threshold, to within half a document.
 
+    The tables of sources are stored, so Spark knows their size and joins small ones without moving rows.
+
     Defined results: a null text has size 0 and is taken along for nothing; a null source is a source
     of its own; null ids are told apart by their texts; rows equal in id and text share one hash and
     so one fate; an empty table gives no rows; other columns are not looked at.
     """
-    rows = staged(
+    rows = measured(docs, seed, id_col, text_col, source_col)
+    sources = sources_with_thresholds(rows, share, most, weights)
+    return (
+        rows.alias("r")
+        .join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+        .select("doc_id", "size", "source_size", "target", times().alias("times"), (F.col("size") * times()).alias("taken"))
+    )
+
+
+def times() -> Column:
+    """How often a row with ``hash`` is taken from its source."""
+    return F.col("base") + F.coalesce((F.col("hash") < F.col("threshold")).cast("long"), F.lit(0))
+
+
+def measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The narrow table ``doc_id, source, size, hash`` that all sums are taken from."""
+    return staged(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
@@ -94,6 +112,18 @@ def mix(
         ),
         "mix",
     )
+
+
+def thresholds(
+    docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 11,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """Per source ``source, source_size, target, base, budget, threshold``: rows are taken ``base`` times, and once
+    more if their hash is below the threshold."""
+    return sources_with_thresholds(measured(docs, seed, id_col, text_col, source_col), share, most, weights)
+
+
+def sources_with_thresholds(rows: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
     sources = staged(
         targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
         .withColumn("base", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("long"))
@@ -103,8 +133,8 @@ def mix(
     at = sources.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("used"))
     for level in range(LEVELS):
         inside = rows.select("source", "size", F.shiftright("hash", BITS * (LEVELS - level)).alias("prefix"),
-                             F.shiftright("hash", BITS * (LEVELS - 1 - level)).alias("next"))
-        at = boundary(inside, at)
+                             F.shiftright("hash", BITS * (LEVELS - 1 - level)).alias("next"))
+        at = staged(boundary(inside, at), "mix-boundary")
     threshold = at.select(
         F.col("source"),
         (
@@ -112,13 +142,8 @@ def mix(
             + (F.col("used") + F.col("last") - F.col("budget") < F.col("budget") - F.col("used")).cast("long")
         ).alias("threshold"),
     )
-    sources = sources.alias("s").join(threshold.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left").select("s.*", "t.threshold")
-    times = F.col("base") + F.coalesce((F.col("hash") < F.col("threshold")).cast("long"), F.lit(0))
-    return (
-        rows.alias("r")
-        .join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-        .select("doc_id", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
-    )
+    same = F.col("s.source").eqNullSafe(F.col("t.source"))
+    return staged(sources.alias("s").join(threshold.alias("t"), same, "left").select("s.*", "t.threshold"), "mix-thresholds")
 
 
 def boundary(rows: DataFrame, at: DataFrame) -> DataFrame:
@@ -139,3 +164,16 @@ def boundary(rows: DataFrame, at: DataFrame) -> DataFrame:
         F.min_by(F.struct("budget", "next", "below", "words"), "next").alias("b")
     )
     return first.select("source", "b.budget", F.col("b.next").alias("prefix"), F.col("b.below").alias("used"), F.col("b.words").alias("last"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **options) -> DataFrame:
+    """The rows of ``docs`` as often as :func:`mix` takes them, with all their columns.
+
+    The threshold of a source is applied to the rows as they are read; they do not move.
+    """
+    chosen = thresholds(docs, id_col=id_col, text_col=text_col, seed=seed, **options)
+    source = F.col(options.get("source_col", "source"))
+    rows = docs.select(F.struct("*").alias("_doc"), source.alias("_source"), row_hash(F.col(id_col), F.col(text_col), seed).alias("hash"))
+    joined = rows.alias("r").join(chosen.alias("s"), F.col("r._source").eqNullSafe(F.col("s.source")))
+    copies = F.explode(F.array_repeat(F.lit(0), times().cast("int")))
+    return joined.select("_doc", copies).select("_doc.*")

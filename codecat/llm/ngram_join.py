@@ -265,3 +265,17 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose id is that of their group (:func:`near_duplicates`), with all their columns.
+
+    Rows with a null id, and rows that repeat the id of their group, stay. Only the ids of dropped rows
+    travel, stored once so that Spark knows their size.
+    """
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    dropped = staged(found.where("component_id < doc_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"))
+    return rows.join(dropped, F.col("_id") == F.col("_dropped"), "left_anti").select("_doc.*")

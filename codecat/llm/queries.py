@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, substring_dedup, warc
+from . import exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, segmentation, sharding, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.encode(table(spark, sf_dir, "documents"))
+
+
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact,
         "op3_quality_classifier": classified,
         "op4_sharding": shards,
+        "op5_sentencepiece": segmented,
         "op6_quality_rules": rules,
         "op7_secret_scans": secret_spans,
         "op8_mixing": mixture,

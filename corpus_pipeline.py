@@ -9,18 +9,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from codecat.llm.exact_dedup import drop_exact_duplicates
-from codecat.llm.mixing import mix
+from codecat.llm import exact_dedup, mixing, ngram_join, quality_classifier, segmentation
 from codecat.sources.scratch import staged
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_duplicates(docs)
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the classifier rejects. It is fitted to labelled rows of this stage's input."""
+    chain = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.keep_good(docs, chain)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact dedup", exact_dedup)]
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one of each group of equal texts, the one with the smallest id."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one of each group of similar texts: five-word shingles, a similarity of 0.8 or more."""
+    return ngram_join.drop_near_duplicates(docs, width=5, percent=80)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix does: not at all, once or twice."""
+    return mixing.take(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document; a document that the mix takes twice has the same ones twice."""
+    return segmentation.encode(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding and decoding", tokens),
+]
 
 #: The classifier is trained and the segmentations are sampled: SQL expresses neither.
 ORACLE_SQL = None
