@@ -35,6 +35,9 @@ KINDS = {
     "go": ("gomod", "go"),
 }
 
+#: Those of them whose contents are read.
+READ_KINDS = {"java": ("java",), "python": (), "javascript": ("manifest",), "go": ("gomod",)}
+
 
 def is_go_source(path: Column) -> Column:
     """A Go file that is not a test."""
@@ -66,11 +69,20 @@ def file_kind(path: Column, scope: Scope = Scope()) -> Column:
 
 
 def digest(
-    files: DataFrame, scope: Scope = Scope(), kinds: Collection[str] | None = None
+    files: DataFrame,
+    scope: Scope = Scope(),
+    kinds: Collection[str] | None = None,
+    read: Collection[str] = ("java", "manifest", "gomod"),
 ) -> DataFrame:
-    """Reduce ``files(path, content)`` to facts. Lazy; unused facts are pruned."""
-    path, content, kind = F.col("path"), F.col("content"), F.col("kind")
-    known = files.select("path", "content", file_kind(path, scope).alias("kind"))
+    """Reduce ``files(path, content)`` to facts. Lazy; unused facts are pruned.
+
+    ``kinds`` limits the rows, ``read`` the kinds whose contents count; the facts of
+    others are null, and if no kind is read, contents are not scanned.
+    """
+    path, kind = F.col("path"), F.col("kind")
+    content = F.col("content") if read else F.lit(None).cast("string").alias("content")
+    known = files.select("path", content, file_kind(path, scope).alias("kind"))
+    content = F.col("content")
     known = known.where(kind.isNotNull() if kinds is None else kind.isin(*kinds))
     # Raw values are a projection of their own, so that each is computed once.
     raw = known.select(

@@ -1,8 +1,7 @@
 """Joins that hold up when one key owns a large share of the rows.
 
-Nothing here is broadcast without a bound: either the side was measured
-against Spark's own broadcast threshold, or its row count is limited by
-construction (:data:`HOT_KEYS`).
+Nothing here is broadcast without a bound: a side is measured against Spark's own
+broadcast threshold, or stored first, so that Spark itself knows its size.
 """
 
 from __future__ import annotations
@@ -14,12 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors
+from ..sources.scratch import staged
 
 #: A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 2_000_000
-#: The most keys that are spread. A key beyond the first HOT_KEYS by count
-#: holds less than 1/HOT_KEYS of all rows, so it can stay in one task.
-HOT_KEYS = 1_000
 
 _UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
 
@@ -71,29 +68,47 @@ def salted_join(
     how: str = "inner",
     rows_per_task: int | None = None,
 ) -> DataFrame:
-    """Equi-join whose hot left keys are split over several tasks.
+    """Equi-join whose hot keys are split over several tasks, on both sides.
 
-    The rows of each left key are counted (combined before the shuffle). A key
-    with more than ``rows_per_task`` rows gets that many salts; its left rows
-    take a salt by the hash of ``spread``, and its right rows are repeated once
-    per salt. Cold keys have the single salt 0. Works for ``inner``, ``left``,
-    ``left_semi`` and ``left_anti``. The right side may not be skewed.
+    The rows of each key are counted (combined before the shuffle). A key with
+    more than ``rows_per_task`` rows on a side gets that many salts for the side:
+    its rows there take one by a hash (of ``spread`` on the left, of all columns on
+    the right), and its partners are repeated once per salt. Cold keys have the single salt 0. Works for ``inner``, ``left_semi`` and
+    ``left_anti``, and for ``left``, where the right side may not be skewed.
+
+    All hot keys are split, however many: they are stored, so Spark broadcasts
+    them when they are few, and otherwise splits the joins with them as it runs.
     """
     limit = ROWS_PER_TASK if rows_per_task is None else rows_per_task
     on = [on] if isinstance(on, str) else on
-    hot = F.broadcast(
-        left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias("_salts"))
-    )
-    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts").cast("long")).cast("int"), F.lit(0))
-    salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    lefts = left.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
-    rights = right.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_salts")
-    return lefts.join(rights, [*on, "_salt"], how).drop("_salt")
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*on).distinct()
+
+    def salts(side: DataFrame, name: str) -> DataFrame:
+        counts = side.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+        return counts.select(*on, F.ceil(F.col("_rows") / limit).cast("int").alias(name))
+
+    hot = salts(left, "_left_salts")
+    if how == "inner":
+        hot = hot.join(salts(right, "_right_salts"), on, "full")
+    else:
+        hot = hot.withColumn("_right_salts", F.lit(1))
+    hot = staged(hot, "hot")
+    one = F.lit(1)
+    lefts, rights = F.coalesce("_left_salts", one), F.coalesce("_right_salts", one)
+
+    def salted(
+        side: DataFrame, by: list[str], own: str, own_salts: Column, other: str, other_salts: Column
+    ) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*by), own_salts.cast("long")).cast("int")
+        marked = side.join(hot, on, "left").withColumn(own, mine)
+        marked = marked.withColumn(other, F.explode(F.sequence(F.lit(0), other_salts - 1)))
+        return marked.drop("_left_salts", "_right_salts")
+
+    key = [*on, "_left_salt", "_right_salt"]
+    a = salted(left, [spread], "_left_salt", lefts, "_right_salt", rights)
+    b = salted(right, right.columns, "_right_salt", rights, "_left_salt", lefts)
+    return a.join(b, key, how).drop("_left_salt", "_right_salt")
 
 
 def sized_join(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import base, ends_with_any, parent, under
 
 #: Endings of the archives that are extracted.
 ARTIFACT_SUFFIXES = ("-javadoc.jar", "-sources.jar")
-#: Fixed value: output directory of the JDK sources.
+#: Fixed value: output directory of the JDK sources of one machine and version.
 JDK_OUT_DIR = "sources/jdk"
 #: Fixed value: directory that holds the installed JDKs of a machine.
 JVM_ROOT = "/usr/lib/jvm"
@@ -104,10 +104,24 @@ def jdk_archives(
     return matches.groupBy("jvm_root", "version").agg(F.min_by("path", "jdk").alias("path"))
 
 
+def jdk_out_dir(jvm_root: Column, version: Column) -> Column:
+    """A directory per machine and version: ``sources/<version><machine's root>/jdk``.
+
+    The last component is the one after which packages of the JDK are read.
+    """
+    top, last = JDK_OUT_DIR.rsplit("/", 1)
+    return F.concat(F.lit(top + "/"), version, jvm_root, F.lit("/" + last))
+
+
 def java_sources(found: DataFrame, jdks: DataFrame) -> DataFrame:
-    """``(path, out_dir)`` of every archive to extract: artifacts and JDKs."""
-    jdk = jdks.select("path", F.lit(JDK_OUT_DIR).alias("out_dir"))
-    return found.select("path", "out_dir").unionByName(jdk)
+    """``(path, out_dir)`` of every archive to extract: artifacts and JDKs.
+
+    An output directory takes one archive, the first by path components, so
+    files of different machines never share a path.
+    """
+    jdk = jdks.select("path", jdk_out_dir(F.col("jvm_root"), F.col("version")).alias("out_dir"))
+    every = found.select("path", "out_dir").unionByName(jdk)
+    return every.groupBy("out_dir").agg(F.min_by("path", F.split("path", "/")).alias("path")).select("path", "out_dir")
 
 
 def source_trees(found: DataFrame) -> DataFrame:

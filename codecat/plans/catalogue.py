@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import lower_ascii
-from ..operators.digest import KINDS, digest, small_markers
+from ..operators.digest import KINDS, READ_KINDS, digest, small_markers
 from ..operators.gomod import go_files, go_rejects
 from ..operators.java import java_rejects, java_symbols
 from ..operators.joins import fits_broadcast
 from ..operators.npm import npm_modules, npm_rejects
 from ..operators.python_env import python_modules, python_rejects
 from ..schema import CATALOGUE, CATALOGUE_KEY, CATALOGUE_TABLE, REJECTS, Scope
-from ..sources.scratch import drop_scratch, scratch_dir, staged
+from ..sources.scratch import scratch_space, staged
 
 
 def documents_of(
@@ -79,6 +79,11 @@ def _kinds(languages: Collection[str] | None) -> list[str] | None:
     return [kind for language in KINDS if language in languages for kind in KINDS[language]]
 
 
+def _with_contents(languages: Collection[str] | None) -> list[str]:
+    """File kinds whose contents are read; Python goes by paths alone."""
+    return [kind for language in KINDS if languages is None or language in languages for kind in READ_KINDS[language]]
+
+
 def build_catalogue(
     files: DataFrame,
     languages: Collection[str] | None = None,
@@ -91,7 +96,7 @@ def build_catalogue(
     scratch table partitioned by kind, from which all producers read. Without
     it the plans are fully lazy and every producer scans the corpus.
     """
-    facts = digest(files, scope, _kinds(languages))
+    facts = digest(files, scope, _kinds(languages), _with_contents(languages))
     if stage:
         facts = staged(facts, "digest", "kind")
     small = small_markers(facts)
@@ -141,12 +146,11 @@ def upsert_catalogue(documents: DataFrame, table: str) -> None:
     if stored.isEmpty():
         _write(new, table, "append")
         return
-    work = scratch_dir(spark, "upsert")
-    new = staged(new, "new", under=work)
-    if fits_broadcast(new):
-        stored = stored.join(F.broadcast(new), CATALOGUE_KEY, "left_semi")
-    _write(new.join(stored, CATALOGUE_KEY, "left_anti"), table, "append")
-    drop_scratch(spark, work)
+    with scratch_space(spark, "upsert") as work:
+        new = staged(new, "new", under=work)
+        if fits_broadcast(new):
+            stored = stored.join(F.broadcast(new), CATALOGUE_KEY, "left_semi")
+        _write(new.join(stored, CATALOGUE_KEY, "left_anti"), table, "append")
 
 
 def index(
@@ -161,14 +165,14 @@ def index(
     ``remove`` drops all languages, also when only some are built.
     """
     spark = files.sparkSession
-    work = scratch_dir(spark, "index")
-    facts = staged(digest(files, scope, _kinds(languages)), "digest", "kind", under=work)
-    documents = documents_of(facts, languages, scope)
-    if remove:
-        reset_catalogue(documents, table)
-    else:
-        upsert_catalogue(documents, table)
-    drop_scratch(spark, work)
+    with scratch_space(spark, "index") as work:
+        facts = digest(files, scope, _kinds(languages), _with_contents(languages))
+        facts = staged(facts, "digest", "kind", under=work)
+        documents = documents_of(facts, languages, scope)
+        if remove:
+            reset_catalogue(documents, table)
+        else:
+            upsert_catalogue(documents, table)
 
 
 def catalogue_counts(catalogue: DataFrame) -> DataFrame:

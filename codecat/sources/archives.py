@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import posixpath
+import struct
 import sys
 import zipfile
 import zlib
@@ -14,33 +16,48 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import fits_broadcast
+from .scratch import staged
 
 # Executors need no copy of this package: what runs in tasks is sent along.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-EXPANDED = "archive string, path string, content binary, reason string"
+EXPANDED = "archive string, path string, part int, content binary, reason string"
 
 _SCHEMA = pa.schema(
     [
         ("archive", pa.string()),
         ("path", pa.string()),
+        ("part", pa.int32()),
         ("content", pa.binary()),
         ("reason", pa.string()),
     ]
 )
 #: Bytes that a task gathers before it hands a batch on.
 BATCH_BYTES = 32 << 20
-#: An entry above this size does not fit a Spark row.
-MAX_ENTRY_BYTES = (1 << 31) - (1 << 20)
+#: A longer entry comes as several rows of so many bytes.
+PART_BYTES = 256 << 20
+#: Archives that a task opens, at most.
+ARCHIVES_PER_TASK = 8
+
+#: Facts about the data. Any other error may pass, so it fails the task and Spark runs it again.
+_BAD_ARCHIVE = (zipfile.BadZipFile, zipfile.LargeZipFile, ValueError, NotImplementedError, struct.error, EOFError)
+_BAD_ENTRY = (*_BAD_ARCHIVE, zlib.error, lzma.LZMAError, RuntimeError)
+
+
+def _parts(opened: zipfile.ZipFile, info: zipfile.ZipInfo) -> Iterator[bytes]:
+    """An entry in pieces, one empty piece at least."""
+    with opened.open(info) as entry:
+        yield entry.read(PART_BYTES)
+        while piece := entry.read(PART_BYTES):
+            yield piece
 
 
 def _entries(archive: str, out_dir: str, source: str | io.BytesIO) -> Iterator[tuple]:
     """Rows of one archive; one with a reason and no content per refused entry."""
     try:
         opened = zipfile.ZipFile(source)
-    except (zipfile.BadZipFile, ValueError, OSError) as error:
-        yield archive, None, None, f"bad archive: {type(error).__name__}"
+    except (*_BAD_ARCHIVE, FileNotFoundError) as error:
+        yield archive, None, 0, None, f"bad archive: {type(error).__name__}"
         return
     with opened:
         # Of entries with one target path the last is kept.
@@ -50,18 +67,22 @@ def _entries(archive: str, out_dir: str, source: str | io.BytesIO) -> Iterator[t
             if info.is_dir():
                 continue
             if name.startswith("/") or ".." in name.split("/"):
-                yield archive, name, None, "entry leaves its directory"
-            elif info.file_size > MAX_ENTRY_BYTES:
-                yield archive, name, None, "entry too large"
+                yield archive, name, 0, None, "entry leaves its directory"
             else:
                 wanted[posixpath.join(out_dir, posixpath.normpath(name))] = info
         for path, info in wanted.items():
+            part = 0
             try:
-                content = opened.read(info)
-            except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError) as error:
-                yield archive, path, None, f"bad entry: {type(error).__name__}"
-            else:
-                yield archive, path, content, None
+                for content in _parts(opened, info):
+                    yield archive, path, part, content, None
+                    part += 1
+            except OSError as error:
+                if error.errno is not None:
+                    raise
+                # The bzip2 decoder's error for bad data.
+                yield archive, path, part, None, f"bad entry: {type(error).__name__}"
+            except _BAD_ENTRY as error:
+                yield archive, path, part, None, f"bad entry: {type(error).__name__}"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -76,11 +97,12 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             archive, out_dir, *data = (column[i].as_py() for column in batch.columns)
             for row in _entries(archive, out_dir, io.BytesIO(data[0]) if data else archive):
-                rows.append(row)
-                held += len(row[2] or b"") + 64
-                if held >= BATCH_BYTES:
+                size = len(row[3] or b"") + 64
+                if rows and held + size > BATCH_BYTES:
                     yield _batch(rows)
                     rows, held = [], 0
+                rows.append(row)
+                held += size
     if rows:
         yield _batch(rows)
 
@@ -91,18 +113,18 @@ def _placed(wanted: DataFrame, root: str) -> DataFrame:
 
 
 def expand_archives(archives: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
-    """``(archive, path, content, reason)``: one row per archive entry.
+    """``(archive, path, part, content, reason)``: the entries of archives.
 
     ``archives(path, content)`` are read where ``wanted(path, out_dir)`` names
-    them, and an entry goes to ``<root>/<out_dir>/<entry>``. Refused entries and
-    archives have a reason and no content. Each archive is one row, at most
-    2 GB. Contents are shuffled only when ``wanted`` is too large to broadcast;
-    where executors see the archives as files, :func:`expand_mounted` never
-    moves them.
+    them, and an entry goes to ``<root>/<out_dir>/<entry>``. An entry above
+    PART_BYTES has a row per part. Refused entries and archives have a reason
+    and no content; what was read of an entry before its error stays in parts
+    before it. Each archive is one row, so at most 2 GB; larger ones are for
+    :func:`expand_mounted`, which is the way to go where executors see the
+    archives as files: it never moves contents. Here they are shuffled only
+    when ``wanted``, which is stored first, is too large to broadcast.
     """
-    placed = _placed(wanted, root)
-    if fits_broadcast(placed):
-        placed = F.broadcast(placed)
+    placed = staged(_placed(wanted, root), "wanted")
     chosen = archives.join(placed, "path").select("path", "out_dir", "content")
     return chosen.mapInArrow(_expand, EXPANDED)
 
@@ -110,17 +132,25 @@ def expand_archives(archives: DataFrame, wanted: DataFrame, root: str) -> DataFr
 def expand_mounted(wanted: DataFrame, root: str) -> DataFrame:
     """As :func:`expand_archives`, for archives on a file system that all executors mount.
 
-    Only paths are shuffled. Each task opens its archives in place and reads
-    one entry at a time, so an archive may be larger than a row.
+    Only paths are shuffled, dealt evenly to one task per ARCHIVES_PER_TASK
+    archives. Each task opens its archives in place and reads one part at a
+    time, so neither an archive nor an entry has to fit a row.
     """
-    placed = _placed(wanted, root).repartition("path")
-    return placed.select("path", "out_dir").mapInArrow(_expand, EXPANDED)
+    placed = staged(_placed(wanted, root), "wanted")
+    tasks = max(1, -(-placed.count() // ARCHIVES_PER_TASK))
+    return placed.select("path", "out_dir").repartition(tasks).mapInArrow(_expand, EXPANDED)
 
 
 def expanded_files(expanded: DataFrame) -> DataFrame:
-    """``files(path, content)`` of the accepted entries; bad bytes become U+FFFD."""
+    """``files(path, content)`` of the accepted entries; bad bytes become U+FFFD.
+
+    An entry in several parts is there by its path, with null content: it does
+    not fit a string. Its parts remain in ``expanded``.
+    """
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return expanded.where(F.col("reason").isNull()).select("path", text.alias("content"))
+    whole = F.octet_length("content") < PART_BYTES  # a full first part has, or may have, others after it
+    first = expanded.where(F.col("reason").isNull() & (F.col("part") == 0))
+    return first.select("path", F.when(whole, text).alias("content"))
 
 
 def expansion_rejects(expanded: DataFrame) -> DataFrame:

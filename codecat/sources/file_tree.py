@@ -21,7 +21,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # Executors need no copy of this package: what runs in tasks is sent along.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_SCHEMA = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+_SCHEMA = pa.schema(
+    [("path", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("reason", pa.string())]
+)
+#: Longer contents do not fit a row.
+MOST_BYTES = 1 << 30
 #: Bytes that a task gathers before it hands a batch on.
 BATCH_BYTES = 32 << 20
 
@@ -36,6 +40,10 @@ class _Subtree(InputPartition):
     slices: int = 1
 
 
+def _name(path: str) -> str:
+    return os.fsencode(path).decode("utf-8", "replace")
+
+
 def _flag(value: str | None, default: bool) -> bool:
     return default if value is None else value.strip().lower() == "true"
 
@@ -55,12 +63,9 @@ class _TreeReader(DataSourceReader):
         return hidden or any(part in entry.path + "/" for part in self.exclude)
 
     def _children(self, folder: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
-        """Directories to visit and files of a folder; unreadable folders are empty."""
-        try:
-            with os.scandir(folder) as found:
-                entries = sorted(found, key=lambda e: e.name)
-        except OSError:
-            return [], []
+        """Directories to visit and files of a folder."""
+        with os.scandir(folder) as found:
+            entries = sorted(found, key=lambda e: e.name)
         folders = [e for e in entries if e.is_dir(follow_symlinks=False) and not self._pruned(e)]
         return folders, [e for e in entries if e.is_file(follow_symlinks=False)]
 
@@ -73,7 +78,12 @@ class _TreeReader(DataSourceReader):
         os.scandir(self.root).close()  # a missing root is an error
         split, whole = [], [self.root]
         while whole and len(whole) < self.target:
-            below = [child.path for folder in whole for child in self._children(folder)[0]]
+            below = []
+            for folder in whole:
+                try:
+                    below += [child.path for child in self._children(folder)[0]]
+                except (PermissionError, FileNotFoundError):
+                    pass  # the task that reads it reports it
             split += whole
             whole = below
         flat = [
@@ -82,34 +92,50 @@ class _TreeReader(DataSourceReader):
         shares = min(len(whole), 4 * self.target)
         return flat + [_Subtree(tuple(whole[i::shares]), True) for i in range(shares)]
 
-    def _walk(self, part: _Subtree) -> Iterator[os.DirEntry]:
+    def _walk(self, part: _Subtree) -> Iterator[os.DirEntry | str]:
+        """The files of a subtree, and the paths of folders that may not be read."""
         pending = list(part.roots)
         while pending:
-            folders, files = self._children(pending.pop())
+            folder = pending.pop()
+            try:
+                folders, files = self._children(folder)
+            except (PermissionError, FileNotFoundError):
+                if part.slice == 0:
+                    yield folder
+                continue
             for entry in files:
                 if part.slices == 1 or zlib.crc32(os.fsencode(entry.name)) % part.slices == part.slice:
                     yield entry
             if part.recursive:
                 pending += [folder.path for folder in folders]
 
+    def _row(self, entry: os.DirEntry | str) -> tuple:
+        """A file, or a reason why it is missing. Errors that may pass fail the task, which Spark runs again."""
+        if isinstance(entry, str):
+            return _name(entry), None, None, "unreadable folder"
+        try:
+            length, data, reason = entry.stat(follow_symlinks=False).st_size, None, None
+            if self.content and length > MOST_BYTES:
+                reason = "content too long"
+            elif self.content:
+                with open(entry.path, "rb") as file:
+                    data = file.read()
+        except (PermissionError, FileNotFoundError) as error:
+            return _name(entry.path), None, None, f"unreadable file: {type(error).__name__}"
+        return _name(entry.path), length, data, reason
+
     def read(self, part: _Subtree) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for entry in self._walk(part):
-            if self.suffixes and not entry.name.endswith(self.suffixes):
-                continue
-            try:
-                length = entry.stat(follow_symlinks=False).st_size
-                data = None
-                if self.content:
-                    with open(entry.path, "rb") as file:
-                        data = file.read()
-            except OSError:
+            if not isinstance(entry, str) and self.suffixes and not entry.name.endswith(self.suffixes):
                 continue
-            rows.append((os.fsencode(entry.path).decode("utf-8", "replace"), length, data))
-            held += len(data or b"") + 64
-            if held >= BATCH_BYTES:
+            row = self._row(entry)
+            size = len(row[2] or b"") + 64
+            if rows and held + size > BATCH_BYTES:
                 yield self._batch(rows)
                 rows, held = [], 0
+            rows.append(row)
+            held += size
         if rows:
             yield self._batch(rows)
 
@@ -123,14 +149,15 @@ class FileTree(DataSource):
     """Options: ``path``; ``content`` (true: read contents); ``skipHidden`` and
     ``exclude`` (comma-separated path parts) prune directories while listing;
     ``suffixes`` keeps files with these endings; ``partitions`` and ``slices``
-    steer how the tree is split."""
+    steer how the tree is split. What cannot be read has a row with a ``reason``
+    and no content."""
 
     @classmethod
     def name(cls) -> str:
         return "file_tree"
 
     def schema(self) -> str:
-        return "path string, length bigint, content binary"
+        return "path string, length bigint, content binary, reason string"
 
     def reader(self, schema) -> DataSourceReader:
         return _TreeReader(self.options)

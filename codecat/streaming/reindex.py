@@ -12,7 +12,7 @@ from ..plans.catalogue import upsert_catalogue
 from ..plans.incremental import affected_documents
 from ..schema import FILES, Scope
 from ..sources.corpus import stream_corpus
-from ..sources.scratch import drop_scratch, scratch_dir
+from ..sources.scratch import scratch_space
 
 
 def reindex(
@@ -40,10 +40,9 @@ def reindex(
         facts = session.read.schema(stored).parquet(digests)
         facts = facts.where(F.col("batch") <= batch_id)
         fresh = facts.where(F.col("batch") == batch_id)
-        work = scratch_dir(session, "batch")
-        documents = affected_documents(facts.drop("batch"), fresh.drop("batch"), work, scope)
-        upsert_catalogue(documents, table)
-        drop_scratch(session, work)
+        with scratch_space(session, "batch") as work:
+            documents = affected_documents(facts.drop("batch"), fresh.drop("batch"), work, scope)
+            upsert_catalogue(documents, table)
 
     return (
         stream_corpus(spark, corpus)

@@ -153,7 +153,7 @@ _ARCHIVES = """
 WITH b AS (SELECT doc_id AS d, CAST(doc_id AS STRING) AS i, CAST(doc_id % 7 AS STRING) AS m, CAST(doc_id % 3 AS STRING) AS p, text FROM documents),
 a AS (SELECT *, CASE WHEN d % 50 = 0 THEN '/hosts/h' || i || '/usr/lib/jvm/java-17-openjdk/lib/src.zip'
         ELSE '/home/dev/.m2/repository/org/acme' || m || '/lib' || i || '/1.' || p || '/lib' || i || '-1.' || p || '-sources.jar' END AS archive,
-        '/home/dev/idx/java/' || CASE WHEN d % 50 = 0 THEN 'sources/jdk' ELSE 'sources/org/acme' || m || '/lib' || i || '/1.' || p END AS out FROM b)"""
+        '/home/dev/idx/java/' || CASE WHEN d % 50 = 0 THEN 'sources/17/hosts/h' || i || '/usr/lib/jvm/jdk' ELSE 'sources/org/acme' || m || '/lib' || i || '/1.' || p END AS out FROM b)"""
 
 
 def oracles() -> dict[str, str]:
@@ -218,8 +218,8 @@ def oracles() -> dict[str, str]:
         "new_artifacts": f"""{_ARTIFACTS} SELECT out_dir, arg_min(path, string_split(path, '/')) AS path FROM artifacts
             WHERE out_dir NOT IN (SELECT out_dir FROM artifacts WHERE version = '1.0') GROUP BY out_dir""",
         "jdk_archive": f"WITH {_JDKS} SELECT jvm_root, version, path FROM jdks",
-        "java_sources": f"""{_ARTIFACTS}, {_JDKS} SELECT path, out_dir FROM artifacts
-            UNION ALL SELECT path, 'sources/jdk' FROM jdks""",
+        "java_sources": f"""{_ARTIFACTS}, {_JDKS} SELECT arg_min(path, string_split(path, '/')) AS path, out_dir FROM artifacts GROUP BY out_dir
+            UNION ALL SELECT path, 'sources/' || version || jvm_root || '/jdk' FROM jdks""",
         "expand_archives": f"""{_ARCHIVES}
             SELECT archive, out || '/org/acme' || m || '/Doc' || i || '.java' AS path, md5(text) AS digest, '' AS reason FROM a WHERE d % 23 <> 0
             UNION ALL SELECT archive, out || '/a/b/c/d/' || i || '.txt', md5(text || text), '' FROM a WHERE d % 23 <> 0

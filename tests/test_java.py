@@ -8,27 +8,17 @@ from codecat.schema import Scope
 
 ANYWHERE = Scope(java_sources="")
 
-HELLO = """
-\t\tpackage com.abc.def.xyz;
-
-\t\tpublic class HelloWorld {
-\t\t\t/**
-\t\t\t * A class whose only job is to greet.
-\t\t\t */
-\t\t\tpublic static void main(String[] args) {
-\t\t\t\tSystem.out.println("Hello!");
-\t\t\t}
-
-\t\t\t// The enum below lists colors.
-\t\t\tpublic static enum Color {
-\t\t\t\tRED
-\t\t\t}
-
-\t\t\tpublic static abstract class SomeAbstractClass {
-\t\t\t\t// Nothing to see.
-\t\t\t\tpublic abstract void doSomething();
-\t\t\t}
-\t\t}
+GARDEN = """/* a class note before the package */
+package org.garden.tools;
+import java.util.List;
+interface Sharp { void cut(List<String> stems); }
+// this enum is only mentioned
+ * so is this class
+public final class Shears implements Sharp {
+  private enum Blade { STRAIGHT, CURVED }
+  /* no interface here */ public void cut(List<String> stems) { String s = "new " + Blade.CURVED; }
+  protected @interface Kept {}
+}
 """
 
 
@@ -36,12 +26,13 @@ def names(df):
     return sorted(row["name"] for row in df.collect())
 
 
-def test_words_in_comments_declare_nothing(corpus):
-    files = corpus({"com/abc/def/xyz/HelloWorld.java": HELLO})
+def test_words_in_comment_lines_declare_nothing(corpus):
+    files = corpus({"org/garden/tools/Shears.java": GARDEN})
     assert names(java_symbols(digest(files, ANYWHERE))) == [
-        "com.abc.def.xyz.HelloWorld",
-        "com.abc.def.xyz.HelloWorld.Color",
-        "com.abc.def.xyz.HelloWorld.SomeAbstractClass",
+        "org.garden.tools.Shears",
+        "org.garden.tools.Shears.Blade",
+        "org.garden.tools.Shears.Kept",
+        "org.garden.tools.Shears.Sharp",
     ]
 
 

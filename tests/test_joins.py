@@ -22,21 +22,32 @@ def test_salted_join_equals_plain(spark, how):
     assert rows(found) == rows(left.join(right, "k", how))
 
 
-def test_salted_join_spreads_hot_keys(spark):
-    left = spark.range(1000).withColumn("k", F.lit(1))
-    right = spark.range(1).select(F.lit(1).alias("k"), F.lit("x").alias("v"))
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_hot_keys_on_the_right(spark, how):
+    left = spark.range(60).select("id", (F.col("id") % 6).alias("k"))
+    right = spark.range(900).select(F.when(F.col("id") % 3 > 0, 2).otherwise(F.col("id") % 4).alias("k"), F.col("id").alias("r"))
+    found = joins.salted_join(left, right, "k", "id", how, rows_per_task=50)
+    assert rows(found) == rows(left.join(right, "k", how))
+
+
+@pytest.mark.parametrize("n_left, n_right", [(1000, 1), (1, 1000), (3000, 40)])
+def test_salted_join_spreads_hot_keys(spark, n_left, n_right):
+    """One key, or forty equally hot ones, on either side."""
+    keys = 40 if n_left == 3000 else 1
+    left = spark.range(n_left).withColumn("k", F.col("id") % keys)
+    right = spark.range(n_right).select((F.col("id") % keys).alias("k"), F.col("id").alias("v"))
     key = "spark.sql.adaptive.enabled"
     thresholds = "spark.sql.autoBroadcastJoinThreshold"
     old = spark.conf.get(thresholds)
     spark.conf.set(key, "false")
     spark.conf.set(thresholds, "-1")
     try:
-        found = joins.salted_join(left, right, "k", "id", rows_per_task=100)
-        used = found.select(F.spark_partition_id().alias("p")).distinct().count()
+        found = joins.salted_join(left, right, "k", "id", rows_per_task=100 if keys == 1 else 8)
+        used = found.select("k", F.spark_partition_id()).distinct().groupBy("k").agg(F.count("*").alias("tasks")).collect()
     finally:
         spark.conf.set(key, "true")
         spark.conf.set(thresholds, old)
-    assert used > 3
+    assert len(used) == keys and min(row["tasks"] for row in used) > (3 if keys == 1 else 1)
 
 
 def test_salted_join_on_two_keys(spark):

@@ -90,7 +90,7 @@ def test_archives_to_symbols(spark):
     files = archives.expanded_files(expanded)
     assert sorted(r["path"] for r in files.collect()) == [
         "/out/java/javadoc/org/lib/1/org/E.java",
-        "/out/java/sources/jdk/java.base/java/util/List.java",
+        "/out/java/sources/17/usr/lib/jvm/jdk/java.base/java/util/List.java",
         "/out/java/sources/org/lib/1/bytes.bin",
         "/out/java/sources/org/lib/1/org/A.java",
         "/out/java/sources/org/lib/1/x/D.java",
@@ -118,6 +118,59 @@ def test_expand_mounted(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("method", [zipfile.ZIP_LZMA, zipfile.ZIP_BZIP2, zipfile.ZIP_DEFLATED])
+def test_damaged_entries_are_rejects(method):
+    packing = io.BytesIO()
+    with zipfile.ZipFile(packing, "w", method) as out:
+        out.writestr("good.txt", "x" * 50)
+        out.writestr("bad.txt", os.urandom(5000))
+    data = bytearray(packing.getvalue())
+    middle = data.index(b"bad.txt") + 1500
+    data[middle : middle + 200] = bytes(200)
+    rows = list(archives._entries("a", "/o", io.BytesIO(bytes(data))))
+    assert [r[1] for r in rows if r[4] is None and r[2] == 0][0] == "/o/good.txt"
+    assert rows[-1][1] == "/o/bad.txt" and rows[-1][4].startswith("bad entry: ")
+
+
+def test_io_errors_are_no_rejects(tmp_path):
+    with pytest.raises(IsADirectoryError):
+        list(archives._entries(str(tmp_path), "/o", str(tmp_path)))
+
+
+def test_long_entries_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(archives, "PART_BYTES", 1000)
+    data = packed([("a.java", "x" * 2500), ("b.java", "class B"), ("c.java", "")])
+    rows = list(archives._entries("a", "/o", io.BytesIO(data)))
+    assert [(r[1], r[2], len(r[3])) for r in rows] == [
+        ("/o/a.java", 0, 1000), ("/o/a.java", 1, 1000), ("/o/a.java", 2, 500), ("/o/b.java", 0, 7), ("/o/c.java", 0, 0),
+    ]
+    files = archives.expanded_files(spark.createDataFrame(rows, archives.EXPANDED))
+    assert sorted(map(tuple, files.collect())) == [("/o/a.java", None), ("/o/b.java", "class B"), ("/o/c.java", "")]
+
+
+def test_mounted_archives_spread_over_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.jar").write_bytes(packed([("A.java", f"class A{i}")]))
+    wanted = [(str(tmp_path / f"{i}.jar"), f"sources/{i}") for i in range(40)]
+    expanded = archives.expand_mounted(spark.createDataFrame(wanted, "path string, out_dir string"), "/out")
+    assert expanded.select("path").distinct().count() == 40
+    assert expanded.select(F.spark_partition_id()).distinct().count() >= 4
+
+
+def test_machines_with_the_same_entries(spark):
+    """Two hosts have one JDK version each, and one artifact twice."""
+    same = packed([("java.base/java/util/List.java", "class List")])
+    jdks = [f"/hosts/h{i}/usr/lib/jvm/java-17/lib/src.zip" for i in range(2)]
+    jars = [f"/hosts/h{i}/.m2/repository/org/lib/1/lib-1-sources.jar" for i in range(2)]
+    table = spark.createDataFrame([(p, bytearray(same)) for p in jdks + jars], "path string, content binary")
+    found = table.select("path")
+    wanted = maven.java_sources(maven.artifacts(found), maven.jdk_archives(found, ["17"]))
+    files = archives.expanded_files(archives.expand_archives(table, wanted, "/out/java"))
+    assert sorted(r["path"] for r in files.collect()) == [
+        f"/out/java/sources/17/hosts/h{i}/usr/lib/jvm/jdk/java.base/java/util/List.java" for i in range(2)
+    ] + ["/out/java/sources/org/lib/1/java.base/java/util/List.java"]
+
+
 def test_large_archives_come_in_batches(monkeypatch):
     monkeypatch.setattr(archives, "BATCH_BYTES", 1000)
     data = packed([(f"f{i}", "x" * 300) for i in range(20)])
@@ -166,6 +219,31 @@ def test_file_tree_contents(spark, tree):
     assert bare.where(F.col("content").isNotNull()).count() == 0
 
 
+def test_file_tree_reports_what_it_cannot_read(spark, tree, monkeypatch):
+    reader = file_tree._TreeReader({"path": tree})
+
+    def refuse(folder, own=reader._children):
+        if folder.endswith("/d"):
+            raise PermissionError(folder)
+        return own(folder)
+
+    monkeypatch.setattr(reader, "_children", refuse)
+    os.remove(os.path.join(tree, "top.txt"))
+    os.mkfifo(os.path.join(tree, "pipe"))
+    rows = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+    assert [(r["path"], r["reason"]) for r in rows if r["reason"]] == [(f"{tree}/d", "unreadable folder")]
+    gone = next(e for e in reader._children(f"{tree}/a")[1] if e.name == "n1.txt")
+    os.remove(gone.path)
+    assert reader._row(gone)[3] == "unreadable file: FileNotFoundError"
+
+
+def test_file_tree_names_long_files(spark, tree, monkeypatch):
+    monkeypatch.setattr(file_tree, "MOST_BYTES", 5)
+    reader = file_tree._TreeReader({"path": tree})
+    rows = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+    assert {r["reason"] for r in rows if r["path"].endswith("top.txt")} == {"content too long"}
+
+
 def test_read_corpus(spark, tmp_path, corpus):
     corpus({"/a": "x"}).union(spark.createDataFrame([(None, "y")], "path string, content string")).write.parquet(
         str(tmp_path / "c")
