@@ -30,10 +30,10 @@ from .words import SPACE
 
 #: The basic limits: least words, and most per cent of words in repeated three-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Characters that count as symbols, and white space.
-SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
+#: Characters that count as symbols.
+SYMBOLS = "#*$%&|<>"
 #: Share of a group that a concentration step keeps, and the number of steps.
-CORE, STEPS = 0.75, 4
+CORE, STEPS = 0.75, 3
 #: Groups with fewer rows are put together: first by language, then all.
 LEAST_GROUP = 100
 #: Bins per unit of the logarithm of a squared distance.
@@ -53,11 +53,12 @@ STATISTICS = (
     Statistic("ln(1 + n_words)", 0.5),
     Statistic("ln(word_chars / n_words)", 0.05),
     Statistic("sqrt(n_symbols / word_chars)", 0.04),
-    Statistic("sqrt(n_repeat_words / n_words)", 0.08),
-    Statistic("ln(1 + n_dup_lines)", 0.25),
+    Statistic("sqrt(n_repeat_words / n_words)", 0.2),
+    Statistic("ln(1 + n_dup_lines)", 0.5),
 )
-#: Median of chi-square with as many degrees of freedom as statistics (5), and the squared distance beyond which a row is rejected.
-CHI_MEDIAN, CUTOFF = 4.3515, 60.0
+#: Median of chi-square with as many degrees of freedom as statistics (5), and the squared distance beyond which a row is
+#: rejected. Real statistics have heavier tails than a normal law, so this is ten times as far as its outermost rows go.
+CHI_MEDIAN, CUTOFF = 4.3515, 100.0
 
 
 def text_statistics(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -70,47 +71,47 @@ def text_statistics(docs: DataFrame, id_col: str, text_col: str, *more: Column)
     )
     triples = F.when(F.size("_words") >= 3, triples).otherwise(F.array().cast("array<bigint>"))
     first = docs.select(F.col(id_col).alias("doc_id"), *more, text.alias("_text"))
-    split = first.select(
-        "*", F.array_remove(F.split("_text", SPACE), "").alias("_words"), lines.alias("_lines")
-    )
+    split = first.select("*", F.array_remove(F.split("_text", SPACE), "").alias("_words"), lines.alias("_lines"))
     counted = split.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         triples.alias("_triples"),
     ).drop("_text", "_words", "_lines")
-    return counted.select("*", repeated_words(F.col("_triples")).alias("n_repeat_words")).drop("_triples")
+    return with_repeated_words(counted).drop("_triples")
 
 
-def repeated_words(triples: Column) -> Column:
-    """Words within windows whose hash occurs twice or more, by sorting the windows with their places.
+def with_repeated_words(rows: DataFrame) -> DataFrame:
+    """Add ``n_repeat_words``: words within three-word windows that occur twice or more in ``_triples``, their hashes.
 
-    Window ``p`` covers words ``p`` to ``p + 2``; taken in order, it adds the words that the repeated
-    window before it has not covered.
+    Most texts have none, which counting distinct hashes shows. In the others each hash gives its low bits for
+    its place, so that sorting plain numbers brings equal windows together; neighbours are then compared in full.
+    Each step is a column of its own, as a function over elements would compute an expression for every element.
     """
-    ranked = F.array_sort(F.transform(triples, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(triples)) == F.size(triples), F.lit(0)).otherwise(
-        covered(F.array_sort(repeats(ranked)))
-    ).cast("long")
-
-
-def repeats(ranked: Column) -> Column:
-    """Places of the sorted windows that equal a neighbour; ``zip`` with both neighbours avoids looking back into an expression."""
-    n = F.size(ranked)
-    before = F.concat(F.array(F.lit(None).cast(WINDOW)), F.slice(ranked, 1, n - 1))
-    after = F.concat(F.slice(ranked, 2, n - 1), F.array(F.lit(None).cast(WINDOW)))
-    zipped = F.arrays_zip(ranked.alias("x"), before.alias("a"), after.alias("b"))
-    same = F.filter(zipped, lambda z: (z["x"]["g"] == z["a"]["g"]) | (z["x"]["g"] == z["b"]["g"]))
-    return F.transform(same, lambda z: z["x"]["i"])
-
-
-WINDOW = "struct<g:bigint,i:int>"
+    repeated = F.size(F.array_distinct("_triples")) < F.size("_triples")
+    bits = F.length(F.bin(F.size("_triples").cast("long"))).alias("_bits")
+    marked = rows.select("*", bits, repeated.alias("_repeated"))
+    numbers = F.transform("_triples", lambda g, i: F.call_function("shiftleft", g, F.col("_bits")).bitwiseOR(i.cast("long")))
+    ranked = marked.select("*", F.when(F.col("_repeated"), F.sort_array(numbers)).alias("_ranked"),
+                           (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1).alias("_mask"))
+
+    def window(number: Column) -> Column:
+        return F.get("_triples", number.bitwiseAND(F.col("_mask")).cast("int"))
+
+    again = F.filter(
+        "_ranked",
+        lambda x, k: (window(x) == window(F.get("_ranked", k - 1))) | (window(x) == window(F.get("_ranked", k + 1))),
+    )
+    places = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("_mask")).cast("int")))
+    placed = ranked.select("*", F.when(F.col("_repeated"), places).alias("_places"))
+    words = F.coalesce(covered(F.col("_places")), F.lit(0)).cast("long").alias("n_repeat_words")
+    return placed.select("*", words).drop("_bits", "_repeated", "_ranked", "_mask", "_places")
 
 
 def covered(places: Column) -> Column:
-    """Words covered by three-word windows at sorted places."""
+    """Words covered by three-word windows at sorted places: each adds those that the one before it has not covered."""
     steps = F.aggregate(
         places,
         F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
@@ -186,7 +187,7 @@ def mcd(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         rated = distance(points.join(at, "group"))
         binned = rated.select("group", "start", *x_names(), distance_bin(F.col("d2")).alias("bin"))
-        limit = quantile_bin(binned, CORE)
+        limit = staged(quantile_bin(binned, CORE), "limit")
         core = binned.join(limit, ["group", "start"]).where("bin <= limit")
         at = staged(factor(moments(core)), "mcd")
     best = at.groupBy("group").agg(F.min_by(F.struct(*(c for c in at.columns if c != "group")), F.struct("logdet", "start")).alias("b")).select("group", "b.*")
@@ -219,7 +220,7 @@ def centre_and_spread(points: DataFrame) -> DataFrame:
     """The first start: median and MAD per coordinate, from histograms of 1/100 units, as a diagonal factor."""
     long = points.select("group", F.posexplode(F.array(*x_names())).alias("start", "x"))
     binned = long.select("group", "start", "x", F.round(F.col("x") * 100).cast("long").alias("bin"))
-    median = quantile_bin(binned, 0.5).withColumnRenamed("limit", "median")
+    median = staged(quantile_bin(binned, 0.5).withColumnRenamed("limit", "median"), "median")
     away = binned.join(median, ["group", "start"]).select("group", "start", F.abs(F.col("bin") - F.col("median")).alias("bin"))
     mad = quantile_bin(away, 0.5).withColumnRenamed("limit", "mad")
     both = median.join(mad, ["group", "start"]).groupBy("group").pivot("start", list(range(len(STATISTICS)))).agg(
