@@ -53,7 +53,8 @@ def anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen = np.flatnonzero(inside_text(words.first, ANCHOR) & _COVERED[place[: len(hashes)] % PERIOD])
             owner = np.repeat(rows.column("_id").to_numpy(), np.diff(words.first))
             found.append((hashes[chosen], owner[chosen], place[chosen]))
-        yield from sharing.combined_shared(*(np.concatenate(c) for c in zip(*found)))
+        if found:
+            yield from sharing.combined_shared(*(np.concatenate(c) for c in zip(*found)))
 
 
 def packed(place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -80,7 +81,8 @@ def candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen = np.flatnonzero(np.cumsum(edge)[: len(hashes)] > 0)
             owner = np.repeat(rows.column("_id").to_numpy(), np.diff(words.first))
             found.append((hashes[chosen], owner[chosen], packed(_places(words)[chosen], hashes[chosen])))
-        yield from sharing.combined_later(*(np.concatenate(c) for c in zip(*found)))
+        if found:
+            yield from sharing.combined_later(*(np.concatenate(c) for c in zip(*found)))
 
 
 def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
