@@ -28,16 +28,22 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def is_starry(edges: DataFrame) -> bool:
+    """Whether every larger end has one link and is nobody's smaller end: then all links lead to the least nodes."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"))
+    )
+    odd = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n")).where("ups > 0 and n > 1")
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its least node) for all nodes of ``edges(u, v)`` but the least ones themselves.
 
     Self-links and repeated links do no harm; null ends are passed over; no edges give no rows.
     """
-    at = staged(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    before = None
-    while True:
-        mark = at.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == before or mark[0] == 0:
-            return at.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = mark
+    down = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    at = staged(down.distinct(), "edges")
+    while not is_starry(at):
         at = staged(small_star(large_star(at)).distinct(), "edges")
+    return at.select(F.col("u").alias("node"), F.col("v").alias("component"))

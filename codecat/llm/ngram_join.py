@@ -5,15 +5,19 @@ Two sets with a Jaccard similarity of t or more share a token among the first
 lets many pairs through by chance. So candidates must meet under every one of
 ``ORDERS``, and only the intersection is verified, on the full sets.
 
-* *Orders.* Each puts tokens of small estimated frequency first, and orders equals by its own
-  hash. The frequencies are counts over all documents in a sketch of fixed size.
+* *Orders.* Each puts tokens of small estimated frequency first. The estimates are counts over all
+  documents in a sketch of fixed size, one per order with a hash function of its own, so their errors
+  differ: a frequent token that one order takes for a rare one is seldom so lucky in another.
 * *Classes.* Documents with one set are one class, named by a digest. Only classes meet.
 * *Meeting.* Prefix tokens that two classes share are found by one shuffle, without groups
   (:mod:`.sharing`); most tokens end there.
+* *Bounds.* Prefix tokens that a class shares with none are lost to every intersection. That and the
+  sizes bound a pair's similarity before it is formed.
 * *Hot groups.* Thousands of near copies share their prefixes. So the first round verifies each
-  class only with the least class of each token group, and forms components. The second round
-  verifies what is left: pairs that share a token but lie in different components. A link within a
-  component changes nothing, so the result is that of all pairs.
+  class only with the leader of each token group, the class with the fewest tokens of its own: in a
+  family of copies that is the original. The links form components. The second round verifies what is
+  left: pairs that share a token, one of them outside its leader's component. A link within a component
+  changes nothing, so the result is that of all pairs.
 """
 
 from __future__ import annotations
@@ -32,9 +36,16 @@ from .words import Words, inside_text, keys, mix, slices, windows, words_of
 
 #: Global orders under which candidates must meet.
 ORDERS = 2
-#: The sketch has this many bits of token hash, in chunks of 4096 counts: 1 MB of classes at any input size.
+#: A sketch has this many bits of token hash, in chunks of 4096 counts: 2 MB of ranks per order at any input size.
 SKETCH_BITS, CHUNK_BITS = 20, 12
 _CHUNKS = 1 << (SKETCH_BITS - CHUNK_BITS)
+#: Ranks are logarithms of counts in steps of 1/1024.
+_STEPS = 1024
+
+
+def buckets(token: np.ndarray, order: int) -> np.ndarray:
+    """The sketch bucket of each token under an order."""
+    return (mix(token + keys(ORDERS, seed=21)[order]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def token_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,35 +79,36 @@ def set_classes(text: np.ndarray, token: np.ndarray, size: np.ndarray) -> np.nda
     return mix(sums + mix(size.astype(np.uint64))).view(np.int64)
 
 
-def frequency_sketch(rows: DataFrame, width: int) -> np.ndarray:
-    """Per sketch bucket the logarithm of the number of (text, token) pairs in it, over all texts.
+def frequency_ranks(rows: DataFrame, width: int) -> np.ndarray:
+    """Per order and sketch bucket the logarithm of the number of (text, token) pairs in it, over all texts.
 
     Each task sends one array per chunk; they are added as a stream. What reaches the driver has a fixed size.
     """
+    size = 1 << SKETCH_BITS
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros((ORDERS, size), np.uint32)
         for part in parts:
             for some in slices(part, "_text"):
                 _, token, _ = token_sets(words_of(some.column("_text")), width)
-                bucket = (token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                total += np.bincount(bucket, minlength=len(total))
-        yield chunk_rows(dict(enumerate(total.reshape(_CHUNKS, -1))))
+                for order in range(ORDERS):
+                    total[order] += np.bincount(buckets(token, order), minlength=size).astype(np.uint32)
+        yield chunk_rows(dict(enumerate(total.reshape(ORDERS * _CHUNKS, -1))))
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for part in parts:
             for chunk, counts in zip(part.column(0).to_pylist(), part.column(1)):
-                values = np.frombuffer(counts.as_buffer(), np.int64)
+                values = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
                 total[chunk] = total[chunk] + values if chunk in total else values
-        yield chunk_rows(total)
+        yield chunk_rows({c: (_STEPS * np.log2(v + 1.0)).astype(np.uint16) for c, v in total.items()})
 
     schema = "chunk int, counts binary"
     summed = rows.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
-    table = np.zeros((_CHUNKS, 1 << CHUNK_BITS), np.uint8)
+    table = np.zeros((ORDERS * _CHUNKS, 1 << CHUNK_BITS), np.uint16)
     for row in summed.collect():
-        table[row["chunk"]] = np.log2(np.frombuffer(row["counts"], np.int64) + 1).astype(np.uint8)
-    return table.reshape(-1)
+        table[row["chunk"]] = np.frombuffer(row["counts"], np.uint16)
+    return table.reshape(ORDERS, size)
 
 
 def chunk_rows(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -105,24 +117,28 @@ def chunk_rows(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
     )
 
 
-def prefixes(width: int, percent: int, sketch: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def prefix_length(n, percent: int):
+    """Tokens of a set of size n among which a similar set must have one."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def prefixes(width: int, percent: int, ranks: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``doc_id, class, n, p0, p1, …``: per text its class, its size, and its prefix under each order."""
-    seeds = keys(ORDERS, seed=21)
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for some in slices(part, "_text"):
                 text, token, size = token_sets(words_of(some.column("_text")), width)
-                rank = sketch[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
+                length = np.where(size > 0, prefix_length(size, percent), 0)
                 first = np.concatenate([[0], np.cumsum(size)])
                 lists = []
-                for seed in seeds:
-                    place = (rank << np.uint64(56)) | (mix(token ^ seed) >> np.uint64(8))
+                for nth in range(ORDERS):
+                    rank = ranks[nth][buckets(token, nth)].astype(np.uint64)
+                    place = (rank << np.uint64(48)) | (mix(token ^ np.uint64(nth + 1)) >> np.uint64(16))
                     order = np.argsort(place)
                     order = order[np.argsort(text[order], kind="stable")]
-                    nth = np.arange(len(order)) - first[text]
-                    chosen = token[order[nth < length[text]]].view(np.int64)
+                    before = np.arange(len(order)) - first[text]
+                    chosen = token[order[before < length[text]]].view(np.int64)
                     offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen)))
                 yield pa.RecordBatch.from_arrays(
@@ -146,45 +162,111 @@ def postings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def meeting(sets: DataFrame, order: int) -> DataFrame:
-    """``key, class, n``: the prefix tokens under an order that two classes share. One row per token and class."""
+def meeting(sets: DataFrame, order: int, percent: int) -> DataFrame:
+    """``class, n, own, tokens``: per class the prefix tokens under an order that it shares with another class.
+
+    ``own`` counts the prefix tokens of the class that it shares with none. ``tokens`` is bounded by the prefix.
+    """
     rows = sets.select("class", "n", f"p{order}").where("n > 0")
     found = sharing.shared(rows.mapInArrow(postings, sharing.KEYED_SCHEMA), with_key=True)
-    return staged(found.select("key", F.col("owner").alias("class"), F.col("place").alias("n")).distinct(), "meeting")
+    tokens = found.groupBy(F.col("owner").alias("class"), F.col("place").alias("n")).agg(F.collect_set("key").alias("tokens"))
+    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    return staged(tokens.select("class", "n", (length - F.size("tokens")).alias("own"), "tokens"), "meeting")
 
 
-def close_sizes(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def can_be_similar(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes of two classes, and what each has for itself, leave room for the similarity."""
+    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.own"), F.col(f"{b}.n") - F.col(f"{b}.own"))
+    return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
 def leader_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: each class with the least class of each of its token groups."""
-    leaders = met.groupBy("key").agg(F.min(F.struct("class", "n")).alias("l"))
-    pairs = met.join(leaders, "key").where(
-        (F.col("class") != F.col("l.class")) & close_sizes(F.col("n"), F.col("l.n"), percent)
+    """``a, b`` with a < b: each class with the leader of each of its token groups, the class with the fewest of its own."""
+    rows = met.select(F.explode("tokens").alias("key"), "class", "n", "own")
+    led = rows.groupBy("key").agg(F.min(F.struct("own", "class", "n")).alias("l")).select("key", "l.*")
+    pairs = rows.alias("x").join(led.alias("y"), "key").where(
+        (F.col("x.class") != F.col("y.class")) & can_be_similar("x", "y", percent)
     )
-    return pairs.select(F.col("l.class").alias("a"), F.col("class").alias("b")).distinct()
+    return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
 def open_pairs(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """``a, b`` with a < b: classes that share a token and lie in different components.
 
-    Token groups within one component, the hot ones among them, leave before anything is paired.
+    One side are only classes outside the component of their group's leader, so a hot group of one
+    component, and most of a group with few strays, is never paired.
     """
     named = met.join(found.withColumnRenamed("node", "class"), "class", "left").select(
-        "key", "class", "n", F.coalesce("component", "class").alias("c")
+        F.explode("tokens").alias("key"), "class", "n", "own", F.coalesce("component", "class").alias("c")
+    )
+    led = named.groupBy("key").agg(F.min(F.struct("own", "class", "c")).alias("l"), F.min("c").alias("low"), F.max("c").alias("high"))
+    mixed = led.where("low <> high").select("key", F.col("l.c").alias("led_by"))
+    left = staged(named.join(mixed, "key"), "open")
+    pairs = left.where("c <> led_by").alias("x").join(
+        left.alias("y"),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & can_be_similar("x", "y", percent),
     )
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    left = staged(named.join(mixed, "key", "left_semi"), "open")
-    a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.class") < F.col("b.class"))
-        & (F.col("a.c") != F.col("b.c"))
-        & close_sizes(F.col("a.n"), F.col("b.n"), percent),
+    return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+
+def split_classes(loose: DataFrame, found: DataFrame) -> DataFrame:
+    """``class``: members of components of tried pairs that the verified links leave in pieces."""
+    centres = loose.select(F.col("component").alias("node"), "component").distinct()
+    members = loose.unionByName(centres).select(F.col("node").alias("class"), F.col("component").alias("whole"))
+    named = members.join(found.withColumnRenamed("node", "class"), "class", "left").select(
+        "class", "whole", F.coalesce("component", "class").alias("c")
     )
-    return pairs.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    pieces = named.groupBy("whole").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    return staged(named.join(pieces, "whole", "left_semi").select("class"), "split")
+
+
+#: Bits of the filter that spares texts the shuffle, and of one chunk of it: 2 MB at any input size. Fuller filters let more texts through.
+FILTER_BITS, FILTER_CHUNK = 24, 15
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A table of bits, one set per id of ``ids(_id)`` by its hash; ids not in ``ids`` may hit a set bit, too."""
+    n = 1 << (FILTER_BITS - FILTER_CHUNK)
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for part in parts:
+            bits[id_bits(part.column(0))] = True
+        chunks = np.packbits(bits).reshape(n, -1)
+        yield chunk_rows({i: chunks[i] for i in np.flatnonzero(chunks.any(axis=1)).tolist()})
+
+    def unite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for part in parts:
+            for chunk, packed in zip(part.column(0).to_pylist(), part.column(1)):
+                values = np.frombuffer(packed.as_buffer(), np.uint8)
+                total[chunk] = total[chunk] | values if chunk in total else values
+        yield chunk_rows(total)
+
+    schema = "chunk int, counts binary"
+    table = np.zeros((n, 1 << (FILTER_CHUNK - 3)), np.uint8)
+    for row in ids.mapInArrow(mark, schema).repartition("chunk").mapInArrow(unite, schema).collect():
+        table[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
+    return np.unpackbits(table.reshape(-1)).astype(bool)
+
+
+def id_bits(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class, _text`` for ``wanted(class, _id)``. Most other texts are left out before the join, by a filter on ids."""
+    packed = np.packbits(id_filter(wanted.select("_id")))
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed).astype(bool)
+        for part in parts:
+            chosen = part.filter(pa.array(bits[id_bits(part.column(0))]))
+            if chosen.num_rows:
+                yield chosen
+
+    known = rows.where("_id is not null").mapInArrow(read, "_id long, _text string")
+    return staged(known.join(wanted, "_id").select("class", "_text"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -228,17 +310,11 @@ def near_duplicates(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     lists = ", ".join(f"p{k} array<long>" for k in range(ORDERS))
-    sketch = frequency_sketch(rows, width)
-    sets = staged(rows.mapInArrow(prefixes(width, percent, sketch), f"doc_id long, class long, n long, {lists}"), "sets")
+    ranks = frequency_ranks(rows, width)
+    sets = staged(rows.mapInArrow(prefixes(width, percent, ranks), f"doc_id long, class long, n long, {lists}"), "sets")
     known = sets.where("doc_id is not null")
 
-    met = [meeting(known, 0)]
-    for order in range(1, ORDERS):
-        within = met[-1].select("class").distinct()
-        met.append(meeting(known.join(within, "class", "left_semi"), order))
-    alike = met[-1].select("class").distinct()
-    first = known.groupBy("class").agg(F.min("doc_id").alias("_id")).join(alike, "class", "left_semi")
-    texts = staged(rows.join(first, "_id").select("class", "_text"), "texts")
+    met = [meeting(known, order, percent) for order in range(ORDERS)]
 
     def candidates(pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
         found = pairs(met[0])
@@ -247,12 +323,21 @@ def near_duplicates(
         return found
 
     tried = staged(candidates(lambda m: leader_pairs(m, percent)), "pairs")
+    # Verified links join no more than all tried pairs would. So a pair of the second round either lies between
+    # components of tried pairs, and is found already here, or within one that verified links leave in pieces.
+    loose = components(tried.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    apart = staged(candidates(lambda m: open_pairs(m, loose, percent)), "apart")
+    needed = tried.unionByName(apart).select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    first = known.groupBy("class").agg(F.min("doc_id").alias("_id")).join(needed, "class", "left_semi")
+    texts = texts_of(rows, staged(first, "first"))
+
     edges = staged(verified(tried, texts, width, percent), "links")
     found = components(edges)
-    rest = candidates(lambda m: open_pairs(m, found, percent))
-    rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    split = split_classes(loose, found)
+    within = candidates(lambda m: open_pairs(m.join(split, "class", "left_semi"), found, percent))
+    rest = apart.unionByName(within).distinct().join(tried, ["a", "b"], "left_anti")
     more = staged(verified(rest, texts, width, percent), "links")
-    found = components(edges.unionByName(more))
+    found = components(found.toDF("u", "v").unionByName(more))
 
     named = sets.join(found.withColumnRenamed("node", "class"), "class", "left").select(
         "doc_id", "n", F.coalesce("component", "class").alias("c")
@@ -263,7 +348,9 @@ def near_duplicates(
     return named.join(least, "c", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("least", "doc_id"))
+        .otherwise(F.col("doc_id"))
+        .alias("component_id"),
     )
 
 

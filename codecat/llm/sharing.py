@@ -46,9 +46,16 @@ def _runs(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _sorted(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((place, owner, key))
-    return key[order], owner[order], place[order]
+def _as_given(order: np.ndarray, columns: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """Rows back in the order they had before sorting: neighbours of one owner compress well in the shuffle."""
+    there = np.zeros(size, bool)
+    there[order] = True
+    out = []
+    for column in columns:
+        full = np.empty(size, column.dtype)
+        full[order] = column
+        out.append(full[there])
+    return out
 
 
 def combined_shared(
@@ -60,10 +67,11 @@ def combined_shared(
     """
     if not len(key):
         return
-    key, owner, place = _sorted(key, owner, place)
-    new = np.ones(len(key), bool)
+    size, order = len(key), np.lexsort((place, owner, key))
+    key, owner, place = key[order], owner[order], place[order]
+    new = np.ones(size, bool)
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
-    key, owner, place = key[new], owner[new], place[new]
+    order, key, owner, place = order[new], key[new], owner[new], place[new]
     starts, run = _runs(key, owner)
     ends = np.append(starts[1:], len(key)) - 1
     known = np.where((owner[starts] != owner[ends])[run], PASSED, OPEN)
@@ -71,17 +79,20 @@ def combined_shared(
     known[first] = SHARED
     passed = known == PASSED
     columns = [_moved(key, owner, place, passed), owner, place, known.astype(np.int8)]
-    yield from batches(*columns, *([np.where(passed, key, 0).view(np.int64)] if with_key else []))
+    columns += [np.where(passed, key, 0).view(np.int64)] if with_key else []
+    yield from batches(*_as_given(order, columns, size))
 
 
 def combined_later(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Combine a batch for :func:`later`: only rows of the smallest owner stay in the group."""
     if not len(key):
         return
-    key, owner, place = _sorted(key, owner, place)
+    order = np.lexsort((owner, key))
+    key, owner, place = key[order], owner[order], place[order]
     starts, run = _runs(key, owner)
     passed = owner > owner[starts][run]
-    yield from batches(_moved(key, owner, place, passed), owner, place, np.where(passed, PASSED, OPEN).astype(np.int8))
+    columns = [_moved(key, owner, place, passed), owner, place, np.where(passed, PASSED, OPEN).astype(np.int8)]
+    yield from batches(*_as_given(order, columns, len(order)))
 
 
 def _dealt(occurrences: DataFrame) -> DataFrame:
