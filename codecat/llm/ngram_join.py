@@ -9,10 +9,10 @@ lets many pairs through by chance. So candidates must meet under every one of
   documents in a sketch of fixed size, one per order with a hash function of its own, so their errors
   differ: a frequent token that one order takes for a rare one is seldom so lucky in another.
 * *Classes.* Documents with one set are one class, named by a digest. Only classes meet.
-* *Meeting.* Prefix tokens that two classes share are found by one shuffle, without groups
-  (:mod:`.sharing`); most tokens end there.
-* *Bounds.* Prefix tokens that a class shares with none are lost to every intersection. That and the
-  sizes bound a pair's similarity before it is formed.
+* *Meeting.* Prefix tokens that two classes share are found by one shuffle for all orders, without
+  groups (:mod:`.sharing`); most tokens end there.
+* *Positions.* What precedes the first token that two prefixes share is in one set only. So that token
+  stands early in both, or the sets are too different; meetings at later positions are not paired.
 * *Hot groups.* Thousands of near copies share their prefixes. So the first round verifies each
   class only with the leader of each token group, the class with the fewest tokens of its own: in a
   family of copies that is the original. The links form components. The second round verifies what is
@@ -122,68 +122,74 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefixes(width: int, percent: int, ranks: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``doc_id, class, n, p0, p1, …``: per text its class, its size, and its prefix under each order."""
+#: The two low bits of a key tell the order of its token, or that the row is a document's set.
+ORDER_BITS, SET = 2, 2
+#: The low bits of a place hold a token's position in the prefix, from 1; the size of the set is above.
+POSITION_BITS = 24
+
+
+def set_keys(width: int, percent: int, ranks: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """All that is matched of ``_id, _text`` rows, from one pass over the texts.
+
+    Rows of :data:`sharing.KEYED_SCHEMA`. For each order the tokens of a text's prefix: key the token, owner the
+    class, place the size of the set and the position. And one row that is only handed on: owner the class, place the id,
+    own_key the size.
+    """
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            keyed, owned, placed = [], [], []
             for some in slices(part, "_text"):
                 text, token, size = token_sets(words_of(some.column("_text")), width)
+                classes, ids = set_classes(text, token, size), some.column("_id").to_numpy()
                 length = np.where(size > 0, prefix_length(size, percent), 0)
                 first = np.concatenate([[0], np.cumsum(size)])
-                lists = []
                 for nth in range(ORDERS):
                     rank = ranks[nth][buckets(token, nth)].astype(np.uint64)
                     place = (rank << np.uint64(48)) | (mix(token ^ np.uint64(nth + 1)) >> np.uint64(16))
                     order = np.argsort(place)
                     order = order[np.argsort(text[order], kind="stable")]
                     before = np.arange(len(order)) - first[text]
-                    chosen = token[order[before < length[text]]].view(np.int64)
-                    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen)))
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("_id"), pa.array(set_classes(text, token, size)), pa.array(size.astype(np.int64)), *lists],
-                    ["doc_id", "class", "n", *(f"p{k}" for k in range(ORDERS))],
-                )
+                    chosen = before < length[text]
+                    keyed.append((token[order[chosen]] << np.uint64(ORDER_BITS)) | np.uint64(nth))
+                    owned.append(np.repeat(classes, length))
+                    placed.append(np.repeat(size.astype(np.int64) << POSITION_BITS, length) | (before[chosen] + 1))
+                known = np.full(len(ids), sharing.PASSED, np.int8)
+                own_key = (size.astype(np.int64) << ORDER_BITS) | SET
+                yield from sharing.batches(mix(ids.view(np.uint64)).view(np.int64), classes, ids, known, own_key)
+            if keyed:
+                columns = (np.concatenate(c) for c in (keyed, owned, placed))
+                yield from sharing.combined_shared(*columns, with_key=True)
 
     return read
 
 
-def postings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of the tokens of ``class, n, tokens`` rows: key the token, owner the class, place the size."""
-    for part in parts:
-        lists = part.column(2)
-        counts = lists.value_lengths().to_numpy()
-        yield from sharing.combined_shared(
-            lists.flatten().to_numpy().view(np.uint64),
-            np.repeat(part.column(0).to_numpy(), counts),
-            np.repeat(part.column(1).to_numpy(), counts),
-            with_key=True,
-        )
-
-
-def meeting(sets: DataFrame, order: int, percent: int) -> DataFrame:
+def meeting(found: DataFrame, order: int, percent: int) -> DataFrame:
     """``class, n, own, tokens``: per class the prefix tokens under an order that it shares with another class.
 
-    ``own`` counts the prefix tokens of the class that it shares with none. ``tokens`` is bounded by the prefix.
+    ``tokens`` holds ``key, pos`` and is bounded by the prefix; ``own`` counts the prefix tokens not in it.
     """
-    rows = sets.select("class", "n", f"p{order}").where("n > 0")
-    found = sharing.shared(rows.mapInArrow(postings, sharing.KEYED_SCHEMA), with_key=True)
-    tokens = found.groupBy(F.col("owner").alias("class"), F.col("place").alias("n")).agg(F.collect_set("key").alias("tokens"))
+    rows = found.where(F.col("key").bitwiseAND((1 << ORDER_BITS) - 1) == order)
+    token = F.struct("key", F.col("place").bitwiseAND((1 << POSITION_BITS) - 1).alias("pos"))
+    size = F.shiftright("place", POSITION_BITS).alias("n")
+    tokens = rows.groupBy(F.col("owner").alias("class"), size).agg(F.collect_set(token).alias("tokens"))
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     return staged(tokens.select("class", "n", (length - F.size("tokens")).alias("own"), "tokens"), "meeting")
 
 
 def can_be_similar(a: str, b: str, percent: int) -> Column:
-    """Whether the sizes of two classes, and what each has for itself, leave room for the similarity."""
-    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.own"), F.col(f"{b}.n") - F.col(f"{b}.own"))
-    return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
+    """Whether two sets can be similar if the token at which they meet is the first that they share.
+
+    All before it is in one of them only, so at most the tokens from there on are in both.
+    """
+    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) + 1
+    return (100 + percent) * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def leader_pairs(met: DataFrame, percent: int) -> DataFrame:
     """``a, b`` with a < b: each class with the leader of each of its token groups, the class with the fewest of its own."""
-    rows = met.select(F.explode("tokens").alias("key"), "class", "n", "own")
-    led = rows.groupBy("key").agg(F.min(F.struct("own", "class", "n")).alias("l")).select("key", "l.*")
+    rows = met.select("class", "n", "own", F.inline("tokens"))
+    led = rows.groupBy("key").agg(F.min(F.struct("own", "class", "n", "pos")).alias("l")).select("key", "l.*")
     pairs = rows.alias("x").join(led.alias("y"), "key").where(
         (F.col("x.class") != F.col("y.class")) & can_be_similar("x", "y", percent)
     )
@@ -197,7 +203,7 @@ def open_pairs(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     component, and most of a group with few strays, is never paired.
     """
     named = met.join(found.withColumnRenamed("node", "class"), "class", "left").select(
-        F.explode("tokens").alias("key"), "class", "n", "own", F.coalesce("component", "class").alias("c")
+        "class", "n", "own", F.coalesce("component", "class").alias("c"), F.inline("tokens")
     )
     led = named.groupBy("key").agg(F.min(F.struct("own", "class", "c")).alias("l"), F.min("c").alias("low"), F.max("c").alias("high"))
     mixed = led.where("low <> high").select("key", F.col("l.c").alias("led_by"))
@@ -309,12 +315,13 @@ def near_duplicates(
     rows; other columns are not looked at. ``percent`` must be over 50.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    lists = ", ".join(f"p{k} array<long>" for k in range(ORDERS))
     ranks = frequency_ranks(rows, width)
-    sets = staged(rows.mapInArrow(prefixes(width, percent, ranks), f"doc_id long, class long, n long, {lists}"), "sets")
-    known = sets.where("doc_id is not null")
-
-    met = [meeting(known, order, percent) for order in range(ORDERS)]
+    keyed = rows.where("_id is not null").mapInArrow(set_keys(width, percent, ranks), sharing.KEYED_SCHEMA)
+    shared = staged(sharing.shared(keyed, with_key=True), "shared")
+    known = shared.where(F.col("key").bitwiseAND((1 << ORDER_BITS) - 1) == SET).select(
+        F.col("place").alias("doc_id"), F.col("owner").alias("class"), F.shiftright("key", ORDER_BITS).alias("n")
+    )
+    met = [meeting(shared, order, percent) for order in range(ORDERS)]
 
     def candidates(pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
         found = pairs(met[0])
@@ -339,19 +346,34 @@ def near_duplicates(
     more = staged(verified(rest, texts, width, percent), "links")
     found = components(found.toDF("u", "v").unionByName(more))
 
-    named = sets.join(found.withColumnRenamed("node", "class"), "class", "left").select(
+    named = known.join(found.withColumnRenamed("node", "class"), "class", "left").select(
         "doc_id", "n", F.coalesce("component", "class").alias("c")
     )
-    least = staged(
-        named.where("n > 0 and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most"), "least"
-    )
-    return named.join(least, "c", "left").select(
+    least = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    least = staged(least.where("least <> most"), "least")
+    result = named.join(least, "c", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("least", "doc_id"))
-        .otherwise(F.col("doc_id"))
-        .alias("component_id"),
+        F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+    return result.unionByName(rows.where("_id is null").mapInArrow(sizes_only(width), RESULT))
+
+
+#: The columns of :func:`near_duplicates`.
+RESULT = "doc_id long, n_shingles long, component_id long"
+
+
+def sizes_only(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Results of rows without an id."""
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for some in slices(part, "_text"):
+                size = token_sets(words_of(some.column("_text")), width)[2]
+                none = pa.nulls(len(size), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(size.astype(np.int64)), none], ["doc_id", "n_shingles", "component_id"])
+
+    return read
 
 
 def drop_near_duplicates(
