@@ -77,7 +77,10 @@ def main() -> None:
             find.search_batch(catalogue, fixture.name_queries(spark, sf_dir))
         ),
         "expand_archives": lambda: consume(registered["expand_archives"](spark, sf_dir)),
-        "maven_artifacts": lambda: consume(registered["maven_artifacts"](spark, sf_dir)),
+        **{
+            name: lambda name=name: consume(registered[name](spark, sf_dir))
+            for name in ("maven_artifacts", "new_artifacts", "jdk_archive", "index_upsert", "incremental_index", "index_archives")
+        },
     }
     seconds = {}
     for name, run in timed.items():

@@ -114,19 +114,22 @@ def open_catalogue(spark: SparkSession, table: str) -> DataFrame:
 
 
 def _write(documents: DataFrame, table: str, mode: str) -> None:
-    """Store documents by language, sorted by name within each file.
+    """Store documents by language, in ranges of the lower-cased name.
 
-    The rebalance hint sizes the files and splits a large language; the order
-    lets a search for a whole name skip row groups.
+    Each file holds a range of names, in order, so a search for a whole name skips
+    files as well as row groups. The rows are stored first: finding the ranges
+    reads them once more.
     """
-    rows = documents.select("name", "path", lower_ascii(F.col("name")).alias("name_lc"), "language")
-    (
-        rows.hint("rebalance", "language")
-        .sortWithinPartitions("language", "name_lc")
-        .write.mode(mode)
-        .partitionBy("language")
-        .parquet(table)
-    )
+    with scratch_space(documents.sparkSession, "ranges") as work:
+        rows = documents.select("name", "path", lower_ascii(F.col("name")).alias("name_lc"), "language")
+        (
+            staged(rows, "rows", under=work)
+            .repartitionByRange("language", "name_lc")
+            .sortWithinPartitions("language", "name_lc")
+            .write.mode(mode)
+            .partitionBy("language")
+            .parquet(table)
+        )
 
 
 def reset_catalogue(documents: DataFrame, table: str) -> None:

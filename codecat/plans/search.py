@@ -143,12 +143,11 @@ def resolve_name(
 def lookup_content(hits: DataFrame, files: DataFrame) -> DataFrame:
     """``(language, name, path, content)``: documents with their source.
 
-    Few hits meet the corpus map-side, so contents are not shuffled. For many,
+    The hits are stored first, so they are computed once and Spark knows their
+    size: few meet the corpus map-side, and contents are not shuffled. For many,
     only files that a catalogue can name take part in the shuffle.
     """
-    wanted = hits.select(*CATALOGUE_KEY)
-    if fits_broadcast(wanted):
-        wanted = F.broadcast(wanted)
+    wanted = staged(hits.select(*CATALOGUE_KEY), "hits")
     sources = files.where(ends_with_any(F.col("path"), SOURCE_SUFFIXES))
     return sources.select("path", "content").join(wanted, "path").select(*CATALOGUE_KEY, "content")
 

@@ -17,6 +17,8 @@ ARCHIVES = T.StructType(
 )
 CATALOGUE = _strings("language", "name", "path")
 REJECTS = _strings("path", "stage", "reason")
+#: Output directories of the archives that were expanded.
+EXTRACTED = _strings("out_dir")
 
 #: The key on which a catalogue row is unique.
 CATALOGUE_KEY = ["language", "name", "path"]

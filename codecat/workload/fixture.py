@@ -151,14 +151,15 @@ _ARCHIVE_PATH = """CASE WHEN d % 50 = 0
 
 
 def _packed(row: dict) -> bytes:
-    """A document as two files, a directory and an entry that leaves its directory."""
+    """A document as a Java file and a text, a directory and an entry that leaves its directory."""
     data = row["text"].encode()
+    source = f"package org.acme{row['m']};\npublic class Doc{row['d']} {{}}\n".encode() + data
     if row["d"] % 23 == 0:
         return data
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as out:
         out.writestr("META-INF/", "")
-        out.writestr(f"org/acme{row['m']}/Doc{row['d']}.java", data)
+        out.writestr(f"org/acme{row['m']}/Doc{row['d']}.java", source)
         out.writestr(f"a/b/c/d/{row['d']}.txt", data + data)
         out.writestr(f"../evil{row['d']}.txt", data)
     return packed.getvalue()
@@ -185,4 +186,6 @@ def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``archives(path, content)``: one per document; some are no zip files."""
     documents = _documents(spark, sf_dir).selectExpr("d", "m", "text", f"{_ARCHIVE_PATH} AS path")
+    # The table may be a single row group, and packing takes longer than reading.
+    documents = documents.repartition(spark.sparkContext.defaultParallelism)
     return documents.mapInArrow(_pack, "path string, content binary")

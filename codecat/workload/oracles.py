@@ -182,6 +182,14 @@ def oracles() -> dict[str, str]:
             UNION ALL SELECT venv || '/pyvenv.cfg', 'python', 'no site-packages' FROM ve WHERE venv NOT IN (SELECT venv FROM st)
             UNION ALL SELECT path, 'javascript', 'bad manifest' FROM nv WHERE ok IS NOT TRUE
             UNION ALL SELECT path, 'go', 'no module name' FROM gm WHERE found = ''""",
+        "index_archives": f"""{_ARCHIVES} SELECT 'java' AS language, CASE WHEN d % 50 = 0 THEN '' ELSE 'org.' END || 'acme' || m || '.Doc' || i AS name,
+                out || '/org/acme' || m || '/Doc' || i || '.java' AS path FROM a WHERE d % 23 <> 0""",
+        "index_stored_rejects": f"""{_ARCHIVES} SELECT archive AS path, 'archive' AS stage, 'bad archive: BadZipFile' AS reason FROM a WHERE d % 23 = 0
+            UNION ALL SELECT archive || '!../evil' || i || '.txt', 'archive', 'entry leaves its directory' FROM a WHERE d % 23 <> 0""",
+        "index_extracted": f"{_ARCHIVES} SELECT replace(out, '/home/dev/idx/java/', '') AS out_dir FROM a",
+        "index_reset": f"{_CATALOGUE} SELECT language, name, path FROM cat WHERE language <> 'java'",
+        "search_stored": f"""{_CATALOGUE} SELECT language, name, path FROM cat WHERE language = 'python' AND {_NAME_LC} LIKE '%pkg%m%'
+            UNION ALL SELECT language, name, path FROM cat WHERE {_NAME_LC} LIKE 'example.com/m_/f%3.go'""",
         "catalogue_counts": f"{_CATALOGUE} SELECT language, count(*) AS documents FROM cat GROUP BY language",
         "index_upsert": f"{_CATALOGUE} SELECT language, name, path FROM cat",
         "incremental_index": f"""{_SOURCE}, early AS (SELECT * FROM files WHERE length(path) % 3 <> 0),
@@ -221,7 +229,9 @@ def oracles() -> dict[str, str]:
         "java_sources": f"""{_ARTIFACTS}, {_JDKS} SELECT arg_min(path, string_split(path, '/')) AS path, out_dir FROM artifacts GROUP BY out_dir
             UNION ALL SELECT path, 'sources/' || version || jvm_root || '/jdk' FROM jdks""",
         "expand_archives": f"""{_ARCHIVES}
-            SELECT archive, out || '/org/acme' || m || '/Doc' || i || '.java' AS path, md5(text) AS digest, '' AS reason FROM a WHERE d % 23 <> 0
+            SELECT archive, out || '/org/acme' || m || '/Doc' || i || '.java' AS path,
+                md5('package org.acme' || m || ';' || chr(10) || 'public class Doc' || i || ' {{}}' || chr(10) || text) AS digest, '' AS reason
+            FROM a WHERE d % 23 <> 0
             UNION ALL SELECT archive, out || '/a/b/c/d/' || i || '.txt', md5(text || text), '' FROM a WHERE d % 23 <> 0
             UNION ALL SELECT archive, '../evil' || i || '.txt', '', 'entry leaves its directory' FROM a WHERE d % 23 <> 0
             UNION ALL SELECT archive, '', '', 'bad archive: BadZipFile' FROM a WHERE d % 23 = 0""",

@@ -12,6 +12,8 @@ from ..operators import gomod, java, maven, npm, python_env
 from ..operators.digest import JS_SUFFIXES, MARKERS, digest
 from ..plans import catalogue as store
 from ..plans import search as find
+from ..plans.archives import extracted, index_with_archives
+from ..plans.archives import rejects as stored_rejects
 from ..sources.archives import expand_archives as expand
 from ..sources.scratch import scratch_dir
 from ..streaming.reindex import reindex
@@ -144,6 +146,50 @@ def index_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.build_catalogue(fixture.files(spark, sf_dir))[1]
 
 
+def _indexed_archives(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Archives indexed in two runs that overlap; gives the catalogue and the state."""
+    home = scratch_dir(spark, "archives")
+    archives = fixture.archives(spark, sf_dir)
+    for some in (archives.where(F.length("path") % 2 == 0), archives):
+        index_with_archives(spark, some, f"{home}/catalogue", f"{home}/state", root=fixture.EXTRACTED)
+    return f"{home}/catalogue", f"{home}/state"
+
+
+@_query
+def index_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.open_catalogue(spark, _indexed_archives(spark, sf_dir)[0]).select("language", "name", "path")
+
+
+@_query
+def index_stored_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_rejects(spark, _indexed_archives(spark, sf_dir)[1])
+
+
+@_query
+def index_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(spark, _indexed_archives(spark, sf_dir)[1])
+
+
+@_query
+def index_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reset over a table with other documents leaves the new ones alone."""
+    target = scratch_dir(spark, "catalogue")
+    documents = _built(spark, sf_dir)
+    store.upsert_catalogue(documents.where("language <> 'go'"), target)
+    store.reset_catalogue(documents.where("language <> 'java'"), target)
+    return store.open_catalogue(spark, target).select("language", "name", "path")
+
+
+@_query
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fuzzy search with a language and an exact one, on the stored table."""
+    target = scratch_dir(spark, "catalogue")
+    store.upsert_catalogue(_built(spark, sf_dir), target)
+    catalogue = store.open_catalogue(spark, target)
+    fuzzy = find.search(catalogue, "pkg m", language="python")
+    return fuzzy.unionByName(find.search(catalogue, "example.com/m_/f%3.go", exact=True))
+
+
 @_query
 def catalogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.catalogue_counts(_built(spark, sf_dir))

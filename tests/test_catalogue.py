@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from codecat.operators.digest import digest
 from codecat.plans import catalogue as store
@@ -93,6 +94,66 @@ def test_stored_search_is_pruned(spark, table):
     assert rows(exact) == DOCUMENTS[1:2]
 
 
+def test_files_hold_ranges_of_names(spark, table):
+    """A whole name lies in the range of one file per language, so the others are skipped."""
+    names = [(lang, f"name{(7919 * i) % 4000:05d}", f"/p{i}") for i in range(4000) for lang in ("go", "java")]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        store.upsert_catalogue(spark.createDataFrame(names, "language string, name string, path string"), table)
+    finally:
+        spark.conf.unset(key)
+    stored = store.open_catalogue(spark, table)
+    ranges = stored.groupBy("language", F.input_file_name().alias("file")).agg(F.min("name_lc").alias("low"), F.max("name_lc").alias("high"))
+    files = sorted((r["language"], r["low"], r["high"]) for r in ranges.collect())
+    assert len(files) > 6
+    assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(files, files[1:]))
+
+
+def test_contents_are_read_only_where_needed(spark, tmp_path, corpus):
+    """The staged digest of a Python-only build does not scan contents."""
+    corpus(TREE).write.parquet(str(tmp_path / "files"))
+    files = spark.read.schema("path string, content string").parquet(str(tmp_path / "files"))
+    plan = digest(files, kinds=None, read=store._with_contents(["python"]))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
+    found = store.build_catalogue(files, languages=["python"])[0]
+    everything = store.build_catalogue(files)[0].where("language = 'python'")
+    assert rows(found) == rows(everything)
+
+
+def test_archives_are_expanded_once(spark, tmp_path, table, monkeypatch):
+    import io
+    import zipfile
+
+    from codecat.plans import archives
+
+    def packed(name, text):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as target:
+            target.writestr(name, text)
+        return bytearray(out.getvalue())
+
+    repo, state = "/h/.m2/repository/org/lib", str(tmp_path / "state")
+    first = [(f"{repo}/1/lib-1-sources.jar", packed("A.java", "package org; class A")), (f"{repo}/2/lib-2-sources.jar", bytearray(b"bad"))]
+    more = [(f"{repo}/3/lib-3-sources.jar", packed("B.java", "package org; class B")), ("/h/odd-sources.jar", bytearray(b""))]
+    table_of = lambda rows: spark.createDataFrame(rows, "path string, content binary")
+    archives.index_with_archives(spark, table_of(first), table, state)
+    asked = []
+    expand = archives.expand_archives
+    monkeypatch.setattr(archives, "expand_archives", lambda a, wanted, root: asked.append(wanted.count()) or expand(a, wanted, root))
+    archives.index_with_archives(spark, table_of(first + more), table, state)
+    archives.index_with_archives(spark, table_of(first + more), table, state)
+    assert asked == [1, 0]
+    assert [r[:2] for r in rows(store.open_catalogue(spark, table))] == [("java", "org.A"), ("java", "org.B")]
+    assert sorted(map(tuple, archives.extracted(spark, state).collect())) == [("sources/org/lib/1",), ("sources/org/lib/2",), ("sources/org/lib/3",)]
+    assert [r[1:] for r in sorted(map(tuple, archives.rejects(spark, state).collect()))] == [
+        ("archive", "bad archive: BadZipFile"), ("maven", "bad path"),
+    ]
+    archives.index_with_archives(spark, table_of(more), table, state, remove=True)
+    assert [r[1] for r in rows(store.open_catalogue(spark, table))] == ["org.B"]
+    assert sorted(map(tuple, archives.extracted(spark, state).collect())) == [("sources/org/lib/3",)]
+
+
 def test_plans_use_no_nested_loops(corpus):
     built, rejects = store.build_catalogue(corpus(TREE), stage=False)
     for df in (built, rejects):
