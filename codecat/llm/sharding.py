@@ -86,8 +86,9 @@ def shuffle_into_shards(
     )
     table = path or scratch_dir(spark, "shards")
     shuffled = buckets.select("shard", "bucket", F.posexplode(F.shuffle("_rows", seed)).alias("place", "_row"))
-    shuffled.select("shard", "bucket", "place", "_row.*").write.mode("overwrite").partitionBy("shard").parquet(table)
-    return placed(spark.read.parquet(table))
+    out = shuffled.select("shard", "bucket", "place", "_row.*")
+    out.write.mode("overwrite").partitionBy("shard").parquet(table)
+    return placed(spark.read.schema(out.schema).parquet(table))
 
 
 def placed(written: DataFrame) -> DataFrame:
