@@ -271,5 +271,5 @@ def test_base_counts_against_sql(spark):
     n = {k: found.select(F.sum(F.size(F.filter("spans", lambda s: s["kind"] == k)))).first()[0] for k in ("access", "hex")}  # noqa: B023
     sql = "SELECT sum(len(regexp_extract_all(text, '{}'))) FROM read_parquet('{}')"
     file = os.path.join(SF_DIR, "documents.parquet")
-    assert n["hex"] == duckdb.sql(sql.format("[0-9a-f]{16,}", file)).fetchone()[0]
-    assert n["access"] == duckdb.sql(sql.format("AKIA[A-Z0-9]{14,}", file)).fetchone()[0]
+    assert n["hex"] == duckdb.sql(sql.format("[0-9a-f]{16,}", file)).fetchall()[0][0]
+    assert n["access"] == duckdb.sql(sql.format("AKIA[A-Z0-9]{14,}", file)).fetchall()[0][0]
