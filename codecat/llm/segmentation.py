@@ -46,9 +46,9 @@ OFFSET, BYTE = 2.7, 2.0
 #: The mark that stands for a space in the vocabulary.
 MARK = "▁"
 #: Open sets whose log-mass is so far below the largest cannot win within double precision.
-FAR = 40.0
-#: The lattices kept by a task; beyond that they are made anew.
-KEPT_NODES = 2_500_000
+FAR = 37.0
+#: The nodes of lattices kept by a task, beyond which they are made anew, and the bytes of text sampled at a time.
+KEPT_NODES, BLOCK_BYTES = 1_800_000, 512 << 10
 
 _UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -100,13 +100,13 @@ class Vocabulary:
                 value = int(model.id_to_piece(i)[3:5], 16)
                 byte_ids[value], decoded[i], scores[i] = i, bytes([value]), -math.log(len(ranks) + OFFSET) - BYTE
         size, probes = 1 << SLOT_BITS, 1
-        links, targets = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        links, targets = np.full(size, -1, np.int64), np.zeros(size, np.int32)
         for key, at in zip(trie, slots(np.array(list(trie), np.int64)).tolist()):
             tried = 1
             while links[at] >= 0:
                 at, tried = (at + 1) % size, tried + 1
             links[at], targets[at], probes = key, trie[key], max(probes, tried)
-        return cls(scores, byte_ids, decoded, links, targets, probes, np.array(ends))
+        return cls(scores, byte_ids, decoded, links, targets, probes, np.array(ends, np.int32))
 
     def follow(self, keys: np.ndarray) -> np.ndarray:
         """The node behind each link, or -1."""
@@ -124,22 +124,45 @@ class Vocabulary:
         return self.byte_ids[list(chr(code).encode("utf-8", "surrogatepass"))]
 
 
+class Growing:
+    """An array that grows at its end; ``used`` is the part in use."""
+
+    def __init__(self, kind: type, *first: int) -> None:
+        self.room, self.n = np.empty(1 << 16, kind), len(first)
+        self.room[: self.n] = first
+        self.used = self.room[: self.n]
+
+    def extend(self, values: np.ndarray) -> np.ndarray:
+        end = self.n + len(values)
+        if end > len(self.room):
+            room = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.used
+            self.room = room
+        self.room[self.n : end] = values
+        self.n, self.used = end, self.room[:end]
+        return self.used
+
+
 @dataclass
 class Lattices:
     """The lattices of all units seen, as flat arrays. A node per character, each with a run of edges, longest first.
 
-    ``limit`` is the probability of an edge or one before it, ``head`` the node behind it (-1: the end of the unit),
-    ``token`` its piece, or minus the character that is written in bytes.
+    ``limit`` is the probability of an edge or one before it (single precision, for draws only), ``head`` the node behind it (-1: the end of the unit),
+    ``token`` its piece, or below zero the character that is written in bytes: -1 - code.
     """
 
     vocabulary: Vocabulary
     root: dict[str, int] = field(default_factory=dict)
     n_nodes: int = 0
-    edge_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    limit: np.ndarray = field(default_factory=lambda: np.empty(0))
-    chance: np.ndarray = field(default_factory=lambda: np.empty(0))
-    head: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    token: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+
+    def __post_init__(self) -> None:
+        self.arrays = {"edge_at": Growing(np.int64, 0), "limit": Growing(np.float32), "chance": Growing(np.float64),
+                       "head": Growing(np.int32), "token": Growing(np.int32)}
+        self.extend()
+
+    def extend(self, **more: np.ndarray) -> None:
+        for name, array in self.arrays.items():
+            setattr(self, name, array.extend(more[name]) if name in more else array.used)
 
     def roots(self, units: list[str]) -> np.ndarray:
         """The first node of each unit; new units get their lattices."""
@@ -158,14 +181,14 @@ class Lattices:
         begin, state, length = np.arange(n), np.zeros(n, np.int64), 0
         found, counts = [], np.zeros(n, np.int64)
         while len(begin):
-            state = v.follow(state << 21 | codes[begin + length])
+            state = v.follow(state.astype(np.int64) << 21 | codes[begin + length])
             hit = state >= 0
             begin, state, length = begin[hit], state[hit], length + 1
             piece = v.piece_at[state]
             full = piece >= 0
             tails, pieces = begin[full], piece[full]
             if length == 1:  # a character that is no piece by itself is written in bytes
-                single = -codes
+                single = -1 - codes
                 single[tails] = pieces
                 tails, pieces = np.arange(n), single
             found.append((tails, counts[tails], pieces, length))
@@ -173,12 +196,13 @@ class Lattices:
             on = begin + length < end[begin]
             begin, state = begin[on], state[on]
         at = np.concatenate([[0], np.cumsum(counts)])
-        tail, token, length = (np.empty(at[-1], np.int64) for _ in range(3))
+        tail, token, length = (np.empty(at[-1], np.int32) for _ in range(3))
         for tails, rank, pieces, reach in found:  # the longest first
             place = at[tails + 1] - 1 - rank
             tail[place], token[place], length[place] = tails, pieces, reach
         in_bytes = token < 0
-        width = 1 + (-token > 0x7F).astype(int) + (-token > 0x7FF) + (-token > 0xFFFF)
+        code = -1 - token
+        width = 1 + (code > 0x7F).astype(int) + (code > 0x7FF) + (code > 0xFFFF)
         score = np.where(in_bytes, width * v.scores[v.byte_ids[0]], v.scores[np.maximum(token, 0)])
         weight = self.masses(end - np.arange(n), tail, tail + length, score, at, end)
         chance = np.exp(weight)
@@ -186,9 +210,7 @@ class Lattices:
         limit = sums - (sums[at[:-1]] - chance[at[:-1]])[tail]
         limit[at[1:] - 1] = 1.0
         head = np.where(tail + length < end[tail], self.n_nodes + tail + length, -1)
-        self.edge_at = np.append(self.edge_at, self.edge_at[-1] + at[1:])
-        self.limit, self.chance = np.append(self.limit, limit), np.append(self.chance, chance)
-        self.head, self.token = np.append(self.head, head.astype(np.int32)), np.append(self.token, token.astype(np.int32))
+        self.extend(edge_at=self.edge_at[-1] + at[1:], limit=limit, chance=chance, head=head, token=token)
         self.n_nodes += n
 
     @staticmethod
@@ -224,7 +246,7 @@ class Lattices:
         """The ids of edges one after the other, and how many each edge has."""
         tokens = self.token[edges]
         odd = np.flatnonzero(tokens < 0)
-        spelled = {t: self.vocabulary.byte_tokens(-t) for t in np.unique(tokens[odd]).tolist()}
+        spelled = {t: self.vocabulary.byte_tokens(-1 - t) for t in np.unique(tokens[odd]).tolist()}
         counts = np.ones(len(tokens), np.int64)
         for t, ids in spelled.items():
             counts[odd[tokens[odd] == t]] = len(ids)
@@ -274,7 +296,10 @@ def walk(lattices: Lattices, roots: np.ndarray, streams: np.ndarray) -> Walk:
 
 @dataclass
 class Open:
-    """A set of paths in the queue: those of a sample up to ``step`` that then take none of ``taken``."""
+    """A set of paths in the queue: those of a sample up to ``step`` that then take none of the edges ``taken``.
+
+    ``before`` is the log-probability of the steps up to there.
+    """
 
     bound: float
     sample: int
@@ -286,7 +311,6 @@ class Open:
 @dataclass
 class Path:
     edges: np.ndarray
-    unit_of: np.ndarray
     log_prob: float
     bound: float
 
@@ -307,80 +331,97 @@ class Sampler:
         roots = lattices.roots(list(chain.from_iterable(units)))
         first = np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int64)
         text_of = np.repeat(np.arange(len(texts)), np.diff(first))
-        place = (np.arange(len(roots)) - first[text_of]).astype(np.uint64)
+        place = mix((np.arange(len(roots)) - first[text_of]).astype(np.uint64))
         keys = mix(keys ^ mix(np.array([self.seed], np.uint64)))
         paths: list[list[Path]] = [[] for _ in texts]
         queues: list[list[Open]] = [[] for _ in texts]
-        alive = np.array([len(u) > 0 for u in units], bool)
+        live = np.flatnonzero(np.diff(first)).tolist()
         for nth in range(self.k):
             stream = mix(keys + np.full(1, nth + 1, np.uint64) * _STEP)
-            fresh = walk(lattices, roots, mix(stream[text_of] + mix(place)))
+            fresh = walk(lattices, roots, mix(stream[text_of] + place))
+            upto = np.concatenate([[0.0], np.cumsum(np.log(lattices.chance[fresh.edges]))])
             begins = fresh.units_at[first]
-            branch = []
-            for i in np.flatnonzero(alive).tolist():
-                edges = fresh.edges[begins[i] : begins[i + 1]]
-                if nth == 0:
-                    bound = -math.log(-math.log(uniform(stream[i : i + 1])[0]))
-                    sizes = np.diff(fresh.units_at[first[i] : first[i + 1] + 1])
-                    path, start, taken, before = Path(edges, np.repeat(np.arange(len(sizes)), sizes), 0.0, bound), 0, (), 0.0
-                else:
-                    if not queues[i]:
-                        alive[i] = False
-                        continue
-                    best = max(range(len(queues[i])), key=lambda q: queues[i][q].bound)
-                    chosen = queues[i].pop(best)
-                    path = self.branch(paths[i][chosen.sample], chosen, fresh, first[i], begins[i + 1], stream[i])
-                    start, taken, before, bound = chosen.step, chosen.taken, chosen.before, chosen.bound
-                logs = np.log(lattices.chance[path.edges])
-                path.log_prob = before + float(logs[start:].sum())
-                paths[i].append(path)
-                branch.append((i, nth, start, taken, before, bound, logs))
-            for i, nth_, start, taken, before, bound, logs in branch:
-                self.open(queues[i], paths[i][-1], nth_, start, taken, before, bound, logs, stream[i])
+            if nth == 0:
+                bounds = -np.log(-np.log(uniform(stream)))
+                for i in live:
+                    a, b = begins[i], begins[i + 1]
+                    paths[i].append(Path(fresh.edges[a:b], float(upto[b] - upto[a]), float(bounds[i])))
+                splits = [Open(paths[i][0].bound, 0, 0, (), 0.0) for i in live]
+            else:
+                live = [i for i in live if queues[i]]
+                splits = [queues[i].pop(max(range(len(queues[i])), key=lambda q: queues[i][q].bound)) for i in live]  # noqa: B023
+                for i, split in zip(live, splits):
+                    paths[i].append(self.branch(paths[i][split.sample], split, fresh, upto, roots, first[i], begins[i + 1], stream[i]))
+            self.open(nth, [queues[i] for i in live], [paths[i][-1] for i in live], splits, stream[live])
         return [(p, max((o.bound for o in q), default=-math.inf)) for p, q in zip(paths, queues)]
 
-    def branch(self, source: Path, chosen: Open, fresh: Walk, first: int, end: int, stream: np.uint64) -> Path:
+    def branch(
+        self, source: Path, split: Open, fresh: Walk, upto: np.ndarray, roots: np.ndarray, first: int, end: int, stream: np.uint64
+    ) -> Path:
         """Leave a path at an open set: draw another edge there, finish the unit, take fresh units after it."""
-        lattices, t = self.lattices, chosen.step
-        node = int(np.searchsorted(lattices.edge_at, source.edges[t], side="right")) - 1
-        others = [e for e in range(lattices.edge_at[node], lattices.edge_at[node + 1]) if e not in chosen.taken]
+        lattices, t = self.lattices, split.step
+        heads = lattices.head[source.edges[:t]]
+        unit = int(np.count_nonzero(heads < 0))
+        node = int(heads[-1]) if t and heads[-1] >= 0 else int(roots[first + unit])
+        others = [e for e in range(lattices.edge_at[node], lattices.edge_at[node + 1]) if e not in split.taken]
         state = mix(np.array([stream], np.uint64) + np.uint64(7))
         weights = np.cumsum(lattices.chance[others])
-        edge = others[min(int(np.searchsorted(weights, uniform(state)[0] * weights[-1])), len(others) - 1)]
-        own = [edge]
+        own = [others[min(int(np.searchsorted(weights, uniform(state)[0] * weights[-1])), len(others) - 1)]]
         while (node := lattices.head[own[-1]]) >= 0:
             state = mix(state + _STEP)
             own.append(int(lattices.draw(np.array([node]), uniform(state))[0]))
-        unit = int(source.unit_of[t])
-        after = fresh.edges[fresh.units_at[first + unit + 1] : end]
-        sizes = np.diff(fresh.units_at[first + unit + 1 : np.searchsorted(fresh.units_at, end, side="left") + 1])
-        unit_of = np.concatenate([source.unit_of[:t], np.full(len(own), unit), unit + 1 + np.repeat(np.arange(len(sizes)), sizes)])
-        return Path(np.concatenate([source.edges[:t], own, after]).astype(np.int64), unit_of, 0.0, chosen.bound)
+        after = fresh.units_at[first + unit + 1]
+        log_prob = split.before + float(np.log(lattices.chance[own]).sum() + upto[end] - upto[after])
+        return Path(np.concatenate([source.edges[:t], own, fresh.edges[after:end]]).astype(np.int64), log_prob, split.bound)
 
     def open(
-        self, queue: list[Open], path: Path, nth: int, start: int, taken: tuple[int, ...], before: float, bound: float,
-        logs: np.ndarray, stream: np.uint64,
-    ) -> None:
-        """Queue the open sets along a new path, as many of the best as can still be split."""
-        prefix = before + np.concatenate([[0.0], np.cumsum(logs[start:])[:-1]])
-        reach = int(np.searchsorted(-prefix, -(prefix[0] - FAR), side="right"))
-        prefix, edges = prefix[:reach], path.edges[start : start + reach]
-        left = 1.0 - self.lattices.chance[edges]
-        if taken:
-            left[0] -= self.lattices.chance[list(taken)].sum()
-            node = int(np.searchsorted(self.lattices.edge_at, edges[0], side="right")) - 1
-            if self.lattices.edge_at[node + 1] - self.lattices.edge_at[node] == len(taken) + 1:
-                left[0] = 0.0
-        single = self.lattices.chance[edges] >= 1.0
-        mass = prefix + np.log(np.where(single, 0.0, np.maximum(left, 0.0)) + 1e-300)
-        states = np.array([stream], np.uint64) + (np.arange(start, start + reach) + 11).astype(np.uint64) * _STEP
-        draws = -np.log(uniform(states))
-        values = mass - np.log(np.exp(np.minimum(mass - bound, 700.0)) + draws)
-        values[(left <= 1e-15) | single] = -np.inf
-        for s in np.argsort(-values)[: self.k].tolist():
-            if values[s] > -np.inf:
-                done = (*taken, int(edges[s])) if s == 0 else (int(edges[s]),)
-                queue.append(Open(float(values[s]), nth, start + s, done, float(prefix[s])))
+        self, nth: int, queues: list[list[Open]], paths: list[Path], splits: list[Open], streams: np.ndarray, columns: int = 64
+    ) -> None:
+        """Queue the open sets along new paths, as many of the best as can still be split.
+
+        One row per text, one column per step. Texts whose steps are so likely that the columns do not reach far
+        enough are done again, among themselves, with more columns.
+        """
+        if not paths:
+            return
+        chance, sizes = self.lattices.chance, np.array([len(p.edges) for p in paths])
+        start, before, bound = (np.array([getattr(o, name) for o in splits]) for name in ("step", "before", "bound"))
+        steps = start[:, None] + np.arange(columns)
+        there = steps < sizes[:, None]
+        edges = np.zeros(there.shape, np.int64)
+        edges[there] = np.concatenate([p.edges[o.step : o.step + columns] for p, o in zip(paths, splits)])
+        odds = np.where(there, chance[edges], 1.0)
+        logs = np.log(odds)
+        prefix = before[:, None] + np.cumsum(logs, axis=1) - logs
+        near = there & (prefix >= before[:, None] - FAR)
+        short = near[:, -1] & (start + columns < sizes)
+        left = np.where(odds < 1.0, 1.0 - odds, 0.0)
+        for row, o in enumerate(splits):
+            if o.taken:
+                left[row, 0] = self.rest(int(edges[row, 0]), o.taken)
+        mass = prefix + np.log(left + 1e-300)
+        draws = -np.log(uniform(streams[:, None] + (steps + 11).astype(np.uint64) * _STEP))
+        values = mass - np.log(np.exp(np.minimum(mass - bound[:, None], 700.0)) + draws)
+        values[~near | (left <= 1e-15)] = -np.inf
+        best = np.argpartition(-values, min(self.k, columns) - 1, axis=1)[:, : self.k].tolist()
+        for row in np.flatnonzero(~short).tolist():
+            o = splits[row]
+            for s in best[row]:
+                if values[row, s] > -np.inf:
+                    taken = (*o.taken, int(edges[row, 0])) if s == 0 else (int(edges[row, s]),)
+                    queues[row].append(Open(float(values[row, s]), nth, o.step + s, taken, float(prefix[row, s])))
+        again = np.flatnonzero(short).tolist()
+        # A block has about as many cells as the block's texts have characters, however long a text.
+        for i in range(0, len(again), some := max(1, 100_000 // (8 * columns))):
+            rows = again[i : i + some]
+            self.open(nth, *([x[r] for r in rows] for x in (queues, paths, splits)), streams[rows], 8 * columns)
+
+    def rest(self, edge: int, taken: tuple[int, ...]) -> float:
+        """The chance of the edges of a node that are neither this one nor taken; exactly 0 if there are none."""
+        lattices = self.lattices
+        node = int(np.searchsorted(lattices.edge_at, edge, side="right")) - 1
+        others = [e for e in range(lattices.edge_at[node], lattices.edge_at[node + 1]) if e != edge and e not in taken]
+        return float(lattices.chance[others].sum())
 
 
 def decode_ids(decoded: list[bytes], ids: list[int]) -> str:
@@ -412,7 +453,7 @@ def encode(
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(model, k, seed)
         for part in parts:
-            for some in slices(part, "_text"):
+            for some in slices(part, "_text", BLOCK_BYTES):
                 texts = pc.fill_null(some.column("_text"), "").to_pylist()
                 yield encoded_rows(sampler, some.column("doc_id"), texts, some.column("_key").to_numpy().view(np.uint64))
 
@@ -421,7 +462,7 @@ def encode(
 
 def encoded_rows(sampler: Sampler, doc_ids: pa.Array, texts: list[str], keys: np.ndarray) -> pa.RecordBatch:
     drawn = sampler.sample(texts, keys)
-    nothing = Path(np.empty(0, np.int64), np.empty(0), 0.0, 0.0)
+    nothing = Path(np.empty(0, np.int64), 0.0, 0.0)
     found = [(i, nth, path, rest) for i, (paths, rest) in enumerate(drawn) for nth, path in enumerate(paths or [nothing])]
     flat, widths = sampler.lattices.token_ids(np.concatenate([np.empty(0, np.int64), *(f[2].edges for f in found)]))
     upto = np.concatenate([[0], np.cumsum(widths)])
