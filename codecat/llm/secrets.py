@@ -4,8 +4,8 @@ A candidate is a long run of token characters. Its character class (hexadecimal,
 letters and digits, or Base64) sets the window and the least Shannon entropy. The
 window slides by one character, and only two counts change with each step, so a
 candidate costs time in proportion to its length. The union of neighbouring windows
-above the limit is a span, unless an allow-list pattern matches the candidate or a
-pattern span overlaps it.
+above the limit is a span, unless an allow-list pattern matches the candidate. Where
+pattern spans overlap a candidate, each piece of it that they leave is a candidate.
 
 Every text is scanned by itself, so rows never move. Spans are in code points, the
 end exclusive.
@@ -13,6 +13,7 @@ end exclusive.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterable, Iterator, Sequence
@@ -32,6 +33,7 @@ _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_JOINTS = "/_=-"
 LEAST_ASSIGNED, LEAST_ACCESS = 12, 18
 
 
@@ -96,6 +98,37 @@ def entropy_spans(candidate: str, allowed: Sequence[re.Pattern[str]]) -> list[tu
     return spans
 
 
+def pieces(start: int, end: int, base: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the spans in ``base``, sorted by start, leave of a candidate."""
+    for x, y in base:
+        if x >= end:
+            break
+        if start < x:
+            yield start, x
+        start = max(start, y)
+    if start < end:
+        yield start, end
+
+
+def piece_spans(text: str, start: int, end: int, allowed: Sequence[re.Pattern[str]]) -> list[tuple[int, int]]:
+    """Entropy spans of a piece, as it is and without the marks that join it to a pattern span.
+
+    Such a mark can hide the class of the piece, and it can also be a character of the secret.
+    """
+    found = [(start + a, start + b) for a, b in entropy_spans(text[start:end], allowed)]
+    bare = text[start:end].strip(_JOINTS)
+    if bare and len(bare) < end - start:
+        at = text.index(bare, start)
+        found += [(at + a, at + b) for a, b in entropy_spans(bare, allowed)]
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    return spans
+
+
 def find_secrets(text: str, allowed: Sequence[re.Pattern[str]]) -> list[tuple[str, int, int]]:
     """All spans of a text as ``kind, start, end``, by start and kind."""
     spans: list[tuple[str, int, int]] = []
@@ -107,12 +140,15 @@ def find_secrets(text: str, allowed: Sequence[re.Pattern[str]]) -> list[tuple[st
     if "AKIA" in text:
         spans += (("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS)
     spans += (("hex", *m.span()) for m in _HEX.finditer(text))
-    base = sorted((a, b) for _, a, b in spans)
+    base, first = sorted((a, b) for _, a, b in spans), 0
     for m in _CANDIDATE.finditer(text):
-        for a, b in entropy_spans(m.group(), allowed):
-            a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, y in base):
-                spans.append(("entropy", a, b))
+        while first < len(base) and base[first][1] <= m.start():
+            first += 1
+        if first == len(base) or base[first][0] >= m.end():
+            spans += (("entropy", m.start() + a, m.start() + b) for a, b in entropy_spans(m.group(), allowed))
+        elif not any(a.fullmatch(m.group()) for a in allowed):
+            for start, end in pieces(m.start(), m.end(), itertools.islice(base, first, None)):
+                spans += (("entropy", a, b) for a, b in piece_spans(text, start, end, allowed))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

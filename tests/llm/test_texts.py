@@ -246,6 +246,32 @@ def test_spans(text, spans):
     assert spans_of(text) == spans
 
 
+@pytest.mark.parametrize("joint", ["/", "_", "=", "-"])
+def test_secret_joined_to_a_pattern_span(joint):
+    access, assign = "AKIA1234567890ABCD", "token=abcdefghijkl"
+    for base, kind in ((HEX, "hex"), (access, "access"), (assign, "assign")):
+        text = f"{KEY}{joint}{base}"
+        *_, (_, a, b) = spans = [s for s in spans_of(text) if s[0] == "entropy"]
+        assert len(spans) == 1 and a == 0 and 40 <= b <= 41 and (kind, 41, len(text)) in spans_of(text)
+    for base, kind in ((HEX, "hex"), (access, "access")):
+        text = f"{base}{joint}{KEY}"
+        found = spans_of(text)
+        assert found[0] == (kind, 0, len(base)) and len(found) == 2
+        assert found[1][0] == "entropy" and found[1][1] - len(base) in (0, 1) and found[1][2] == len(text)
+    between = spans_of(f"{KEY}{joint}{HEX}{joint}{KEY}{joint}{access}{joint}{HEX.upper()}")
+    assert [s[0] for s in between] == ["entropy", "hex", "entropy", "access", "entropy"]
+    assert all(x[2] <= y[1] for x, y in zip(between, between[1:]))
+    assert [s[0] for s in spans_of(f"{HEX}{joint}an_ordinary_identifier_of_some_length")] == ["hex"]
+
+
+def test_random_secrets_joined_to_a_digest():
+    rng = np.random.default_rng(5)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    for _ in range(200):
+        digest, secret = "".join(rng.choice(list("0123456789abcdef"), 32)), "".join(rng.choice(letters, 40))
+        assert any(k == "entropy" and a >= 32 for k, a, _ in spans_of(f"{digest}-{secret}"))
+
+
 def test_allow_list():
     assert spans_of(KEY) and not spans_of(KEY, ["wJalr.*"])
 
