@@ -31,7 +31,7 @@ from ..sources.scratch import scratch_dir, staged
 LEAST_SHARED = 1000
 #: A file is closed when it has so many bytes.
 FILE_BYTES = 32 << 20
-#: Bytes read at a time, and the most that a header may have.
+#: Bytes read at a time, and of a header at first.
 BLOCK, HEADER_BYTES = 1 << 20, 1 << 16
 #: Bytes of payload that leave a task in one batch.
 BATCH_BYTES = 8 << 20
@@ -256,12 +256,17 @@ class Salvage:
 
     def plain(self, at: int) -> Record:
         """The uncompressed record at ``at``."""
-        head = self.read(at, HEADER_BYTES)
+        n = HEADER_BYTES
+        head = self.read(at, n)
         if not head.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n")):
             raise Damaged("no version line")
-        stop = head.find(b"\r\n\r\n")
-        if stop < 0:
-            raise Damaged("header does not end")
+        while (stop := head.find(b"\r\n\r\n")) < 0:
+            if any(b":" not in line for line in head[10:].split(b"\r\n")[:-1]):
+                raise Damaged("header line without a name")
+            if len(head) < n:
+                raise Damaged("header does not end")
+            n *= 2
+            head = self.read(at, n)
         headers = {}
         for line in head[10:stop].decode("utf-8", "replace").split("\r\n"):
             name, colon, value = line.partition(":")

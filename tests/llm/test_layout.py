@@ -127,6 +127,26 @@ def test_archives_round_trip(spark):
     assert {r["payload"].decode() for r in got if r["record_id"] == "<urn:page:3>"} == {LONG}
 
 
+def test_long_urls(spark):
+    url = "data:text/html," + "a1:b/" * 20_000
+    rows = [(1, url, LONG), (2, url + "2", LONG), (3, url + "3", "short"), (4, "http://a/", "short")]
+    got = warc.read_warc(warc.write_warc(pages(spark, rows))).collect()
+    assert sorted((r["record_id"], r["url"], r["record_type"], r["gap"]) for r in got) == [
+        (f"<urn:page:{i}>", u, "revisit" if i == 1 else "response", None) for i, u, _ in rows
+    ]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_long_headers_of_damaged_records(monkeypatch, plain):
+    monkeypatch.setattr(warc, "HEADER_BYTES", 16)
+    parts = members(3, plain)
+    assert salvaged(b"".join(parts)) == (ids(0, 1, 2), [])
+    cut = b"WARC/1.1\r\nWARC-Target-URI: " + b"u" * 300 + b"\r\n"
+    at = len(parts[0])
+    assert salvaged(parts[0] + cut + parts[1]) == (ids(0, 1), [(at, at + len(cut))])
+    assert salvaged(parts[0] + cut) == (ids(0), [(at, at + len(cut))])
+
+
 def test_no_pages(spark):
     assert warc.read_warc(warc.write_warc(pages(spark, []))).count() == 0
 
