@@ -3,7 +3,8 @@
 The writer makes one gzip member per record, so a reader can start at any record.
 The reader checks each member (its CRC), version line, header, length and payload
 digest. After a failed check it searches for the next valid member or version line,
-goes on from there, and logs the bytes between as a quarantined gap.
+goes on from there, and logs the bytes between as a quarantined gap. The same goes on
+in the unpacked bytes of members that hold several records.
 
 Files are read and written by the tasks with ``pyarrow.fs``, in blocks; a record is
 the most that a task holds. Paths are those of the cluster's shared storage.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +35,8 @@ LEAST_SHARED = 1000
 FILE_BYTES = 32 << 20
 #: Bytes read at a time, and of a header at first.
 BLOCK, HEADER_BYTES = 1 << 20, 1 << 16
+#: Compressed bytes unpacked at a time, and the most states of zlib kept to go back in a member.
+PIECE, STATES = 1 << 16, 64
 #: Bytes of payload that leave a task in one batch.
 BATCH_BYTES = 8 << 20
 #: The date of records whose rows have none; fixed, so that archives can be compared.
@@ -167,7 +171,11 @@ def write_warc(
 
 
 class Damaged(Exception):
-    """A failed check; the message is the reason that is logged."""
+    """A failed check; the message is the reason that is logged. The search goes on at ``resume`` or later."""
+
+    def __init__(self, reason: str, resume: int = 0):
+        super().__init__(reason)
+        self.resume = resume
 
 
 @dataclass
@@ -187,11 +195,82 @@ class Gap:
     reason: str
 
 
+class Unpacked:
+    """The bytes of the gzip member at ``start`` as a file that ends where the member ends or fails.
+
+    They are unpacked as they are read. To go back, zlib's state is kept at up to ``STATES`` places.
+    """
+
+    def __init__(self, outer: Salvage, start: int):
+        self.outer, self.start = outer, start
+        self.states = [(0, start, zlib.decompressobj(31))]
+        self.restore(0)
+
+    def restore(self, i: int) -> None:
+        self.at, self.place, state = self.states[i]
+        self.unpack, self.ahead, self.failure = state.copy(), b"", ""
+
+    def forget(self, at: int) -> None:
+        """Nothing before ``at`` is read again."""
+        while len(self.states) > 1 and self.states[1][0] <= at:
+            del self.states[0]
+
+    def seek(self, at: int) -> None:
+        if at < self.at:
+            self.restore(max(i for i, state in enumerate(self.states) if state[0] <= at))
+        while self.at < at and (self.ahead or self.fill()):
+            skipped = min(at - self.at, len(self.ahead))
+            self.at, self.ahead = self.at + skipped, self.ahead[skipped:]
+
+    def read(self, n: int) -> bytes:
+        parts = []
+        while n and (self.ahead or self.fill()):
+            parts.append(self.ahead[:n])
+            n, self.at, self.ahead = n - len(parts[-1]), self.at + len(parts[-1]), self.ahead[n:]
+        return b"".join(parts)
+
+    def fill(self) -> bool:
+        """Unpack the next bytes; false at the end."""
+        if self.at >= self.states[-1][0] + BLOCK:
+            self.states.append((self.at, self.place, self.unpack.copy()))
+            if len(self.states) > STATES:
+                del self.states[1::2]
+        while not (self.ahead or self.unpack.eof or self.failure):
+            data = self.outer.some(self.place)
+            if not data:
+                self.failure = "member is cut off"
+                break
+            before = self.unpack.copy()
+            try:
+                self.ahead = self.unpack.decompress(data)
+                self.place += len(data) - len(self.unpack.unused_data)
+            except zlib.error:
+                self.failure = "member fails its check"
+                self.ahead = self.creep(before, data)
+        return bool(self.ahead)
+
+    def creep(self, unpack, data: bytes) -> bytes:
+        """What the bytes before the first one that fails unpack to."""
+        parts, step = [], len(data)
+        while step := step // 2:
+            trial = unpack.copy()
+            try:
+                parts.append(trial.decompress(data[:step]))
+                unpack, data, self.place = trial, data[step:], self.place + step
+            except zlib.error:
+                data = data[:step]
+            step = len(data)
+        return b"".join(parts)
+
+
 @dataclass
 class Salvage:
-    """Read the records of one file, compressed or not, and the gaps between them."""
+    """Read the records of one file, compressed or not, and the gaps between them.
+
+    The size of an unpacked member is not known before its end; until then it is ``sys.maxsize``.
+    """
 
-    file: io.IOBase
+    file: io.IOBase | Unpacked
     size: int
     buffer: bytes = field(default=b"", repr=False)
     base: int = 0
@@ -201,23 +280,38 @@ class Salvage:
         if not (self.base <= at and at + n <= self.base + len(self.buffer)):
             self.file.seek(at)
             self.base, self.buffer = at, self.file.read(max(n, BLOCK))
+            if isinstance(self.file, Unpacked) and len(self.buffer) < max(n, BLOCK):
+                self.size = self.file.at
         return self.buffer[at - self.base : at - self.base + n]
 
+    def some(self, at: int) -> bytes:
+        """At least one byte from ``at`` and at most ``PIECE``, none at the end of the file."""
+        if at >= self.size:
+            return b""
+        if not self.base <= at < self.base + len(self.buffer):
+            self.read(at, 1)
+        return self.buffer[at - self.base : at - self.base + PIECE]
+
     def records(self) -> Iterator[Record | Gap]:
         at, bad, why = 0, None, ""
-        while at < self.size:
+        while at < self.size and (first := self.read(at, 2)):
+            packed = None
             try:
-                record = self.member(at) if self.read(at, 2) == b"\x1f\x8b" else self.plain(at)
+                if isinstance(self.file, Unpacked):
+                    self.file.forget(at)
+                elif first == b"\x1f\x8b":
+                    packed = Unpacked(self, at)
+                for found in (self.plain(at),) if packed is None else self.member(packed):
+                    if bad is not None:
+                        yield Gap(bad, at, why)
+                        bad = None
+                    after = found.end
+                    yield found
+                at = after if packed is None else packed.place
             except Damaged as failed:
                 if bad is None:
                     bad, why = at, str(failed)
-                at = self.search(at + 1)
-                continue
-            if bad is not None:
-                yield Gap(bad, at, why)
-                bad = None
-            yield record
-            at = record.end
+                at = self.search(max(at + 1, failed.resume))
         if bad is not None:
             yield Gap(bad, self.size, why)
 
@@ -233,26 +327,30 @@ class Salvage:
             at += len(block) - 6
         return self.size
 
-    def member(self, at: int) -> Record:
-        """The record in the gzip member at ``at``; zlib checks the member's CRC and length."""
-        unpack, parts, place = zlib.decompressobj(31), [], at
-        try:
-            while not unpack.eof:
-                data = self.read(place, min(BLOCK, self.size - place)) if place < self.size else b""
-                if not data:
-                    raise Damaged("member is cut off")
-                parts.append(unpack.decompress(data))
-                if not parts[-1].startswith(b"WARC/") and len(parts) == 1 and len(parts[0]) >= 5:
-                    raise Damaged("member has no version line")
-                place += len(data) - len(unpack.unused_data)
-        except zlib.error as error:
-            raise Damaged("member fails its check") from error
-        data = b"".join(parts)
-        inner = Salvage(io.BytesIO(data), len(data)).plain(0)
-        if inner.end != len(data):
-            raise Damaged("member holds more than its record")
-        inner.start, inner.end = at, place
-        return inner
+    def member(self, packed: Unpacked) -> Iterator[Record | Gap]:
+        """The records in a gzip member, and the gaps between them at the offsets of the member.
+
+        zlib checks the member's CRC and length at its end. A record that is alone in its member waits
+        for that. Those of a member of several are handed out as they are read, as from a file that is
+        not compressed, and ``end`` is then how far the member was read; if the check fails, a gap follows.
+        """
+        inner, held, several = Salvage(packed, sys.maxsize), [], False
+        for found in inner.records():
+            if isinstance(found, Record) and not several:
+                several = any(isinstance(h, Record) for h in held) or inner.read(found.end, 7) == b"WARC/1."
+            held.append(found)
+            if several:
+                for h in held:
+                    h.start, h.end = packed.start, packed.place
+                yield from held
+                held = []
+        if packed.failure:
+            raise Damaged(packed.failure, packed.place if several else 0)
+        if not several and not any(isinstance(h, Record) for h in held):
+            raise Damaged(held[0].reason if held else "no version line")
+        for h in held:
+            h.start, h.end = packed.start, packed.place
+        yield from held
 
     def plain(self, at: int) -> Record:
         """The uncompressed record at ``at``."""
@@ -325,6 +423,7 @@ def read_warc(files: DataFrame, with_payload: bool = True) -> DataFrame:
 
     A row is a record (``gap`` is null) or a gap (the reason). ``payload_bytes`` and ``payload_digest``
     are measured on the payload; for a revisit they are what its headers say of the full payload.
+    Records of a member with several have the member's start, and the end is how far it was read.
     Each file is one task's work, so a damaged file costs only itself.
 
     Defined results: an empty file has no rows; a file without any record is one gap; a missing or

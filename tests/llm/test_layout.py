@@ -196,6 +196,35 @@ def test_salvage(monkeypatch, plain, block):
     assert salvaged(b"nothing here") == ([], [(0, 12)])
 
 
+@pytest.mark.parametrize("level", [0, 6])
+@pytest.mark.parametrize("block, piece", [(64, 50), (1000, 1 << 16), (1 << 20, 1 << 16)])
+def test_members_of_several_records(monkeypatch, level, block, piece):
+    monkeypatch.setattr(warc, "BLOCK", block)
+    monkeypatch.setattr(warc, "PIECE", piece)
+    monkeypatch.setattr(warc, "STATES", 4)
+    parts = members(40, plain=True)
+    one = gzip.compress(b"".join(parts), level)
+    all_ids, (last,) = ids(*range(40)), members(41)[40:]
+    assert salvaged(one) == (all_ids, [])
+    assert salvaged(one + last) == (ids(*range(41)), [])
+    got, gaps = salvaged(one[:-8] + b"\x00" * 8 + last)  # the check fails late
+    assert got == ids(*range(41)) and gaps == [(0, len(one))]
+    got, gaps = salvaged(one[: len(one) * 3 // 4])  # cut off
+    assert 10 < len(got) < 40 and got == all_ids[: len(got)] and gaps[-1] == (0, len(one) * 3 // 4)
+    bad = bytearray(b"".join(parts))  # damaged before it was compressed
+    at = sum(map(len, parts[:5]))
+    bad[at + len(parts[5]) // 2] ^= 0xFF
+    member = gzip.compress(bytes(bad), level)
+    got, gaps = salvaged(member + last)
+    assert got == ids(*range(5), *range(6, 41)) and len(gaps) == 1 and gaps[0][0] == 0 and gaps[0][1] <= len(member)
+    wrong = b"".join(parts[:3]) + parts[3].replace(b"Content-Length: 1", b"Content-Length: 99") + b"".join(parts[4:])
+    got, gaps = salvaged(gzip.compress(wrong, level))  # a length beyond the end
+    assert got == ids(*range(3), *range(4, 40)) and len(gaps) == 1
+    got, gaps = salvaged(gzip.compress(b"junk " + parts[0]))
+    assert got == ids(0) and len(gaps) == 1
+    assert salvaged(gzip.compress(b"")) == ([], [(0, 20)])
+
+
 def test_damaged_files_are_read_on_the_cluster(spark, tmp_path):
     parts = members(4)
     parts[1] = parts[1][:-9] + b"\x00" * 9
