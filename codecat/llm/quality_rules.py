@@ -48,12 +48,13 @@ class Statistic:
     least: float
 
 
-#: The transformed statistics. Roots and logarithms draw in the long tails of counts and shares.
+#: The transformed statistics. Roots and logarithms draw in the long tails of counts and shares. The share of repeated
+#: words is bounded by the basic limits, so it has no tail to draw in: a root would leave it too short to reject by itself.
 STATISTICS = (
     Statistic("ln(1 + n_words)", 0.5),
     Statistic("ln(word_chars / n_words)", 0.05),
     Statistic("sqrt(n_symbols / word_chars)", 0.04),
-    Statistic("sqrt(n_repeat_words / n_words)", 0.2),
+    Statistic("n_repeat_words / n_words", 0.07),
     Statistic("ln(1 + n_dup_lines)", 0.5),
 )
 #: Median of chi-square with as many degrees of freedom as statistics (5), and the squared distance beyond which a row is

@@ -190,6 +190,25 @@ def test_outliers_are_rejected(spark):
     assert found[2000]["distance"] is None and found[2000]["kept"]  # no group is large enough
 
 
+def test_repeats_alone_are_rejected(spark):
+    """In a group without repeats, whose other statistics vary as those of real texts do."""
+    rng = np.random.default_rng(11)
+
+    def text(n, share):
+        words = [f"{'x' * k}{i}" for i, k in enumerate(rng.poisson(rng.uniform(2.3, 3.1), n))]
+        half = int(n * share / 2)
+        words = words[: n - half] + words[:half]
+        return " ".join([*words, *"#" * rng.poisson(n / 60)])
+
+    rows = [(i, text(int(np.exp(rng.normal(5.5, 0.6))) + 60, 0)) for i in range(400)]
+    rows += [(1000 + i, text(200, 0.45)) for i in range(5)] + [(2000 + i, text(200, 0.1)) for i in range(5)]
+    found = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, rows)).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert not any(found[1000 + i]["kept"] for i in range(5))
+    assert all(found[2000 + i]["kept"] for i in range(5))
+    assert np.mean([found[i]["kept"] for i in range(400)]) > 0.99
+
+
 def test_distances_against_numpy(spark):
     """The estimates are a fixed point: mean and covariance of their own nearest rows, up to a histogram bin."""
     rng = np.random.default_rng(3)
