@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, segmentation, sharding, substring_dedup, warc
+from . import exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, segmentation, sharding, substring_dedup, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,13 @@ def web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = token_records.read_records(token_records.write_records(table(spark, sf_dir, "documents")))
+    return records.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("times")
 
@@ -99,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixture,
         "op9_ngram_join": similar,
         "op10_warc": web_archive,
+        "op11_token_records": token_files,
     }
 
 
