@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, secrets, segmentation, sharding, substring_dedup, token_records, warc
+from . import exact_dedup, mixing, ngram_join, periodic_runs, quality_classifier, quality_rules, secrets, segmentation, sharding, substring_dedup, token_records, warc
+
+from .words import WORD
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +92,47 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_cycles(docs: DataFrame) -> DataFrame:
+    """The documents that a tenth of all ids makes periodic from some word on."""
+    hash_ = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    turn = F.floor(hash_ / 10)
+
+    def cycled(words: Column) -> Column:
+        start = turn % F.size(words)
+        period = 1 + F.floor((F.size(words) - start) / (3 + turn % 8))
+        return F.transform(
+            words,
+            lambda word, i: F.when(i < start, word).otherwise(F.get(words, (start + (i - start) % period).cast("int"))),
+        )
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"))
+    # The outer transform binds the words once, so that the inner one does not find them again for each word.
+    text = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.array_join(cycled(w), " ")).otherwise(""))[0]
+    return docs.select("doc_id", F.when(hash_ % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_cycles(table(spark, sf_dir, "documents")))
+
+    def larger(best: Column, run: Column) -> Column:
+        return F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    best = F.aggregate("runs", none, larger)
+    return found.withColumn("_best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "_best.start",
+        "_best.length",
+        "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("times")
 
@@ -107,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_join": similar,
         "op10_warc": web_archive,
         "op11_token_records": token_files,
+        "op12_periodic_runs": word_runs,
     }
 
 
@@ -182,6 +226,49 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM g
 """
 
+#: CRC-32 of the characters of a decimal number.
+CRC_MACRO = """xor(list_reduce(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)),
+                             lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295), 4294967295)"""
+
+RUNS_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o, """
+    + CRC_MACRO.format("doc_id")
+    + r""" AS h FROM documents),
+e AS (SELECT *, len(o) AS n, CASE WHEN len(o) > 0 THEN (h // 10) % len(o) END AS a FROM d),
+w AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+                      THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN o[i + 1]
+                                                                   ELSE o[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END)
+                      ELSE o END AS ws FROM e),
+g AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 8], ' ') AS s FROM w, unnest(range(len(ws) - 7)) AS t(i)),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM p),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length FROM s GROUP BY doc_id, q, k),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM m WHERE length >= greatest(24, 3 * q) GROUP BY ALL),
+b AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS HUGEINT) * 1000000000000 // period DESC, start, period) AS place,
+         count(*) OVER (PARTITION BY doc_id) AS n FROM r),
+l AS (SELECT doc_id, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, j FROM r, unnest(range(start + period, start + length)) AS t(j)),
+k AS (
+  SELECT w.doc_id, string_agg(ws[j + 1], ' ' ORDER BY j) AS kept
+  FROM w, unnest(range(len(ws))) AS t(j) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = w.doc_id AND c.j = t.j) GROUP BY w.doc_id)
+SELECT w.doc_id, coalesce(b.n, 0) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length,
+       CAST(b.period AS BIGINT) AS period, CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN b ON b.doc_id = w.doc_id AND b.place = 1 LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+)
+
 
 def oracles() -> dict[str, str]:
-    return {"op1_substring_dedup": SUBSTRING_SQL, "op2_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL, "op9_ngram_join": JOIN_SQL, "op10_warc": WARC_SQL}
+    return {
+        "op1_substring_dedup": SUBSTRING_SQL,
+        "op2_exact_dedup": EXACT_SQL,
+        "op8_mixing": MIXING_SQL,
+        "op9_ngram_join": JOIN_SQL,
+        "op10_warc": WARC_SQL,
+        "op12_periodic_runs": RUNS_SQL,
+    }

@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     assert set(queries.queries()) | {"pipeline"} <= set(entry_point.queries())
-    assert {int(k[2:].split("_")[0]) for k in queries.queries()} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in queries.queries()} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("key", sorted(queries.oracles()))
