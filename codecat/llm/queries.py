@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, periodic_runs, quality_classifier, quality_rules, secrets, segmentation, sharding, substring_dedup, token_records, warc
+from . import exact_dedup, mixing, ngram_join, periodic_runs, prefix_trie, quality_classifier, quality_rules, secrets, segmentation, sharding, substring_dedup, token_records, warc
 
+from ..sources.scratch import staged
 from .words import WORD
 
 
@@ -133,6 +134,12 @@ def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prefix_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(prefix_trie.sequences(table(spark, sf_dir, "conversations")), "conversations")
+    conv = F.col("conv_id")
+    return prefix_trie.trie(prefix_trie.with_heads(rows, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4))
+
+
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("times")
 
@@ -151,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": web_archive,
         "op11_token_records": token_files,
         "op12_periodic_runs": word_runs,
+        "op13_prefix_trie": prefix_nodes,
     }
 
 
@@ -263,6 +271,38 @@ FROM w LEFT JOIN b ON b.doc_id = w.doc_id AND b.place = 1 LEFT JOIN l ON l.doc_i
 )
 
 
+TRIE_SQL = (
+    r"""
+WITH t AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest, words) AS ds, list(words ORDER BY turn NULLS FIRST, digest, words) AS ws, """
+    + CRC_MACRO.format("conv_id")
+    + r""" % 4 AS h FROM t GROUP BY conv_id),
+r AS (
+  SELECT o.conv_id, list_concat(coalesce(b.ds[1:o.h], []), o.ds[o.h + 1:]) AS ds, list_concat(coalesce(b.ws[1:o.h], []), o.ws[o.h + 1:]) AS ws
+  FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+x AS (
+  SELECT conv_id, d, len(ds) = d AS ends, array_to_string(ds[1:d], '') AS key, array_to_string(ds[1:d - 1], '') AS above, ws[d] AS words
+  FROM r, unnest(range(len(ds) + 1)) AS t(d)),
+n AS (
+  SELECT d, key, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n, min(words) AS words,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ended
+  FROM x GROUP BY d, key),
+c AS (SELECT d - 1 AS d, above AS key, count(*) AS children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN c USING (d, key)),
+s AS (
+  SELECT x.d, x.key, sum(CASE WHEN m.children = 0 THEN 1 ELSE 0 END) AS leaves, sum(CASE WHEN m.d = 0 THEN 0 ELSE (m.n - 1) * m.words END) AS saved
+  FROM m JOIN x ON x.conv_id = m.conv_id AND x.d <= m.d GROUP BY x.d, x.key)
+SELECT m.conv_id, m.d AS depth, p.conv_id AS parent_conv_id, m.n AS n_convs, m.children AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ended, '')) AS ends_sha256
+FROM m JOIN s USING (d, key) LEFT JOIN m p ON p.d = m.d - 1 AND p.key = m.above AND m.d > 0
+"""
+)
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_substring_dedup": SUBSTRING_SQL,
@@ -271,4 +311,5 @@ def oracles() -> dict[str, str]:
         "op9_ngram_join": JOIN_SQL,
         "op10_warc": WARC_SQL,
         "op12_periodic_runs": RUNS_SQL,
+        "op13_prefix_trie": TRIE_SQL,
     }
