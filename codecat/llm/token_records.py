@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir, staged
 from .warc import filesystem
-from .words import Words, slices, words_of
+from .words import SLICE_BYTES, Words, slices, words_of
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
 #: The id after each document.
@@ -367,7 +367,7 @@ def write_records(
                 out = None
 
         for part in parts:
-            for block in slices(part, "_text"):
+            for block in slices(part, "_text", min(SLICE_BYTES, file_bytes)):
                 ids, first = encoder(model).ids(block.column("_text"))
                 if end_id is not None:
                     ids = np.insert(ids, first[1:], end_id)
