@@ -79,11 +79,17 @@ def digest(
     ``kinds`` limits the rows, ``read`` the kinds whose contents count; the facts of
     others are null, and if no kind is read, contents are not scanned.
     """
+    return _facts(files, scope, kinds, read, [])
+
+
+def _facts(files: DataFrame, scope: Scope, kinds: Collection[str] | None, read: Collection[str], kept: list[str]) -> DataFrame:
+    """Facts of each row; the columns ``kept`` come along, and rows with a reason are passed on without a kind."""
     path, kind = F.col("path"), F.col("kind")
     content = F.col("content") if read else F.lit(None).cast("string").alias("content")
-    known = files.select("path", content, file_kind(path, scope).alias("kind"))
+    known = files.select("path", content, file_kind(path, scope).alias("kind"), *kept)
     content = F.col("content")
-    known = known.where(kind.isNotNull() if kinds is None else kind.isin(*kinds))
+    wanted = kind.isNotNull() if kinds is None else kind.isin(*kinds)
+    known = known.where(wanted | F.col("reason").isNotNull() if "reason" in kept else wanted)
     # Raw values are a projection of their own, so that each is computed once.
     raw = known.select(
         "path",
@@ -93,6 +99,7 @@ def digest(
         F.when(kind == "java", code.java_types(content)).alias("types"),
         F.when(kind == "manifest", code.parsed_manifest(content)).alias("manifest"),
         F.when(kind == "gomod", code.declared_module(content)).alias("module"),
+        *kept,
     )
     package = code.java_package(path, F.col("package"), scope.jdk_fix)
     return raw.select(
@@ -104,9 +111,53 @@ def digest(
         code.manifest_text(F.col("manifest"), "name").alias("name"),
         code.manifest_text(F.col("manifest"), "version").alias("version"),
         code.go_module(F.col("module")).alias("module"),
+        *kept,
     )
 
 
+FACTS = ["path", "dir", "kind", "package", "types", "name", "version", "module"]
+
+
+def read_parts(expanded: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """Facts of each row of ``expanded(archive, path, part, more, content, reason)``, and its rejects, in one pass.
+
+    To be stored, so that contents are read once; :func:`joined_parts` and the rejects then come from it.
+    """
+    text = F.make_valid_utf8(F.col("content").cast("string")).alias("content")
+    kept = ["archive", "part", "more", "reason"]
+    return _facts(expanded.select("path", text, *kept), scope, None, ("java", "manifest", "gomod"), kept)
+
+
+def joined_parts(read: DataFrame) -> DataFrame:
+    """The digest of the files in ``read``, as :func:`digest` has it of whole contents.
+
+    Of files in parts the first package and module count, and all types in order. Only their facts are grouped. A file
+    whose reading ended with a reason has the facts of the parts before.
+    """
+    accepted = read.where(F.col("reason").isNull() & F.col("kind").isNotNull())
+    whole = accepted.where((F.col("part") == 0) & ~F.col("more"))
+    parts = accepted.where((F.col("part") > 0) | F.col("more"))
+
+    def first(name: str) -> Column:
+        return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("part"))).alias(name)
+
+    def same(name: str) -> Column:
+        return F.first(name).alias(name)
+
+    ordered = F.sort_array(F.collect_list(F.struct("part", "types")))
+    types = F.array_distinct(F.flatten(F.transform(ordered, lambda p: p["types"])))
+    grouped = parts.groupBy("path").agg(
+        same("dir"), same("kind"), first("package"), F.when(F.first("kind") == "java", types).alias("types"),
+        first("name"), first("version"), first("module"),
+    )
+    return whole.select(FACTS).unionByName(grouped.select(FACTS))
+
+
+def digest_parts(expanded: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """The digest of files that may come in parts."""
+    return joined_parts(read_parts(expanded, scope))
+
+
 def small_markers(facts: DataFrame) -> set[str]:
     """Kinds of marker files that are few enough to broadcast, by one measure.
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, depth, parent, prefixes_ending, under
 from ..schema import Scope
-from .joins import salted_join, sized_join
+from ..sources.scratch import staged
+from .joins import sized_join
 
 SITE_PACKAGES = "site-packages"
 
@@ -60,9 +61,10 @@ def python_modules(
         .select("dir", F.explode(prefixes_ending(F.col("dir"), SITE_PACKAGES)).alias("site_packages"))
         .distinct()
     )
-    # Both right sides grow with the corpus, so neither is measured up front.
-    owned = salted_join(packages, site_packages(facts, scope, small), "site_packages", "dir")
-    found = salted_join(modules, owned, "dir", "path")
+    # One row per environment: what bounds those, bounds these.
+    sites = site_packages(facts, scope, small)
+    owned = staged(sized_join(packages, sites, "site_packages", "dir", small=small), "packages")
+    found = sized_join(modules, owned, "dir", "path")
     return found.select("venv", "site_packages", _module_name().alias("name"), "path")
 
 

@@ -4,34 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Collection, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.digest import digest
+from ..operators.digest import digest, joined_parts, read_parts
 from ..operators.maven import artifact_rejects, artifacts, java_sources, jdk_archives
 from ..schema import EXTRACTED, REJECTS, Scope
-from ..sources.archives import expand_archives, expand_mounted, expanded_files, expansion_rejects
+from ..sources.archives import expand_archives, expand_mounted, expansion_rejects
 from ..sources.scratch import scratch_space, staged
+from ..sources.tables import add_rows, stored
 from .catalogue import documents_of, rejects_of, reset_catalogue, upsert_catalogue
 
 
-def stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A stored table; empty when there is none yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def _add(new: DataFrame, path: str, schema) -> None:
-    """Append the rows that a stored table does not have."""
-    known = stored(new.sparkSession, path, schema)
-    columns = known.columns
-    new.select(*columns).distinct().join(known, columns, "left_anti").write.mode("append").parquet(path)
-
-
 def index_with_archives(
     spark: SparkSession,
     archives: DataFrame,
@@ -61,20 +44,21 @@ def index_with_archives(
         wanted = staged(wanted, "new", under=work)
         in_place = "content" not in archives.columns
         expanded = expand_mounted(wanted, root) if in_place else expand_archives(archives, wanted, root)
-        expanded = staged(expanded, "expanded", under=work)
-        fresh = expanded_files(expanded)
-        every = fresh if files is None else fresh.unionByName(files.select(*fresh.columns))
-        facts = staged(digest(every, scope), "digest", "kind", under=work)
+        # Contents are read on their way out of the archives and not stored: only facts and rejects are.
+        read = staged(read_parts(expanded, scope), "read", under=work)
+        fresh = joined_parts(read)
+        every = fresh if files is None else fresh.unionByName(digest(files, scope))
+        facts = staged(every, "digest", "kind", under=work)
         documents = documents_of(facts, languages, scope)
-        rejects = rejects_of(facts, languages, scope).unionByName(artifact_rejects(paths)).unionByName(expansion_rejects(expanded))
+        rejects = rejects_of(facts, languages, scope).unionByName(artifact_rejects(paths)).unionByName(expansion_rejects(read))
         if remove:
             reset_catalogue(documents, table)
             rejects.distinct().write.mode("overwrite").parquet(f"{state}/rejects")
             wanted.select("out_dir").write.mode("overwrite").parquet(f"{state}/extracted")
         else:
             upsert_catalogue(documents, table)
-            _add(rejects, f"{state}/rejects", REJECTS)
-            _add(wanted, f"{state}/extracted", EXTRACTED)
+            add_rows(rejects, f"{state}/rejects", REJECTS)
+            add_rows(wanted, f"{state}/extracted", EXTRACTED)
 
 
 def rejects(spark: SparkSession, state: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Collection
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,8 @@ from ..operators.npm import npm_modules, npm_rejects
 from ..operators.python_env import python_modules, python_rejects
 from ..schema import CATALOGUE, CATALOGUE_KEY, CATALOGUE_TABLE, REJECTS, Scope
 from ..sources.scratch import scratch_space, staged
+from ..sources.tables import add_rows, stored
+from .postings import add_postings, open_postings
 
 
 def documents_of(
@@ -105,12 +106,7 @@ def build_catalogue(
 
 def open_catalogue(spark: SparkSession, table: str) -> DataFrame:
     """The stored catalogue; empty when there is none yet."""
-    try:
-        return spark.read.schema(CATALOGUE_TABLE).parquet(table)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], CATALOGUE_TABLE)
+    return stored(spark, table, CATALOGUE_TABLE)
 
 
 def _write(documents: DataFrame, table: str, mode: str) -> None:
@@ -118,18 +114,30 @@ def _write(documents: DataFrame, table: str, mode: str) -> None:
 
     Each file holds a range of names, in order, so a search for a whole name skips
     files as well as row groups. The rows are stored first: finding the ranges
-    reads them once more.
+    reads them once more. A table with postings keeps them: those of added rows come first, so a
+    run that was cut off leaves too many at worst; those of a new table come last, and are missing until then.
     """
-    with scratch_space(documents.sparkSession, "ranges") as work:
+    spark = documents.sparkSession
+    kept = open_postings(spark, table) is not None
+    with scratch_space(spark, "ranges") as work:
         rows = documents.select("name", "path", lower_ascii(F.col("name")).alias("name_lc"), "language")
+        rows = staged(rows, "rows", under=work)
+        if kept and mode == "append":
+            add_postings(rows, table)
         (
-            staged(rows, "rows", under=work)
-            .repartitionByRange("language", "name_lc")
+            rows.repartitionByRange("language", "name_lc")
             .sortWithinPartitions("language", "name_lc")
             .write.mode(mode)
             .partitionBy("language")
             .parquet(table)
         )
+        if kept and mode == "overwrite":
+            add_postings(rows, table, "overwrite")
+
+
+def build_postings(spark: SparkSession, table: str) -> None:
+    """Give a stored catalogue postings, which its inserts keep up from then on."""
+    add_postings(open_catalogue(spark, table), table, "overwrite")
 
 
 def reset_catalogue(documents: DataFrame, table: str) -> None:
@@ -162,20 +170,30 @@ def index(
     languages: Collection[str] | None = None,
     remove: bool = False,
     scope: Scope = Scope(),
+    rejects: str | None = None,
 ) -> None:
     """Build and store: insert-or-ignore, or with ``remove`` start afresh.
 
-    ``remove`` drops all languages, also when only some are built.
+    ``remove`` drops all languages, also when only some are built. ``rejects`` names a table ``(path, stage, reason)`` of
+    the inputs that yield nothing, kept in the same way, from the same pass over the corpus. It is written
+    after the catalogue, so a run that was cut off is done again.
     """
     spark = files.sparkSession
     with scratch_space(spark, "index") as work:
         facts = digest(files, scope, _kinds(languages), _with_contents(languages))
         facts = staged(facts, "digest", "kind", under=work)
-        documents = documents_of(facts, languages, scope)
+        small = small_markers(facts)
+        documents = documents_of(facts, languages, scope, small)
         if remove:
             reset_catalogue(documents, table)
         else:
             upsert_catalogue(documents, table)
+        if rejects is not None:
+            refused = rejects_of(facts, languages, scope, small).distinct()
+            if remove:
+                refused.write.mode("overwrite").parquet(rejects)
+            else:
+                add_rows(refused, rejects, REJECTS)
 
 
 def catalogue_counts(catalogue: DataFrame) -> DataFrame:

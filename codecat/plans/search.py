@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.names import escape_like, like_pattern, listing_line, lower_ascii, with_header
 from ..functions.paths import ends_with_any
-from ..operators.digest import JS_SUFFIXES
 from ..operators.joins import fits_broadcast, sized_join
 from ..schema import CATALOGUE_KEY, LANGUAGE_CODES
+from ..sources.locations import SOURCE_SUFFIXES, read_located
 from ..sources.scratch import staged
+from .postings import GRAM, Postings, grams, name_id
 
-#: Endings of the files that a catalogue can name.
-SOURCE_SUFFIXES = (".java", ".py", *JS_SUFFIXES, ".go")
-
-#: Length of the name pieces that a batch search is keyed by.
-GRAM = 3
-
+#: So few paths or pieces are looked up by their values, which skips the other files and row groups of an index.
+FEW_PATHS = FEW_GRAMS = 200
 
 def _name_lc(catalogue: DataFrame) -> Column:
     if "name_lc" in catalogue.columns:
@@ -41,17 +38,6 @@ def search(
     return catalogue.where(_name_lc(catalogue).like(pattern)).select(*CATALOGUE_KEY)
 
 
-def _grams(text: Column, sizes: list[int]) -> Column:
-    """Distinct pieces of a text, of each of the given sizes; size 0 is the empty piece."""
-    parts = []
-    for size in sizes:
-        last = F.length(text) - size + 1
-        cut = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))
-        some = F.array(F.lit("")) if size == 0 else F.when(last >= 1, cut).otherwise(F.array().cast("array<string>"))
-        parts.append(some)
-    return F.array_distinct(F.concat(*parts))
-
-
 def _query_grams(pattern: Column) -> Column:
     """Pieces that every match of a LIKE pattern contains.
 
@@ -60,12 +46,12 @@ def _query_grams(pattern: Column) -> Column:
     """
     runs = F.split(pattern, "[%_]+")
     long_runs = F.filter(runs, lambda run: F.length(run) >= GRAM)
-    pieces = F.flatten(F.transform(long_runs, lambda run: _grams(run, [GRAM])))
+    pieces = F.flatten(F.transform(long_runs, lambda run: grams(run, [GRAM])))
     longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run).alias("n"), run.alias("run"))))
     return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(longest["run"]))
 
 
-def search_batch(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
+def search_batch(catalogue: DataFrame, queries: DataFrame, postings: Postings | None = None) -> DataFrame:
     """``(qid, language, name, path)`` for many queries at once.
 
     ``queries(qid, pattern, language)`` hold LIKE patterns; a null or unknown
@@ -73,6 +59,10 @@ def search_batch(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
     text; each pattern takes the one of its pieces that is rarest among the
     names, and only rows that meet on a piece are tested in full. This is an
     equi-join, and exact for every pattern. Equal queries are tested once.
+
+    With the ``postings`` of a stored catalogue, frequencies and proposed names are read from them, and the
+    catalogue is scanned once, for the names proposed. Patterns without a whole piece are
+    matched by their shorter ones in the same scan. Without postings, names are cut to pieces twice.
     """
     known = F.lower("language")
     asked = queries.select(
@@ -81,12 +71,26 @@ def search_batch(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
         F.when(known.isin(*LANGUAGE_CODES), known).otherwise("").alias("asked"),
     )
     patterns = asked.select("pattern", "asked").distinct()
-    grams = F.explode(F.array_distinct(_query_grams(F.col("pattern")))).alias("gram")
-    pieces = staged(patterns.select("pattern", "asked", grams), "pieces")
+    cut = F.explode(F.array_distinct(_query_grams(F.col("pattern")))).alias("gram")
+    pieces = staged(patterns.select("pattern", "asked", cut), "pieces")
+    keyed = catalogue.select(*CATALOGUE_KEY, _name_lc(catalogue).alias("_name_lc"))
+    met = _met_by_pieces(keyed, pieces) if postings is None else _met_by_postings(keyed, pieces, postings)
+    found = met.where(F.col("asked").isin("", F.col("language")) & F.like(F.col("_name_lc"), escape_like(F.col("pattern"))))
+    return sized_join(found, asked, ["pattern", "asked"], "path").select("qid", *CATALOGUE_KEY)
+
+
+def _rarest(pieces: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
+    """``(pattern, asked, gram)``: the rarest piece of each pattern. One that no name has leaves its pattern without a match."""
+    rarest = F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram"))
+    chosen = sized_join(pieces, counts, "gram", "pattern", "left", few)
+    return staged(chosen.groupBy("pattern", "asked").agg(rarest.alias("gram")), "patterns")
+
+
+def _met_by_pieces(keyed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Names and patterns that share the pattern's rarest piece; all names are cut to pieces."""
     # At most GRAM + 1 sizes.
     sizes = [row[0] for row in pieces.select(F.length("gram")).distinct().collect()]
-    keyed = catalogue.select(*CATALOGUE_KEY, _name_lc(catalogue).alias("_name_lc"))
-    of_name = F.explode(_grams(F.col("_name_lc"), sizes or [GRAM])).alias("gram")
+    of_name = F.explode(grams(F.col("_name_lc"), sizes or [GRAM])).alias("gram")
     used = pieces.select("gram").distinct()
     few = fits_broadcast(used)
     counts = (
@@ -94,25 +98,40 @@ def search_batch(catalogue: DataFrame, queries: DataFrame) -> DataFrame:
         .groupBy("gram")
         .agg(F.count(F.lit(1)).alias("names"))
     )
-    # A piece that no name has leaves its pattern without a match.
-    rarest = F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram"))
-    chosen = staged(
-        sized_join(pieces, counts, "gram", "pattern", "left", few)
-        .groupBy("pattern", "asked")
-        .agg(rarest.alias("gram")),
-        "patterns",
-    )
+    chosen = _rarest(pieces, counts, few)
     small = fits_broadcast(chosen)
     candidates = keyed.select("*", of_name)
     if not small:
         # Drop the pieces that no pattern took before the shuffle, if those are few.
         taken = chosen.select("gram").distinct()
         candidates = sized_join(candidates, taken, "gram", "path", "left_semi", few)
-    met = sized_join(candidates, chosen, "gram", "path", small=small).where(
-        F.col("asked").isin("", F.col("language"))
-        & F.like(F.col("_name_lc"), escape_like(F.col("pattern")))
-    )
-    return sized_join(met, asked, ["pattern", "asked"], "path").select("qid", *CATALOGUE_KEY)
+    return sized_join(candidates, chosen, "gram", "path", small=small)
+
+
+def _met_by_postings(keyed: DataFrame, pieces: DataFrame, postings: Postings) -> DataFrame:
+    """Names and patterns that share the pattern's rarest piece, as the postings have it, or its only, shorter piece.
+
+    Names meet patterns on a key: the name's number, as 16 hexadecimal digits, or a piece shorter than that.
+    """
+    whole = F.length("gram") >= GRAM
+    sizes = [row[0] for row in pieces.where(~whole).select(F.length("gram")).distinct().collect()]
+    long = pieces.where(whole)
+    counts = postings.frequencies.groupBy("gram").agg(F.sum("names").alias("names"))
+    used = long.select("gram").distinct()
+    few = fits_broadcast(used)
+    chosen = _rarest(long, sized_join(counts, used, "gram", "gram", "left_semi", few), few)
+    names = postings.names
+    taken = [row["gram"] for row in chosen.select("gram").distinct().limit(FEW_GRAMS + 1).collect()]
+    if len(taken) <= FEW_GRAMS:
+        names = names.where(F.col("gram").isin(taken))
+    proposed = sized_join(names, chosen, "gram", "name_id").where(F.col("asked").isin("", F.col("language")))
+    number = F.lpad(F.hex("name_id"), 16, "0")
+    # A name may have postings from several inserts.
+    targets = proposed.select(number.alias("key"), "pattern", "asked").distinct()
+    targets = staged(targets.unionByName(pieces.where(~whole).withColumnRenamed("gram", "key")), "targets")
+    own = F.array(F.lpad(F.hex(name_id(F.col("_name_lc"))), 16, "0"))
+    keys = F.concat(own, grams(F.col("_name_lc"), sizes)) if sizes else own
+    return sized_join(keyed.select("*", F.explode(keys).alias("key")), targets, "key", "path")
 
 
 def search_listing(hits: DataFrame) -> DataFrame:
@@ -145,13 +164,28 @@ def lookup_content(hits: DataFrame, files: DataFrame) -> DataFrame:
 
     The hits are stored first, so they are computed once and Spark knows their
     size: few meet the corpus map-side, and contents are not shuffled. For many,
-    only files that a catalogue can name take part in the shuffle.
+    only files that a catalogue can name take part in the shuffle; a stored corpus
+    with an index does without it, see :func:`lookup_located`.
     """
     wanted = staged(hits.select(*CATALOGUE_KEY), "hits")
     sources = files.where(ends_with_any(F.col("path"), SOURCE_SUFFIXES))
     return sources.select("path", "content").join(wanted, "path").select(*CATALOGUE_KEY, "content")
 
 
+def lookup_located(hits: DataFrame, locations: DataFrame) -> DataFrame:
+    """As :func:`lookup_content`, by an index ``locations(path, file, row)`` of a stored corpus.
+
+    Hits meet the index, which is as narrow as they are; then tasks read the rows that were named, and no
+    others. A path that is in the corpus several times has a row for each, one that is not there none.
+    """
+    wanted = staged(hits.select(*CATALOGUE_KEY), "hits")
+    few = [row["path"] for row in wanted.select("path").distinct().limit(FEW_PATHS + 1).collect()]
+    if len(few) <= FEW_PATHS:
+        locations = locations.where(F.col("path").isin(few))
+    places = staged(sized_join(locations, wanted, "path", "file"), "places")
+    return read_located(places).select(*CATALOGUE_KEY, "content")
+
+
 def render_source(sources: DataFrame) -> DataFrame:
     """``(language, name, path, source)``: sources under a comment with the path."""
     source = with_header(F.col("language"), F.col("path"), F.col("content"))

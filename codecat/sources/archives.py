@@ -16,26 +16,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .parts import BATCH_BYTES, EXPANDED, batch_of, parts_of
 from .scratch import staged
 
 # Executors need no copy of this package: what runs in tasks is sent along.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-EXPANDED = "archive string, path string, part int, content binary, reason string"
-
-_SCHEMA = pa.schema(
-    [
-        ("archive", pa.string()),
-        ("path", pa.string()),
-        ("part", pa.int32()),
-        ("content", pa.binary()),
-        ("reason", pa.string()),
-    ]
-)
-#: Bytes that a task gathers before it hands a batch on.
-BATCH_BYTES = 32 << 20
-#: A longer entry comes as several rows of so many bytes.
-PART_BYTES = 256 << 20
 #: Archives that a task opens, at most.
 ARCHIVES_PER_TASK = 8
 
@@ -44,20 +30,12 @@ _BAD_ARCHIVE = (zipfile.BadZipFile, zipfile.LargeZipFile, ValueError, NotImpleme
 _BAD_ENTRY = (*_BAD_ARCHIVE, zlib.error, lzma.LZMAError, RuntimeError)
 
 
-def _parts(opened: zipfile.ZipFile, info: zipfile.ZipInfo) -> Iterator[bytes]:
-    """An entry in pieces, one empty piece at least."""
-    with opened.open(info) as entry:
-        yield entry.read(PART_BYTES)
-        while piece := entry.read(PART_BYTES):
-            yield piece
-
-
 def _entries(archive: str, out_dir: str, source: str | io.BytesIO) -> Iterator[tuple]:
     """Rows of one archive; one with a reason and no content per refused entry."""
     try:
         opened = zipfile.ZipFile(source)
     except (*_BAD_ARCHIVE, FileNotFoundError) as error:
-        yield archive, None, 0, None, f"bad archive: {type(error).__name__}"
+        yield archive, None, 0, False, None, f"bad archive: {type(error).__name__}"
         return
     with opened:
         # Of entries with one target path the last is kept.
@@ -67,27 +45,22 @@ def _entries(archive: str, out_dir: str, source: str | io.BytesIO) -> Iterator[t
             if info.is_dir():
                 continue
             if name.startswith("/") or ".." in name.split("/"):
-                yield archive, name, 0, None, "entry leaves its directory"
+                yield archive, name, 0, False, None, "entry leaves its directory"
             else:
                 wanted[posixpath.join(out_dir, posixpath.normpath(name))] = info
         for path, info in wanted.items():
             part = 0
             try:
-                for content in _parts(opened, info):
-                    yield archive, path, part, content, None
-                    part += 1
+                with opened.open(info) as entry:
+                    for part, more, content, reason in parts_of(entry, path):
+                        yield archive, path, part, more, content, reason
             except OSError as error:
                 if error.errno is not None:
                     raise
                 # The bzip2 decoder's error for bad data.
-                yield archive, path, part, None, f"bad entry: {type(error).__name__}"
+                yield archive, path, part, False, None, f"bad entry: {type(error).__name__}"
             except _BAD_ENTRY as error:
-                yield archive, path, part, None, f"bad entry: {type(error).__name__}"
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), _SCHEMA)]
-    return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
+                yield archive, path, part, False, None, f"bad entry: {type(error).__name__}"
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +70,14 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             archive, out_dir, *data = (column[i].as_py() for column in batch.columns)
             for row in _entries(archive, out_dir, io.BytesIO(data[0]) if data else archive):
-                size = len(row[3] or b"") + 64
+                size = len(row[4] or b"") + 64
                 if rows and held + size > BATCH_BYTES:
-                    yield _batch(rows)
+                    yield batch_of(rows)
                     rows, held = [], 0
                 rows.append(row)
                 held += size
     if rows:
-        yield _batch(rows)
+        yield batch_of(rows)
 
 
 def _placed(wanted: DataFrame, root: str) -> DataFrame:
@@ -113,11 +86,11 @@ def _placed(wanted: DataFrame, root: str) -> DataFrame:
 
 
 def expand_archives(archives: DataFrame, wanted: DataFrame, root: str) -> DataFrame:
-    """``(archive, path, part, content, reason)``: the entries of archives.
+    """``(archive, path, part, more, content, reason)``: the entries of archives.
 
     ``archives(path, content)`` are read where ``wanted(path, out_dir)`` names
-    them, and an entry goes to ``<root>/<out_dir>/<entry>``. An entry above
-    PART_BYTES has a row per part. Refused entries and archives have a reason
+    them, and an entry goes to ``<root>/<out_dir>/<entry>``. A long entry has a
+    row per part, see :mod:`codecat.sources.parts`. Refused entries and archives have a reason
     and no content; what was read of an entry before its error stays in parts
     before it. Each archive is one row, so at most 2 GB; larger ones are for
     :func:`expand_mounted`, which is the way to go where executors see the
@@ -142,20 +115,16 @@ def expand_mounted(wanted: DataFrame, root: str) -> DataFrame:
 
 
 def expanded_files(expanded: DataFrame) -> DataFrame:
-    """``files(path, content)`` of the accepted entries; bad bytes become U+FFFD.
+    """``files(path, content)`` of the accepted entries that come whole; bad bytes become U+FFFD.
 
-    An entry in several parts is there by its path, with null content: it does
-    not fit a string. Its parts remain in ``expanded``.
+    Entries in parts are for :func:`codecat.operators.digest.digest_parts`.
     """
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    whole = F.octet_length("content") < PART_BYTES  # a full first part has, or may have, others after it
-    first = expanded.where(F.col("reason").isNull() & (F.col("part") == 0))
-    return first.select("path", F.when(whole, text).alias("content"))
+    whole = F.col("reason").isNull() & (F.col("part") == 0) & ~F.col("more")
+    return expanded.where(whole).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def expansion_rejects(expanded: DataFrame) -> DataFrame:
-    """Refused archives and entries."""
+    """Refused archives and entries, and refused files of a tree."""
     place = F.concat_ws("!", "archive", "path")
-    return expanded.where(F.col("reason").isNotNull()).select(
-        place.alias("path"), F.lit("archive").alias("stage"), "reason"
-    )
+    stage = F.when(F.col("archive").isNull(), "tree").otherwise("archive")
+    return expanded.where(F.col("reason").isNotNull()).select(place.alias("path"), stage.alias("stage"), "reason")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import sys
 import zipfile
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Executors need no copy of this package: what runs in tasks is sent along.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,7 +32,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(doc_id AS STRING) AS i",
         "doc_id % 4 AS k",
         "CAST(doc_id % 7 AS STRING) AS m",
-        "CAST(doc_id % 3 AS STRING) AS p",
+        # Owners grow with the table, and one of them has a third of all documents.
+        "if(doc_id % 3 = 0, '0', CAST(doc_id div 40 AS STRING)) AS p",
         "text",
     )
 
@@ -64,8 +67,8 @@ END"""
 
 _CONTENT = r"""CASE WHEN k <> 0 THEN text ELSE concat(
     if(d % 19 = 0, '', concat('/* hdr */\npackage org.acme', m, ';\n')),
-    'public class Doc', i, ' {\n  /** a class of things */\n  // an enum of colors\n',
-    '  static enum Color { A }\n /* package */ class Inner {} interface Other {}\n', text, '\n}')
+    'public class Doc', i, ' {\n  /* record Draft (unused) */\n  * interface Note\n',
+    '  private record Page(int n) {}\n /* package */ enum Stage { OPEN } interface Reader {}\n', text, '\n}')
 END"""
 
 _MARKERS = rf"""CASE k
@@ -102,6 +105,30 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.unionByName(markers.select("marker.path", "marker.content").distinct())
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write ``files(path, content)`` as files below a folder that all executors mount."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = root + row["path"]
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as file:
+                    file.write((row["content"] or "").encode())
+            yield pa.RecordBatch.from_pydict({"files": [batch.num_rows]})
+
+    files.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
+def mounted(folder: str) -> str:
+    """The path of a folder of the local file system, as Spark names it."""
+    if folder.startswith("file:"):
+        return "/" + folder.removeprefix("file:").lstrip("/")
+    if not folder.startswith("/"):
+        raise ValueError(f"{folder} is no folder that executors mount")
+    return folder
+
+
 def artifact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path)`` of files in a Maven repository, one per part, distinct."""
     return (
@@ -137,7 +164,7 @@ def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``queries(qid, pattern, language)`` for a batch search, one per part."""
     return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS qid",
-        """CASE p_partkey % 4 WHEN 0 THEN concat('%Doc', p_partkey, '%Color%')
+        """CASE p_partkey % 4 WHEN 0 THEN concat('%Doc', p_partkey, '%Page%')
             WHEN 1 THEN concat('%F', p_partkey, '.%') WHEN 2 THEN concat('%_kg%m', p_partkey)
             ELSE concat('org.acme%Doc', p_partkey) END AS pattern""",
         "CASE p_partkey % 3 WHEN 0 THEN 'Java' WHEN 1 THEN 'go' END AS language",

@@ -7,7 +7,7 @@ from ..functions.code import TRIMMED
 # The derived tree, written apart from the Spark side of it.
 FILES = """
 WITH b AS (SELECT doc_id AS d, CAST(doc_id AS STRING) AS i, doc_id % 4 AS k, CAST(doc_id % 7 AS STRING) AS m,
-             CAST(doc_id % 3 AS STRING) AS p, text FROM documents),
+             CASE WHEN doc_id % 3 = 0 THEN '0' ELSE CAST(doc_id // 40 AS STRING) END AS p, text FROM documents),
 j AS (SELECT *, '/home/dev/idx/java/sources/' AS r FROM b WHERE k = 0),
 y AS (SELECT *, '/home/dev/p' || p || '/.venv' AS v,
         '/home/dev/p' || p || '/.venv/lib/python3.' || CASE WHEN d % 5 < 2 THEN '10' ELSE '9' END || '/site-packages/pkg' || m AS dir
@@ -20,8 +20,8 @@ SELECT r || CASE WHEN d % 11 = 0 THEN 'jdk/java.base/java/util/' WHEN d % 13 = 0
             ELSE 'org/acme' || m || '/lib/1.' || p || '/org/acme/' END
          || CASE WHEN d % 17 = 0 THEN 'package-info' ELSE 'Doc' || i END || '.java' AS path,
        CASE WHEN d % 19 = 0 THEN '' ELSE '/* hdr */' || chr(10) || 'package org.acme' || m || ';' || chr(10) END
-         || 'public class Doc' || i || ' {' || chr(10) || '  /** a class of things */' || chr(10) || '  // an enum of colors' || chr(10)
-         || '  static enum Color { A }' || chr(10) || ' /* package */ class Inner {} interface Other {}' || chr(10) || text || chr(10) || '}' AS content FROM j
+         || 'public class Doc' || i || ' {' || chr(10) || '  /* record Draft (unused) */' || chr(10) || '  * interface Note' || chr(10)
+         || '  private record Page(int n) {}' || chr(10) || ' /* package */ enum Stage { OPEN } interface Reader {}' || chr(10) || text || chr(10) || '}' AS content FROM j
 UNION ALL SELECT dir || '/m' || i || '.py', text FROM y
 UNION ALL SELECT DISTINCT dir || '/__init__.py', '' FROM y WHERE m <> '3'
 UNION ALL SELECT DISTINCT v || '/pyvenv.cfg', 'version = 3.11' FROM y
@@ -150,11 +150,21 @@ jdks AS (SELECT jvm_root, version, arg_min(path, jdk) AS path FROM jv JOIN (VALU
 _RESOLVED = "SELECT language, name, min(path) AS path FROM cat GROUP BY language, name"
 
 _ARCHIVES = """
-WITH b AS (SELECT doc_id AS d, CAST(doc_id AS STRING) AS i, CAST(doc_id % 7 AS STRING) AS m, CAST(doc_id % 3 AS STRING) AS p, text FROM documents),
+WITH b AS (SELECT doc_id AS d, CAST(doc_id AS STRING) AS i, CAST(doc_id % 7 AS STRING) AS m, CASE WHEN doc_id % 3 = 0 THEN '0' ELSE CAST(doc_id // 40 AS STRING) END AS p, text FROM documents),
 a AS (SELECT *, CASE WHEN d % 50 = 0 THEN '/hosts/h' || i || '/usr/lib/jvm/java-17-openjdk/lib/src.zip'
         ELSE '/home/dev/.m2/repository/org/acme' || m || '/lib' || i || '/1.' || p || '/lib' || i || '-1.' || p || '-sources.jar' END AS archive,
         '/home/dev/idx/java/' || CASE WHEN d % 50 = 0 THEN 'sources/17/hosts/h' || i || '/usr/lib/jvm/jdk' ELSE 'sources/org/acme' || m || '/lib' || i || '/1.' || p END AS out FROM b)"""
 
+_REJECTED = f"""{_CATALOGUE}
+    SELECT path, 'java' AS stage, 'no package' AS reason FROM jp WHERE package IS NULL
+    UNION ALL SELECT path, 'java', 'no types' FROM jp WHERE package IS NOT NULL AND path NOT IN (SELECT path FROM jt)
+    UNION ALL SELECT venv || '/pyvenv.cfg', 'python', 'no site-packages' FROM ve WHERE venv NOT IN (SELECT venv FROM st)
+    UNION ALL SELECT path, 'javascript', 'bad manifest' FROM nv WHERE ok IS NOT TRUE
+    UNION ALL SELECT path, 'go', 'no module name' FROM gm WHERE found = ''"""
+
+_EXPANDED = f"""{_ARCHIVES} SELECT 'java' AS language, CASE WHEN d % 50 = 0 THEN '' ELSE 'org.' END || 'acme' || m || '.Doc' || i AS name,
+                out || '/org/acme' || m || '/Doc' || i || '.java' AS path FROM a WHERE d % 23 <> 0"""
+
 
 def oracles() -> dict[str, str]:
     """SQL by query key."""
@@ -176,14 +186,12 @@ def oracles() -> dict[str, str]:
         "go_modules": f"{_GO} SELECT mod_dir, module FROM gn",
         "go_files": f"{_GO} SELECT name, path FROM gf",
         "build_catalogue": f"{_CATALOGUE} SELECT language, name, path FROM cat",
-        "index_rejects": f"""{_CATALOGUE}
-            SELECT path, 'java' AS stage, 'no package' AS reason FROM jp WHERE package IS NULL
-            UNION ALL SELECT path, 'java', 'no types' FROM jp WHERE package IS NOT NULL AND path NOT IN (SELECT path FROM jt)
-            UNION ALL SELECT venv || '/pyvenv.cfg', 'python', 'no site-packages' FROM ve WHERE venv NOT IN (SELECT venv FROM st)
-            UNION ALL SELECT path, 'javascript', 'bad manifest' FROM nv WHERE ok IS NOT TRUE
-            UNION ALL SELECT path, 'go', 'no module name' FROM gm WHERE found = ''""",
-        "index_archives": f"""{_ARCHIVES} SELECT 'java' AS language, CASE WHEN d % 50 = 0 THEN '' ELSE 'org.' END || 'acme' || m || '.Doc' || i AS name,
-                out || '/org/acme' || m || '/Doc' || i || '.java' AS path FROM a WHERE d % 23 <> 0""",
+        "tree_files": f"""{_SOURCE} SELECT path, CAST(strlen(coalesce(content, '')) AS BIGINT) AS bytes, md5(coalesce(content, '')) AS digest FROM files""",
+        "index_rejects": _REJECTED,
+        "index_kept_rejects": _REJECTED,
+        "stream_rejects": _REJECTED,
+        "index_archives": _EXPANDED,
+        "stream_archives": _EXPANDED,
         "index_stored_rejects": f"""{_ARCHIVES} SELECT archive AS path, 'archive' AS stage, 'bad archive: BadZipFile' AS reason FROM a WHERE d % 23 = 0
             UNION ALL SELECT archive || '!../evil' || i || '.txt', 'archive', 'entry leaves its directory' FROM a WHERE d % 23 <> 0""",
         "index_extracted": f"{_ARCHIVES} SELECT replace(out, '/home/dev/idx/java/', '') AS out_dir FROM a",
@@ -195,11 +203,11 @@ def oracles() -> dict[str, str]:
         "incremental_index": f"""{_SOURCE}, early AS (SELECT * FROM files WHERE length(path) % 3 <> 0),
             {_catalogue_ctes("early", "1")}, {_catalogue_ctes("files", "2")}
             SELECT language, name, path FROM cat1 UNION SELECT language, name, path FROM cat2""",
-        "search_fuzzy": f"""{_CATALOGUE} SELECT language, name, path FROM cat WHERE {_NAME_LC} LIKE '%doc%1%c%'""",
+        "search_fuzzy": f"""{_CATALOGUE} SELECT language, name, path FROM cat WHERE {_NAME_LC} LIKE '%doc%1%r%'""",
         "search_exact": f"""{_CATALOGUE} SELECT language, name, path FROM cat WHERE {_NAME_LC} LIKE 'example.com/m_/f%3.go'""",
         "search_lang": f"""{_CATALOGUE} SELECT language, name, path FROM cat WHERE language = 'python' AND {_NAME_LC} LIKE '%pkg%m%'""",
         "search_batch": f"""{_CATALOGUE}, asked AS (
-            SELECT p_partkey AS qid, CASE p_partkey % 4 WHEN 0 THEN '%Doc' || CAST(p_partkey AS STRING) || '%Color%'
+            SELECT p_partkey AS qid, CASE p_partkey % 4 WHEN 0 THEN '%Doc' || CAST(p_partkey AS STRING) || '%Page%'
                 WHEN 1 THEN '%F' || CAST(p_partkey AS STRING) || '.%' WHEN 2 THEN '%_kg%m' || CAST(p_partkey AS STRING)
                 ELSE 'org.acme%Doc' || CAST(p_partkey AS STRING) END AS pattern,
                 CASE p_partkey % 3 WHEN 0 THEN 'Java' WHEN 1 THEN 'go' END AS language FROM part)

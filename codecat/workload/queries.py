@@ -14,9 +14,15 @@ from ..plans import catalogue as store
 from ..plans import search as find
 from ..plans.archives import extracted, index_with_archives
 from ..plans.archives import rejects as stored_rejects
+from ..plans.postings import open_postings
+from ..schema import REJECTS
+from ..sources import frontier
 from ..sources.archives import expand_archives as expand
+from ..sources.corpus import read_corpus
+from ..sources.locations import open_locations, update_locations
 from ..sources.scratch import scratch_dir
-from ..streaming.reindex import reindex
+from ..sources.tables import stored
+from ..streaming.reindex import kept_rejects, reindex, reindex_archives
 from . import fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +57,16 @@ def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture.files(spark, sf_dir).select("path", chars)
 
 
+@_query
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a tree of files that a job writes, walked in rounds and read."""
+    root = fixture.mounted(scratch_dir(spark, "tree"))
+    fixture.write_tree(fixture.files(spark, sf_dir), root)
+    read = frontier.read_tree(frontier.scan_tree(spark, root))
+    path = F.substring("path", F.lit(len(root) + 1), F.length("path")).alias("path")
+    return read.select(path, F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
 @_query
 def marker_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
@@ -146,6 +162,16 @@ def index_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.build_catalogue(fixture.files(spark, sf_dir))[1]
 
 
+@_query
+def index_kept_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects that are kept beside the catalogue, of two runs that overlap."""
+    home = scratch_dir(spark, "rejects")
+    files = fixture.files(spark, sf_dir)
+    for languages in (["java", "go"], None):
+        store.index(files, f"{home}/catalogue", languages=languages, rejects=f"{home}/rejects")
+    return stored(spark, f"{home}/rejects", REJECTS)
+
+
 def _indexed_archives(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Archives indexed in two runs that overlap; gives the catalogue and the state."""
     home = scratch_dir(spark, "archives")
@@ -205,19 +231,42 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.open_catalogue(spark, target).select("language", "name", "path")
 
 
-@_query
-def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus folder that grows twice and is then left alone, indexed as a stream."""
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """A corpus folder that grows twice and is then left alone, indexed as a stream; gives the folder of the tables."""
     home = scratch_dir(spark, "stream")
-    corpus, target = f"{home}/corpus", f"{home}/catalogue"
     files = fixture.files(spark, sf_dir)
     late = F.length("path") % 3 == 0
     for part in (files.where(~late), files.where(late), None):
         if part is not None:
-            part.write.mode("append").parquet(corpus)
-        run = reindex(spark, corpus, target, f"{home}/digests", f"{home}/checkpoint")
+            part.write.mode("append").parquet(f"{home}/corpus")
+        run = reindex(spark, f"{home}/corpus", f"{home}/catalogue", f"{home}/digests", f"{home}/checkpoint", rejects=f"{home}/rejects")
         run.awaitTermination()
-    return store.open_catalogue(spark, target).select("language", "name", "path")
+    return home
+
+
+@_query
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = _streamed(spark, sf_dir)
+    return store.open_catalogue(spark, f"{home}/catalogue").select("language", "name", "path")
+
+
+@_query
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream refuses in the end: markers that came late turn some rejects into documents."""
+    return kept_rejects(spark, f"{_streamed(spark, sf_dir)}/rejects")
+
+
+@_query
+def stream_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of archives that grows once, indexed as a stream."""
+    home = scratch_dir(spark, "archives")
+    archives = fixture.archives(spark, sf_dir)
+    late = F.length("path") % 2 == 0
+    for part in (archives.where(late), archives.where(~late)):
+        part.write.mode("append").parquet(f"{home}/archives")
+        run = reindex_archives(spark, f"{home}/archives", f"{home}/catalogue", f"{home}/state", f"{home}/checkpoint", root=fixture.EXTRACTED)
+        run.awaitTermination()
+    return store.open_catalogue(spark, f"{home}/catalogue").select("language", "name", "path")
 
 
 # --- search ----------------------------------------------------------------
@@ -225,7 +274,7 @@ def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find.search(_built(spark, sf_dir), "Doc 1 \t C")
+    return find.search(_built(spark, sf_dir), "Doc 1 \t R")
 
 
 @_query
@@ -240,11 +289,14 @@ def search_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query per part against the stored catalogue."""
+    """One query per part against a stored catalogue that got postings and grew afterwards."""
     target = scratch_dir(spark, "catalogue")
-    store.index(fixture.files(spark, sf_dir), target)
+    files = fixture.files(spark, sf_dir)
+    store.index(files, target, languages=["java", "python"])
+    store.build_postings(spark, target)
+    store.index(files, target)
     asked = fixture.name_queries(spark, sf_dir)
-    return find.search_batch(store.open_catalogue(spark, target), asked)
+    return find.search_batch(store.open_catalogue(spark, target), asked, open_postings(spark, target))
 
 
 @_query
@@ -258,16 +310,27 @@ def resolve_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find.resolve_name(built, find.search_listing(built))
 
 
+def _located(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    """Sources of a search in a stored corpus that grew once; contents are read at their places."""
+    home = scratch_dir(spark, "corpus")
+    files = fixture.files(spark, sf_dir)
+    late = F.length("path") % 5 == 0
+    for part in (files.where(~late), files.where(late)):
+        part.write.mode("append").parquet(f"{home}/corpus")
+        update_locations(spark, f"{home}/corpus", f"{home}/locations", f"{home}/checkpoint")
+    built = store.build_catalogue(read_corpus(spark, f"{home}/corpus"))[0]
+    hits = find.search(find.resolve_name(built), query)
+    return find.lookup_located(hits, open_locations(spark, f"{home}/locations"))
+
+
 @_query
 def lookup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = find.search(find.resolve_name(_built(spark, sf_dir)), "F 1")
-    return find.lookup_content(hits, fixture.files(spark, sf_dir))
+    return _located(spark, sf_dir, "F 1")
 
 
 @_query
 def render_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = find.search(find.resolve_name(_built(spark, sf_dir)), "m 2")
-    return find.render_source(find.lookup_content(hits, fixture.files(spark, sf_dir)))
+    return find.render_source(_located(spark, sf_dir, "m 2"))
 
 
 @_query

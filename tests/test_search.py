@@ -1,12 +1,15 @@
 """Search against SQLite, whose LIKE is the one to match."""
 
+import re
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from codecat.functions import names
+from codecat.plans import catalogue as store
 from codecat.plans import search as find
+from codecat.plans.postings import open_postings
 
 NAMES = [
     "com.abc.HashMap", "com.abc.hashMap", "Hash Map", "hash\tmap", "HASH_MAP", "hash%map", "a\\b",
@@ -76,6 +79,64 @@ def test_search_batch_matches_sqlite(spark, sqlite, catalogue, either_join):
     assert sorted(map(tuple, found.collect())) == sorted(expected)
 
 
+@pytest.fixture
+def stored(spark, catalogue, tmp_path):
+    """The names as a stored catalogue: postings are built midway, and some names come twice."""
+    table = str(tmp_path / "catalogue")
+    store.upsert_catalogue(catalogue.where("language <> 'go'"), table)
+    store.build_postings(spark, table)
+    store.upsert_catalogue(catalogue.withColumn("path", F.concat("path", F.when(F.col("language") == "java", "/again").otherwise(""))), table)
+    return table
+
+
+def test_search_batch_by_postings_matches_sqlite(spark, sqlite, stored, either_join, monkeypatch):
+    monkeypatch.setattr(find, "FEW_GRAMS", 3)
+    asked = [(i, q if i % 2 else fuzzy(q), None) for i, q in enumerate(QUERIES * 2)]
+    asked += [(100, "%a%", "JAVA"), (101, "%a%", "go"), (102, "%hash%", "rust"), (103, "%zzz%a%", None), (104, "%hash%map%", "java"), (105, "%map%", "go")]
+    queries = spark.createDataFrame(asked, "qid int, pattern string, language string")
+    names = store.open_catalogue(spark, stored)
+    found = find.search_batch(names, queries, open_postings(spark, stored))
+    plain = find.search_batch(names, queries)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    codes = {"JAVA": 0, "java": 0, "go": 3}
+    expected = {(qid, path) for qid, pattern, language in asked for path in in_sqlite(sqlite, pattern, codes.get(language, -1))}
+    assert {(r["qid"], r["path"].removesuffix("/again")) for r in found.collect()} == expected
+
+
+def test_postings_follow_the_catalogue(spark, catalogue, stored):
+    def held(table):
+        postings = open_postings(spark, table)
+        names = {(r["gram"], r["name_id"], r["language"]) for r in postings.names.collect()}
+        return names, {r["gram"] for r in postings.frequencies.collect()}
+
+    def expected(df):
+        rows = df.select("language", find.lower_ascii(F.col("name")).alias("n")).distinct()
+        rows = rows.select("language", F.xxhash64("n").alias("i"), "n").collect()
+        names = {(r["n"][k : k + 3], r["i"], r["language"]) for r in rows for k in range(len(r["n"]) - 2)}
+        return names, {n[0] for n in names}
+
+    assert held(stored) == expected(store.open_catalogue(spark, stored))
+    store.reset_catalogue(catalogue.where("language = 'java'"), stored)
+    assert held(stored) == expected(catalogue.where("language = 'java'"))
+    assert store.open_catalogue(spark, stored).count() == 5
+
+
+def test_catalogues_without_postings_get_none(spark, catalogue, tmp_path):
+    table = str(tmp_path / "plain")
+    store.upsert_catalogue(catalogue, table)
+    store.reset_catalogue(catalogue, table)
+    assert open_postings(spark, table) is None and open_postings(spark, str(tmp_path / "none")) is None
+
+
+def test_search_batch_by_postings_scans_names_once(spark, stored):
+    queries = spark.createDataFrame([(1, "%Map%", None), (2, "%k%", None), (3, "%hash%", "java")], "qid int, pattern string, language string")
+    found = find.search_batch(store.open_catalogue(spark, stored), queries, open_postings(spark, stored))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("name_lc") and plan.count("parquet") == len(re.findall(r"Relation \[", plan))
+    assert len(re.findall(r"Relation \[name#", plan)) == 1
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_search_batch_without_queries(spark, catalogue):
     none = spark.createDataFrame([], "qid int, pattern string, language string")
     assert find.search_batch(catalogue, none).count() == 0

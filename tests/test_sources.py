@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codecat.operators import maven
-from codecat.operators.digest import digest
+from codecat.operators.digest import digest, digest_parts
 from codecat.operators.java import java_symbols
-from codecat.sources import archives, corpus as corpora, file_tree
+from codecat.sources import archives, corpus as corpora, file_tree, frontier, parts
 
 
 def packed(entries):
@@ -128,8 +128,8 @@ def test_damaged_entries_are_rejects(method):
     middle = data.index(b"bad.txt") + 1500
     data[middle : middle + 200] = bytes(200)
     rows = list(archives._entries("a", "/o", io.BytesIO(bytes(data))))
-    assert [r[1] for r in rows if r[4] is None and r[2] == 0][0] == "/o/good.txt"
-    assert rows[-1][1] == "/o/bad.txt" and rows[-1][4].startswith("bad entry: ")
+    assert [r[1] for r in rows if r[5] is None and r[2] == 0][0] == "/o/good.txt"
+    assert rows[-1][1] == "/o/bad.txt" and rows[-1][5].startswith("bad entry: ")
 
 
 def test_io_errors_are_no_rejects(tmp_path):
@@ -138,14 +138,64 @@ def test_io_errors_are_no_rejects(tmp_path):
 
 
 def test_long_entries_come_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(archives, "PART_BYTES", 1000)
-    data = packed([("a.java", "x" * 2500), ("b.java", "class B"), ("c.java", "")])
+    monkeypatch.setattr(parts, "PART_BYTES", 1000)
+    lines = "".join(f"line {i}\n" for i in range(600))
+    data = packed([("a.txt", lines), ("b.java", "class B"), ("c.java", ""), ("d.txt", "x" * 2500), ("e.txt", "y" * 1500 + "\nz")])
     rows = list(archives._entries("a", "/o", io.BytesIO(data)))
-    assert [(r[1], r[2], len(r[3])) for r in rows] == [
-        ("/o/a.java", 0, 1000), ("/o/a.java", 1, 1000), ("/o/a.java", 2, 500), ("/o/b.java", 0, 7), ("/o/c.java", 0, 0),
-    ]
+    by_path = {}
+    for _, path, part, more, content, reason in rows:
+        assert reason is None
+        by_path.setdefault(path, []).append((part, more, content.decode()))
+    assert {p: "".join(c for _, _, c in v) for p, v in by_path.items()} == {
+        "/o/a.txt": lines, "/o/b.java": "class B", "/o/c.java": "", "/o/d.txt": "x" * 2500, "/o/e.txt": "y" * 1500 + "\nz",
+    }
+    for found in by_path.values():
+        assert [(i, more) for i, more, _ in found] == [(i, i < len(found) - 1) for i in range(len(found))]
+        assert all(c.endswith("\n") for _, more, c in found if more)
+    assert len(by_path["/o/a.txt"]) > 2 and len(by_path["/o/d.txt"]) == 1 and len(by_path["/o/e.txt"]) == 2
     files = archives.expanded_files(spark.createDataFrame(rows, archives.EXPANDED))
-    assert sorted(map(tuple, files.collect())) == [("/o/a.java", None), ("/o/b.java", "class B"), ("/o/c.java", "")]
+    assert sorted(r["path"] for r in files.collect()) == ["/o/b.java", "/o/c.java", "/o/d.txt"]
+
+
+def test_what_fits_no_row_is_a_reject(spark, monkeypatch):
+    monkeypatch.setattr(parts, "PART_BYTES", 10)
+    monkeypatch.setattr(parts, "MOST_BYTES", 40)
+    data = packed([("package.json", " " * 50), ("a.txt", "x" * 50), ("b.txt", "ok\n" + "y" * 50), ("sub/package.json", " " * 40)])
+    rows = list(archives._entries("a", "/o", io.BytesIO(data)))
+    assert {r[1]: r[5] for r in rows if r[5]} == {"/o/package.json": "manifest too long", "/o/a.txt": "line too long", "/o/b.txt": "line too long"}
+    assert ("a", "/o/b.txt", 0, True, b"ok\n", None) in rows
+    rejects = archives.expansion_rejects(spark.createDataFrame(rows, archives.EXPANDED))
+    assert sorted(r["path"] for r in rejects.collect()) == ["a!/o/a.txt", "a!/o/b.txt", "a!/o/package.json"]
+
+
+SOURCE = """/* é */
+// package no;
+package
+
+ a.b.c;
+package late;
+/* class Hidden */ class Shown
+ * class Star
+class One { enum Two } interface /* package */ Three
+record	Four class One
+"""
+
+
+@pytest.mark.parametrize("part_bytes", [1, 10, 33, 1 << 20])
+def test_facts_do_not_depend_on_parts(spark, monkeypatch, part_bytes):
+    """Packages, types, modules and manifests are those of whole contents, wherever these are cut."""
+    files = {
+        "/java/sources/p/A.java": SOURCE, "/java/sources/p/B.java": SOURCE.replace("package", "// nothing", 1), "/java/sources/p/C.java": "",
+        "/java/sources/q/jdk/m/x/D.java": "\xff\n\n class D\n\n" * 9, "/g/go.mod": "// x\nmodule\n\n \"g/h\"\nmodule late\n", "/n/package.json": '{"name":\n"q",\n\n"version":"1"}\n',
+        "/v/pyvenv.cfg": "\n" * 40, "/x/notes.txt": "module z\n",
+    }
+    monkeypatch.setattr(parts, "PART_BYTES", part_bytes)
+    rows = [("a", p, *r) for p, text in files.items() for r in parts.parts_of(io.BytesIO(text.encode()), p)]
+    rows.append(("a", "/java/sources/p/bad.java", 0, False, None, "bad entry: x"))
+    found = digest_parts(spark.createDataFrame(rows, archives.EXPANDED).repartition(4))
+    plain = digest(spark.createDataFrame(list(files.items()), "path string, content string"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, plain.select(found.columns).collect()), key=str)
+    assert (len(rows) > 60) == (part_bytes < 10)
 
 
 def test_mounted_archives_spread_over_tasks(spark, tmp_path):
@@ -249,3 +299,52 @@ def test_read_corpus(spark, tmp_path, corpus):
         str(tmp_path / "c")
     )
     assert corpora.read_corpus(spark, str(tmp_path / "c")).collect() == [("/a", "x")]
+
+
+def walked(spark, root, **options):
+    rows = frontier.scan_tree(spark, root, **options).collect()
+    return sorted(r["path"][len(root) + 1 :] for r in rows if r["reason"] is None)
+
+
+@pytest.mark.parametrize("entries", [1, 7, 20_000])
+def test_frontier_lists_a_tree(spark, tree, entries):
+    everything = sorted(os.path.relpath(os.path.join(folder, name), tree) for folder, _, names in os.walk(tree) for name in names)
+    assert walked(spark, tree, entries_per_round=entries) == everything
+    assert walked(spark, f"{tree}", entries_per_round=entries, suffixes=[".py", ".js"], skip_hidden=True) == [
+        "a/__init__.py", "a/b/_x.py", "d/anaconda3/g.js",
+    ]
+    assert "d/anaconda3/g.js" not in walked(spark, tree, entries_per_round=entries, exclude=["/anaconda3/"])
+
+
+def test_frontier_deals_a_lopsided_tree_anew(spark, tmp_path):
+    """One chain of folders holds all the others; rounds still deal them to many tasks."""
+    deep = tmp_path / "deep" / "er" / "still"
+    for i in range(60):
+        (deep / f"d{i}" / "e").mkdir(parents=True)
+        (deep / f"d{i}" / "e" / "f.txt").write_text(str(i))
+    found = frontier.scan_tree(spark, str(tmp_path), entries_per_round=3)
+    assert found.count() == 60
+    assert found.select(F.input_file_name()).distinct().count() >= 8
+
+
+def test_frontier_reports_what_it_cannot_read(spark, tree, tmp_path):
+    rows = frontier.scan_tree(spark, str(tmp_path / "none")).collect()
+    assert [(r["path"], r["reason"]) for r in rows] == [(str(tmp_path / "none"), "unreadable folder: FileNotFoundError")]
+    os.mkfifo(os.path.join(tree, "pipe"))
+    with open(os.fsencode(tree) + b"/n\xff.txt", "wb") as file:
+        file.write(b"odd")
+    found = frontier.scan_tree(spark, tree)
+    assert not any("pipe" in r["path"] for r in found.collect())
+    os.remove(os.path.join(tree, "a", "n1.txt"))
+    read = {os.path.basename(r["path"]): r for r in frontier.read_tree(found).collect()}
+    assert read["n\ufffd.txt"]["content"] == b"odd" and read["top.txt"]["content"] == b"top.txt\xff"
+    assert read["n1.txt"]["reason"] == "unreadable file: FileNotFoundError"
+    assert archives.expansion_rejects(frontier.read_tree(found)).first()["stage"] == "tree"
+
+
+def test_tree_to_symbols(spark, tmp_path):
+    home = tmp_path / "java" / "sources" / "a"
+    home.mkdir(parents=True)
+    (home / "A.java").write_text("package a;\nclass A { class B }")
+    files = frontier.read_tree(frontier.scan_tree(spark, str(tmp_path)))
+    assert sorted(r["name"] for r in java_symbols(digest_parts(files)).collect()) == ["a.A", "a.A.B"]
