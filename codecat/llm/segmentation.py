@@ -25,10 +25,9 @@ the word mark are told apart by writing the mark itself in bytes.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import chain
+from dataclasses import dataclass
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix, slices
+from .words import Numbers, give_back, keys, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct segmentations per text.
@@ -50,8 +49,11 @@ FAR = 37.0
 #: The nodes of lattices kept by a task, beyond which they are made anew, and the bytes of text sampled at a time.
 KEPT_NODES, BLOCK_BYTES = 1_800_000, 512 << 10
 
-_UNIT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+#: Slots that the table of units starts with, as a power of two.
+UNIT_BITS = 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Units hashed in one go.
+_UNITS_AT_ONCE = 200_000
 
 
 #: Slots of the table of trie links, as a power of two.
@@ -120,15 +122,29 @@ class Vocabulary:
             found[open_] = np.where(self.links[at[open_]] == keys[open_], self.targets[at[open_]], -1)
         return found
 
+    @cached_property
+    def pieces(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that all ids decode to, one after the other, and where each id's begin (and the end)."""
+        return np.frombuffer(b"".join(self.decoded), np.uint8), np.cumsum([0, *map(len, self.decoded)])
+
     def byte_tokens(self, code: int) -> np.ndarray:
         return self.byte_ids[list(chr(code).encode("utf-8", "surrogatepass"))]
 
 
+@cache
+def vocabulary(path: str) -> Vocabulary:
+    """One per Python worker, for all its tasks."""
+    return Vocabulary.load(path)
+
+
 class Growing:
-    """An array that grows at its end; ``used`` is the part in use."""
+    """An array that grows at its end; ``used`` is the part in use.
+
+    It is made large enough at once: memory is taken up page by page as it is written, and nothing is copied.
+    """
 
     def __init__(self, kind: type, *first: int) -> None:
-        self.room, self.n = np.empty(1 << 16, kind), len(first)
+        self.room, self.n = np.empty(4 * KEPT_NODES, kind), len(first)
         self.room[: self.n] = first
         self.used = self.room[: self.n]
 
@@ -152,10 +168,10 @@ class Lattices:
     """
 
     vocabulary: Vocabulary
-    root: dict[str, int] = field(default_factory=dict)
     n_nodes: int = 0
 
     def __post_init__(self) -> None:
+        self.root = Numbers(UNIT_BITS)
         self.arrays = {"edge_at": Growing(np.int64, 0), "limit": Growing(np.float32), "chance": Growing(np.float64),
                        "head": Growing(np.int32), "token": Growing(np.int32)}
         self.extend()
@@ -164,15 +180,21 @@ class Lattices:
         for name, array in self.arrays.items():
             setattr(self, name, array.extend(more[name]) if name in more else array.used)
 
-    def roots(self, units: list[str]) -> np.ndarray:
-        """The first node of each unit; new units get their lattices."""
-        known = self.root
-        new = list(set(units) - known.keys())
-        if new:
-            sizes = np.array([len(u) for u in new])
-            known.update(zip(new, (self.n_nodes + np.cumsum(sizes) - sizes).tolist()))
-            self.build(np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), sizes)
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+    def roots(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The first node of each unit; units lie in ``data`` one after the other, and new ones get their lattices."""
+        hashes = unit_hashes(data, starts)
+        found = self.root.find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            distinct, example = np.unique(hashes[new], return_index=True)
+            ends = np.append(starts[1:], len(data))
+            view, at = data.data, new[example]
+            units = [str(view[a:b], "utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            sizes = np.array([len(u) for u in units])
+            self.root.add(distinct, (self.n_nodes + np.cumsum(sizes) - sizes).astype(np.int32))
+            self.build(np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), sizes)
+            found[new] = self.root.find(hashes[new])
+        return found.astype(np.int64)
 
     def build(self, codes: np.ndarray, sizes: np.ndarray) -> None:
         """Lattices of new units, given as one run of characters, all at once."""
@@ -263,6 +285,38 @@ def uniform(state: np.ndarray) -> np.ndarray:
     return ((mix(state) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, a space put before each, where units start in them, and where each text's units begin (and the end).
+
+    A unit is a line feed, or a run of spaces with what follows up to the next space or line feed.
+    """
+    raw = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    space, feed = data == ord(" "), data == ord("\n")
+    start = feed | space
+    start[1:] &= ~(space[1:] & space[:-1])
+    start[1:] |= feed[:-1]
+    begins = np.concatenate([[0], ends])
+    start[begins[:-1][np.diff(begins) > 0]] = True
+    starts = np.flatnonzero(start)
+    return data, starts, np.searchsorted(starts, begins)
+
+
+def unit_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """An odd 64-bit hash per unit."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    sizes = np.diff(np.append(starts, len(data)))
+    weights, out = keys(int(sizes.max()), seed=33), np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), _UNITS_AT_ONCE):
+        low, size = starts[a : a + _UNITS_AT_ONCE], sizes[a : a + _UNITS_AT_ONCE]
+        block = data[low[0] : low[0] + int(size.sum())]
+        place = np.arange(len(block)) - np.repeat(low - low[0], size)
+        out[a : a + _UNITS_AT_ONCE] = np.add.reduceat((block.astype(np.uint64) + np.uint64(1)) * weights[place], low - low[0])
+    return mix(out) | np.uint64(1)
+
+
 @dataclass
 class Walk:
     """One path per text: the edges of all texts in order, where each text's and each unit's begin."""
@@ -319,7 +373,7 @@ class Sampler:
     """Draws ``k`` distinct segmentations of each text of a block."""
 
     def __init__(self, model: str, k: int, seed: int) -> None:
-        self.vocabulary, self.k, self.seed = Vocabulary.load(model), k, seed
+        self.vocabulary, self.k, self.seed = vocabulary(model), k, seed
         self.lattices = Lattices(self.vocabulary)
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[tuple[list[Path], float]]:
@@ -327,9 +381,8 @@ class Sampler:
         if self.lattices.n_nodes > KEPT_NODES:
             self.lattices = Lattices(self.vocabulary)
         lattices = self.lattices
-        units = [_UNIT.findall(" " + t) if t else [] for t in texts]
-        roots = lattices.roots(list(chain.from_iterable(units)))
-        first = np.concatenate([[0], np.cumsum([len(u) for u in units])]).astype(np.int64)
+        data, starts, first = units_of(texts)
+        roots = lattices.roots(data, starts)
         text_of = np.repeat(np.arange(len(texts)), np.diff(first))
         place = mix((np.arange(len(roots)) - first[text_of]).astype(np.uint64))
         keys = mix(keys ^ mix(np.array([self.seed], np.uint64)))
@@ -350,29 +403,57 @@ class Sampler:
             else:
                 live = [i for i in live if queues[i]]
                 splits = [queues[i].pop(max(range(len(queues[i])), key=lambda q: queues[i][q].bound)) for i in live]  # noqa: B023
-                for i, split in zip(live, splits):
-                    paths[i].append(self.branch(paths[i][split.sample], split, fresh, upto, roots, first[i], begins[i + 1], stream[i]))
+                for i, path in zip(live, self.branches([paths[i] for i in live], splits, fresh, upto, roots, first[live], begins[np.array(live, np.int64) + 1], stream[live])):
+                    paths[i].append(path)
             self.open(nth, [queues[i] for i in live], [paths[i][-1] for i in live], splits, stream[live])
         return [(p, max((o.bound for o in q), default=-math.inf)) for p, q in zip(paths, queues)]
 
-    def branch(
-        self, source: Path, split: Open, fresh: Walk, upto: np.ndarray, roots: np.ndarray, first: int, end: int, stream: np.uint64
-    ) -> Path:
-        """Leave a path at an open set: draw another edge there, finish the unit, take fresh units after it."""
-        lattices, t = self.lattices, split.step
-        heads = lattices.head[source.edges[:t]]
-        unit = int(np.count_nonzero(heads < 0))
-        node = int(heads[-1]) if t and heads[-1] >= 0 else int(roots[first + unit])
-        others = [e for e in range(lattices.edge_at[node], lattices.edge_at[node + 1]) if e not in split.taken]
-        state = mix(np.array([stream], np.uint64) + np.uint64(7))
-        weights = np.cumsum(lattices.chance[others])
-        own = [others[min(int(np.searchsorted(weights, uniform(state)[0] * weights[-1])), len(others) - 1)]]
-        while (node := lattices.head[own[-1]]) >= 0:
-            state = mix(state + _STEP)
-            own.append(int(lattices.draw(np.array([node]), uniform(state))[0]))
+    def branches(
+        self, sources: list[list[Path]], splits: list[Open], fresh: Walk, upto: np.ndarray, roots: np.ndarray, first: np.ndarray, ends: np.ndarray, streams: np.ndarray
+    ) -> list[Path]:
+        """Leave a path of each text at an open set: draw another edge there, finish the unit, take fresh units after it."""
+        if not splits:
+            return []
+        lattices, rows = self.lattices, np.arange(len(splits))
+        stems = [paths[o.sample].edges[: o.step] for paths, o in zip(sources, splits)]
+        steps = np.array([o.step for o in splits])
+        heads = lattices.head[np.concatenate([np.empty(0, np.int64), *stems])]
+        row = np.repeat(rows, steps)
+        unit = np.bincount(row[heads < 0], minlength=len(rows))
+        last = np.concatenate([[-1], heads])[np.cumsum(steps)]
+        node = np.where((steps > 0) & (last >= 0), last, roots[np.minimum(first + unit, len(roots) - 1)])
+        # The other edges of each node, one row per text.
+        begin, count = lattices.edge_at[node], lattices.edge_at[node + 1] - lattices.edge_at[node]
+        edges = begin[:, None] + np.arange(int(count.max()))
+        open_ = edges < (begin + count)[:, None]
+        for r, o in enumerate(splits):
+            for e in o.taken:
+                open_[r, e - begin[r]] = False
+        weights = np.cumsum(np.where(open_, lattices.chance[np.where(open_, edges, 0)], 0.0), axis=1)
+        state = mix(streams + np.uint64(7))
+        value = uniform(state) * weights[:, -1]
+        place = np.argmax(open_ & (weights >= value[:, None]), axis=1)
+        edge = begin + place
+        chosen, owners, live = [edge], [rows], rows
+        while True:
+            node = lattices.head[edge]
+            live, node = live[node >= 0], node[node >= 0]
+            if not len(live):
+                break
+            state[live] = mix(state[live] + _STEP)
+            edge = lattices.draw(node, uniform(state[live]))
+            chosen.append(edge)
+            owners.append(live)
+        owner, own = np.concatenate(owners), np.concatenate(chosen)
+        order = np.argsort(owner, kind="stable")
+        own, at = own[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(rows)))])
+        logs = np.bincount(owner, np.log(lattices.chance[np.concatenate(chosen)]), minlength=len(rows))
         after = fresh.units_at[first + unit + 1]
-        log_prob = split.before + float(np.log(lattices.chance[own]).sum() + upto[end] - upto[after])
-        return Path(np.concatenate([source.edges[:t], own, fresh.edges[after:end]]).astype(np.int64), log_prob, split.bound)
+        total = np.array([o.before for o in splits]) + (logs + upto[ends] - upto[after])
+        return [
+            Path(np.concatenate([stem, own[a:b], fresh.edges[c:d]]).astype(np.int64), log_prob, o.bound)
+            for stem, a, b, c, d, log_prob, o in zip(stems, at.tolist(), at[1:].tolist(), after.tolist(), ends.tolist(), total.tolist(), splits)
+        ]
 
     def open(
         self, nth: int, queues: list[list[Open]], paths: list[Path], splits: list[Open], streams: np.ndarray, columns: int = 64
@@ -451,6 +532,7 @@ def encode(
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         sampler = Sampler(model, k, seed)
         for part in parts:
             for some in slices(part, "_text", BLOCK_BYTES):
@@ -460,6 +542,20 @@ def encode(
     return rows.mapInArrow(read, f"doc_id {kind}, {SCHEMA}")
 
 
+def same_bytes(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Whether each run of ids decodes to its text, with the space that encoding puts first."""
+    data, begins = vocabulary.pieces
+    sizes = begins[ids + 1] - begins[ids]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    found = data[np.arange(upto[-1]) + np.repeat(begins[ids] - upto[:-1], sizes)]
+    wanted = [(" " + t).encode() if t else b"" for t in texts]
+    place, ends = upto[at], np.cumsum([0, *map(len, wanted)])
+    if np.array_equal(place, ends):
+        differ = np.concatenate([[0], np.cumsum(found != np.frombuffer(b"".join(wanted), np.uint8))])
+        return differ[ends[1:]] == differ[ends[:-1]]
+    return np.array([found[a:b].tobytes() == w for a, b, w in zip(place, place[1:], wanted)], bool)
+
+
 def encoded_rows(sampler: Sampler, doc_ids: pa.Array, texts: list[str], keys: np.ndarray) -> pa.RecordBatch:
     drawn = sampler.sample(texts, keys)
     nothing = Path(np.empty(0, np.int64), 0.0, 0.0)
@@ -467,8 +563,7 @@ def encoded_rows(sampler: Sampler, doc_ids: pa.Array, texts: list[str], keys: np
     flat, widths = sampler.lattices.token_ids(np.concatenate([np.empty(0, np.int64), *(f[2].edges for f in found)]))
     upto = np.concatenate([[0], np.cumsum(widths)])
     at = upto[np.concatenate([[0], np.cumsum([len(f[2].edges) for f in found])]).astype(np.int64)]
-    ids, decoded = flat.tolist(), sampler.vocabulary.decoded
-    exact = [decode_ids(decoded, ids[a:b]) == texts[f[0]] for f, a, b in zip(found, at.tolist(), at[1:].tolist())]
+    exact = same_bytes(sampler.vocabulary, flat, at, [texts[f[0]] for f in found])
     # log(1 - exp(-exp(odds))), which is odds itself where that is far below zero
     odds = [path.log_prob - rest for _, _, path, rest in found]
     chances = [o if o < -30 else math.log(-math.expm1(-math.exp(min(o, 700.0)))) for o in odds]
@@ -479,7 +574,7 @@ def encoded_rows(sampler: Sampler, doc_ids: pa.Array, texts: list[str], keys: np
         [
             doc_ids.take(pa.array(which, pa.int64())), pa.array(sample, pa.int32()), pa.array(np.diff(at), pa.int64()),
             pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(logs, pa.float64()), pa.array(bounds, pa.float64()),
-            pa.array(chances, pa.float64()), pa.array(exact, pa.bool_()),
+            pa.array(chances, pa.float64()), pa.array(exact),
         ],
         ["doc_id", "sample", "n_ids", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"],
     )
@@ -490,7 +585,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids") -> DataFra
     kept = [c for c in rows.columns if c != ids_col]
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoded = Vocabulary.load(model).decoded
+        decoded = vocabulary(model).decoded
         for part in parts:
             texts = [None if ids is None else decode_ids(decoded, ids) for ids in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])

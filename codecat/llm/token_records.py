@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir, staged
 from .warc import filesystem
-from .words import SLICE_BYTES, Words, slices, words_of
+from .words import SLICE_BYTES, Numbers, Words, slices, words_of
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
 #: The id after each document.
@@ -44,8 +44,8 @@ END_ID = 1
 FILE_BYTES = 64 << 20
 #: Bytes read at a time, and bytes of ids that leave a task in one batch.
 BLOCK, BATCH_BYTES = 4 << 20, 4 << 20
-#: Distinct words whose ids a worker keeps, beyond which it starts anew; slots of their table, as a power of two.
-KEPT_WORDS, SLOT_BITS = 1_200_000, 22
+#: Distinct words whose ids a worker keeps, beyond which it starts anew; slots that their table starts with, as a power of two.
+KEPT_WORDS, SLOT_BITS = 1_200_000, 20
 #: Words looked up at a time, and words encoded in one call.
 WORDS_AT_ONCE, WORDS_A_CALL = 400_000, 512
 #: Open files of a task that reads in shuffled order.
@@ -129,8 +129,8 @@ def masked(crc: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of many texts by the ``tokenizers`` library, without special tokens.
 
-    Where a tokenizer takes words each by itself, the ids of the words seen are kept: a table of 64-bit hashes with open addressing,
-    and the ids of all words in one array. Words that are runs of plain lower-case letters need neither the tokenizer's normaliser
+    Where a tokenizer takes words each by itself, the ids of the words seen are kept, in one array, numbered by
+    64-bit hashes. Words that are runs of plain lower-case letters need neither the tokenizer's normaliser
     nor its pattern; they are encoded with a digit between them, which tells where their ids end.
     """
 
@@ -153,7 +153,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slots, self.codes = np.zeros(1 << SLOT_BITS, np.uint64), np.empty(1 << SLOT_BITS, np.int32)
+        self.numbers = Numbers(SLOT_BITS)
         self.pieces, self.piece_at = np.empty(0, self.kind), np.zeros(1, np.int64)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,41 +177,17 @@ class Encoder:
         """The numbers of the words from ``first`` on among the words kept; new ones are encoded."""
         if len(self.piece_at) > KEPT_WORDS:
             self.forget()
-        code = self.find(hashes)
+        code = self.numbers.find(hashes)
         new = np.flatnonzero(code < 0)
         if len(new):
             distinct, example = np.unique(hashes[new], return_index=True)
             at, number = first + new[example], len(self.piece_at) - 1
             data = words.data.data
             self.encode([str(data[a:b], "utf-8", "replace") for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())])
-            self.add(distinct, np.arange(number, number + len(distinct), dtype=np.int32))
-            code[new] = self.find(hashes[new])
+            self.numbers.add(distinct, np.arange(number, number + len(distinct), dtype=np.int32))
+            code[new] = self.numbers.find(hashes[new])
         return code
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each word, or -1."""
-        at = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        there = self.slots[at]
-        code = np.where(there == hashes, self.codes[at], -1)
-        left = np.flatnonzero((code < 0) & (there > 0))
-        while len(left):
-            at[left] = (at[left] + 1) % len(self.slots)
-            there = self.slots[at[left]]
-            hit = there == hashes[left]
-            code[left[hit]] = self.codes[at[left[hit]]]
-            left = left[~hit & (there > 0)]
-        return code
-
-    def add(self, hashes: np.ndarray, codes: np.ndarray) -> None:
-        """Put new, distinct words into the table; of several that want a free slot one gets it."""
-        at = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        while len(hashes):
-            free = self.slots[at] == 0
-            self.slots[at[free]] = hashes[free]
-            won = self.slots[at] == hashes
-            self.codes[at[won]] = codes[won]
-            hashes, codes, at = hashes[~won], codes[~won], (at[~won] + 1) % len(self.slots)
-
     def encode(self, words: list[str]) -> None:
         """Number new words and keep their ids."""
         plain = np.fromiter((PLAIN(w) is not None for w in words), bool, len(words))

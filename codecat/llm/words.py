@@ -7,6 +7,9 @@ are found in the bytes of an Arrow column without decoding it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,6 +101,53 @@ def words_of(texts: pa.Array) -> Words:
     return Words(data, starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets))
 
 
+class Numbers:
+    """Numbers kept by 64-bit hashes, in a table with open addressing that stays half free. The hashes are odd."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n = bits, 0
+        self.hashes, self.numbers = np.zeros(1 << bits, np.uint64), np.empty(1 << bits, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.hashes[at]
+        found = np.where(there == hashes, self.numbers[at], -1)
+        left = np.flatnonzero((found < 0) & (there > 0))
+        while len(left):
+            at[left] = (at[left] + 1) % len(self.hashes)
+            there = self.hashes[at[left]]
+            hit = there == hashes[left]
+            found[left[hit]] = self.numbers[at[left[hit]]]
+            left = left[~hit & (there > 0)]
+        return found
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Keep new, distinct hashes; of several that want a free slot one gets it."""
+        self.n += len(hashes)
+        if 2 * self.n > len(self.hashes):
+            used = np.flatnonzero(self.hashes)
+            hashes, numbers = np.append(self.hashes[used], hashes), np.append(self.numbers[used], numbers)
+            self.bits = (2 * self.n).bit_length()
+            self.hashes, self.numbers = np.zeros(1 << self.bits, np.uint64), np.empty(1 << self.bits, np.int32)
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(hashes):
+            free = self.hashes[at] == 0
+            self.hashes[at[free]] = hashes[free]
+            won = self.hashes[at] == hashes
+            self.numbers[at[won]] = numbers[won]
+            hashes, numbers, at = hashes[~won], numbers[~won], (at[~won] + 1) % len(self.hashes)
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks of this Python worker left free."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most`` bytes of text each, without copying."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -85,7 +85,7 @@ def test_labels_of_held_out_rows_change_nothing(spark):
 
 def all_paths(sampler, unit):
     lattices = segmentation.Lattices(sampler.vocabulary)
-    root, out = lattices.roots([unit])[0], {}
+    root, out = lattices.roots(np.frombuffer(unit.encode(), np.uint8), np.array([0]))[0], {}
 
     def follow(node, edges, log_prob):
         if node < 0:
