@@ -47,7 +47,7 @@ MARK = "▁"
 #: Open sets whose log-mass is so far below the largest cannot win within double precision.
 FAR = 37.0
 #: The nodes of lattices kept by a task, beyond which they are made anew, and the bytes of text sampled at a time.
-KEPT_NODES, BLOCK_BYTES = 1_800_000, 512 << 10
+KEPT_NODES, BLOCK_BYTES = 1_200_000, 128 << 10
 
 #: Slots that the table of units starts with, as a power of two.
 UNIT_BITS = 19
