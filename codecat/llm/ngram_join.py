@@ -93,13 +93,14 @@ def frequency_ranks(rows: DataFrame, width: int) -> np.ndarray:
                 _, token, _ = token_sets(words_of(some.column("_text")), width)
                 for order in range(ORDERS):
                     total[order] += np.bincount(buckets(token, order), minlength=size).astype(np.uint32)
-        yield chunk_rows(dict(enumerate(total.reshape(ORDERS * _CHUNKS, -1))))
+        yield chunk_rows({i: narrow(chunk) for i, chunk in enumerate(total.reshape(ORDERS * _CHUNKS, -1))})
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for part in parts:
             for chunk, counts in zip(part.column(0).to_pylist(), part.column(1)):
-                values = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+                kind = np.dtype(f"u{len(counts.as_buffer()) >> CHUNK_BITS}")
+                values = np.frombuffer(counts.as_buffer(), kind).astype(np.int64)
                 total[chunk] = total[chunk] + values if chunk in total else values
         yield chunk_rows({c: (_STEPS * np.log2(v + 1.0)).astype(np.uint16) for c, v in total.items()})
 
@@ -111,6 +112,11 @@ def frequency_ranks(rows: DataFrame, width: int) -> np.ndarray:
     return table.reshape(ORDERS, size)
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes each as the largest needs: 1, 2 or 4."""
+    return counts.astype(np.min_scalar_type(int(counts.max())))
+
+
 def chunk_rows(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(list(counts), pa.int32()), pa.array([c.tobytes() for c in counts.values()], pa.binary())], ["chunk", "counts"]
@@ -188,7 +194,8 @@ def can_be_similar(a: str, b: str, percent: int) -> Column:
 
 def leader_pairs(met: DataFrame, percent: int) -> DataFrame:
     """``a, b`` with a < b: each class with the leader of each of its token groups, the class with the fewest of its own."""
-    rows = met.select("class", "n", "own", F.inline("tokens"))
+    # Dealt by token once, for the groups and for the join with their leaders.
+    rows = met.select("class", "n", "own", F.inline("tokens")).repartition("key")
     led = rows.groupBy("key").agg(F.min(F.struct("own", "class", "n", "pos")).alias("l")).select("key", "l.*")
     pairs = rows.alias("x").join(led.alias("y"), "key").where(
         (F.col("x.class") != F.col("y.class")) & can_be_similar("x", "y", percent)
@@ -204,7 +211,7 @@ def open_pairs(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """
     named = met.join(found.withColumnRenamed("node", "class"), "class", "left").select(
         "class", "n", "own", F.coalesce("component", "class").alias("c"), F.inline("tokens")
-    )
+    ).repartition("key")
     led = named.groupBy("key").agg(F.min(F.struct("own", "class", "c")).alias("l"), F.min("c").alias("low"), F.max("c").alias("high"))
     mixed = led.where("low <> high").select("key", F.col("l.c").alias("led_by"))
     left = staged(named.join(mixed, "key"), "open")
