@@ -4,13 +4,13 @@ Two texts are equal when they are identical after each run of white space
 (space, U+0009 to U+000D) is replaced by one space. A null text counts as empty.
 
 * Round one groups by the normalised length, round two by length and a hash of
-  the first characters. Both are counts that are combined before the shuffle.
+  the first characters. Both are counts over a stored table of narrow rows, from one scan.
 * Round three reads the whole text, but only of rows whose group still has
   another member, and groups them by SHA-256.
 
-No group is gathered: each round is a combined aggregate whose one row per key is
-joined back. A hot key makes one large partition on the row side of that join
-only, which adaptive execution splits.
+Texts do not move. The groups that are left are broadcast to the second scan if they were measured to fit;
+otherwise it hashes all texts where they lie, which costs less than moving them. No group is gathered: each round is a combined
+aggregate whose one row per key is joined back to narrow rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import fits_broadcast
 from ..sources.scratch import staged
 from .words import SPACE
 
@@ -49,7 +50,9 @@ def exact_duplicates(
         F.length("_text").alias("_length"),
         F.xxhash64(F.substring("_text", 1, prefix)).alias("_prefix"),
     )
-    narrow = rows.select("_length", "_prefix")
+    full = F.sha2(F.col("_text").cast("binary"), 256)
+    facts = ["doc_id", "_length", "_prefix"]
+    narrow = staged(rows.select(*facts, *([full.alias("text_sha256")] if digest_all else [])), "exact-facts")
     lengths = narrow.groupBy("_length").count().where("count > 1").select("_length")
     heads = (
         narrow.join(lengths, "_length", "left_semi")
@@ -58,17 +61,17 @@ def exact_duplicates(
         .where("count > 1")
         .select("_length", "_prefix", F.lit(True).alias("_shared"))
     )
-    full = F.sha2(F.col("_text").cast("binary"), 256)
-    hashed = staged(
-        rows.join(heads, ["_length", "_prefix"], "left").select(
-            "doc_id",
-            "_length",
-            "_prefix",
-            (full if digest_all else F.when(F.col("_shared"), full)).alias("text_sha256"),
-            F.coalesce("_shared", F.lit(False)).alias("_shared"),
-        ),
-        "exact",
-    )
+    heads = staged(heads, "exact-heads")
+    digest = F.col("text_sha256")
+    if digest_all:
+        marked = narrow.join(heads, ["_length", "_prefix"], "left")
+    elif fits_broadcast(heads):
+        marked = rows.join(F.broadcast(heads), ["_length", "_prefix"], "left")
+        digest = F.when(F.col("_shared"), full)
+    else:
+        marked = rows.select(*facts, full.alias("text_sha256")).join(heads, ["_length", "_prefix"], "left")
+        digest = F.when(F.col("_shared"), digest)
+    hashed = staged(marked.select(*facts, digest.alias("text_sha256"), F.coalesce("_shared", F.lit(False)).alias("_shared")), "exact")
     key = ["_length", "_prefix", "text_sha256"]
     per_id = hashed.groupBy("doc_id", "_shared", *key).agg(F.count(F.lit(1)).alias("_rows"))
     groups = (
@@ -94,21 +97,21 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
 
-    Only ids travel to the rows: those of dropped texts, stored once so that Spark knows their size.
+    Only ids travel to the rows: those of dropped texts, stored once so that Spark knows their size. Texts are hashed
+    again only where an id is among them.
     """
-    found = exact_duplicates(docs, id_col, text_col, digest_all=True)
+    found = exact_duplicates(docs, id_col, text_col).where("text_sha256 is not null")
     verdict = found.groupBy("doc_id", "text_sha256").agg(
         F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")
     )
     odd = staged(verdict.where("not _kept or _rows > 1"), "dropped")
-    rows = docs.select(
-        F.struct("*").alias("_doc"),
-        F.col(id_col).alias("_id"),
-        F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("_digest"),
-    )
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("text_sha256"))
+    digest = F.sha2(normalised(F.col("_text")).cast("binary"), 256)
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # The digest depends on both sides, so it is no key of the join: it is computed where ids meet.
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.when(F.col("text_sha256").isNotNull(), digest) == F.col("text_sha256"))
     single = rows.join(odd, same, "left_anti")
     repeated = odd.where("_kept")
     if not repeated.isEmpty():
-        single = single.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["_id", "_digest"]))
+        again = rows.join(repeated, same, "left_semi").withColumn("_digest", digest).dropDuplicates(["_id", "_digest"])
+        single = single.unionByName(again.drop("_digest"))
     return single.select("_doc.*")
