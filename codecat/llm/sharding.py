@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import scratch_dir, staged
 
 #: Bytes of text that a bucket is planned for.
 BUCKET_BYTES = 32 << 20
@@ -92,10 +92,13 @@ def shuffle_into_shards(
 
 
 def placed(written: DataFrame) -> DataFrame:
-    """Derive ``slot`` from bucket and place, by the sizes of the buckets before."""
+    """Derive ``slot`` from bucket and place, by the sizes of the buckets before.
+
+    There is a row per bucket. They are stored, so that Spark knows their size and joins them to the records where these lie.
+    """
     filled = written.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = filled.select("shard", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return written.join(starts, ["shard", "bucket"]).select(
+    return written.join(staged(starts, "starts"), ["shard", "bucket"]).select(
         "record", "size", F.col("shard").cast("int").alias("shard"), (F.col("_start") + F.col("place")).alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard")
     )
