@@ -5,8 +5,8 @@ minimum covariance determinant (MCD) gives a centre and a covariance that outlie
 cannot bend; a document whose Mahalanobis distance is too large is rejected.
 
 The MCD is searched by concentration steps: estimate from a subset, rank all rows by
-distance, take the nearest ``CORE`` share as the next subset. The determinant never
-rises. Two starts (median with MAD, and moments) run side by side, and the one with
+distance, take the nearest ``CORE`` share as the next subset, until the determinant, which never
+rises, falls no more in any group. Two starts (median with MAD, and moments) run side by side, and the one with
 the smaller determinant wins. A step is two combined aggregates: a histogram of the
 log distances, whose cumulated counts give the limit of the subset, and the sums and
 products within it. Nothing but sums per group moves, so a hot source costs no more
@@ -32,8 +32,9 @@ from .words import SPACE
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Share of a group that a concentration step keeps, and the number of steps.
-CORE, STEPS = 0.75, 3
+#: Share of a group that a concentration step keeps. Steps end when no logarithm of a determinant falls by more than
+#: the tolerance; as none rises, and there are only so many subsets, they do, and the bound is for the unforeseen.
+CORE, TOLERANCE, MOST_STEPS = 0.75, 0.01, 50
 #: Groups with fewer rows are put together: first by language, then all.
 LEAST_GROUP = 100
 #: Bins per unit of the logarithm of a squared distance.
@@ -185,12 +186,15 @@ def mcd(rows: DataFrame) -> DataFrame:
     points = staged(rows, "points")
     start = centre_and_spread(points).unionByName(factor(moments(points.withColumn("start", F.lit("moments")))))
     at = staged(start, "mcd")
-    for _ in range(STEPS):
+    for _ in range(MOST_STEPS):
         rated = distance(points.join(at, "group"))
         binned = rated.select("group", "start", *x_names(), distance_bin(F.col("d2")).alias("bin"))
         limit = staged(quantile_bin(binned, CORE), "limit")
         core = binned.join(limit, ["group", "start"]).where("bin <= limit")
-        at = staged(factor(moments(core)), "mcd")
+        before, at = at, staged(factor(moments(core)), "mcd")
+        fell = before.select("group", "start", F.col("logdet").alias("_before")).join(at, ["group", "start"])
+        if fell.where(F.col("_before") - F.col("logdet") > TOLERANCE).isEmpty():
+            break
     best = at.groupBy("group").agg(F.min_by(F.struct(*(c for c in at.columns if c != "group")), F.struct("logdet", "start")).alias("b")).select("group", "b.*")
     rated = distance(points.join(best, "group")).select("group", "start", distance_bin(F.col("d2")).alias("bin"))
     middle = quantile_bin(rated, 0.5).select("group", (F.exp(F.col("limit") / BINS) / CHI_MEDIAN).alias("scale"))
