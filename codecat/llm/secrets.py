@@ -32,7 +32,6 @@ _ASSIGN = re.compile(
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _JOINTS = "/_=-"
 LEAST_ASSIGNED, LEAST_ACCESS = 12, 18
 
@@ -48,20 +47,22 @@ class CharacterClass:
 
 
 #: The narrowest class that holds a candidate counts. A window of 16 random hexadecimal digits has about
-#: 3.3 bits per character, one of 20 random letters and digits about 4.1; words have 3.5 at most.
+#: 3.3 bits per character, one of 20 random letters and digits about 4.1, and one of 250 less than 3.6; words have 3.5 at most.
 CLASSES = (
     CharacterClass("hex", re.compile(r"[0-9A-Fa-f]+"), 16, 3.0),
-    CharacterClass("alnum", re.compile(r"[0-9A-Za-z]+"), 20, 3.8),
-    CharacterClass("base64", re.compile(r"[0-9A-Za-z+/_=-]+"), 20, 3.8),
+    CharacterClass("alnum", re.compile(r"[0-9A-Za-z]+"), 20, 3.6),
+    CharacterClass("base64", re.compile(r"[0-9A-Za-z+/_=-]+"), 20, 3.6),
 )
+#: A candidate is as long as the smallest window, at least.
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{min(c.window for c in CLASSES)},}}")
 #: Candidates that are no secrets: words and their compounds, numbers, identifiers in the UUID form,
-#: lower-case paths and slugs, and anything that calls itself an example.
+#: lower-case paths and slugs of short parts, and what has such a word inside it (one that stands by itself, as in a path, hides nothing else).
 ALLOWED = (
     r"[A-Za-z_=/+-]*",
     r"[0-9_=/+-]*",
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
-    r"[0-9a-z]+([/_-][0-9a-z]{1,12})+",
-    r".*(?i:example|placeholder|dummy).*",
+    r"[0-9a-z]{1,12}([/_-][0-9a-z]{1,12})+",
+    r".*(?i:[0-9a-z+](?:example|placeholder|dummy)|(?:example|placeholder|dummy)[0-9a-z+]).*",
 )
 
 

@@ -291,6 +291,32 @@ def test_random_secrets_joined_to_a_digest():
         assert any(k == "entropy" and a >= 32 for k, a, _ in spans_of(f"{digest}-{secret}"))
 
 
+@pytest.mark.parametrize(
+    "letters, n, text, most",
+    [
+        ("0123456789abcdefghijklmnopqrstuvwxyz", 40, "{}-prod", 0),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 40, "example/{}", 2),
+        ("0123456789ABCDEF", 19, "{}", 9),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20, "{}", 20),
+    ],
+)
+def test_random_secrets_are_found(letters, n, text, most):
+    """After slugs and example words, and as short as the window. Lost are those below the limit by chance, and those of letters only, of which
+    3 in 100 random ones of 20 characters are: they may be words."""
+    rng = np.random.default_rng(8)
+    lost = 0
+    for _ in range(300):
+        secret = "".join(rng.choice(list(letters), n))
+        at = text.index("{}")
+        lost += not any(k == "entropy" and a < at + n and b > at for k, a, b in spans_of(text.format(secret)))
+    assert lost <= most
+
+
+def test_slugs_and_examples_are_no_secrets():
+    for text in ("a1/b2c3-2024/release-notes_v12", "docs/v2/example/readme-2023-01-02", KEY + "EXAMPLEKEY", "api-v1/dummy0123456789abcdefXYZQ"):
+        assert not [s for s in spans_of(text) if s[0] == "entropy"]
+
+
 def test_allow_list():
     assert spans_of(KEY) and not spans_of(KEY, ["wJalr.*"])
 
