@@ -130,7 +130,8 @@ def sources_with_thresholds(rows: DataFrame, share: float, most: float, weights:
         .withColumn("budget", F.col("target") - F.col("base") * F.col("source_size")),
         "mix-targets",
     )
-    at = sources.select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("used"))
+    # Without a budget there is no threshold: not even documents without words are taken once more.
+    at = sources.where("budget > 0").select("source", "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("used"))
     for level in range(LEVELS):
         inside = rows.select("source", "size", F.shiftright("hash", BITS * (LEVELS - level)).alias("prefix"),
                              F.shiftright("hash", BITS * (LEVELS - 1 - level)).alias("next"))

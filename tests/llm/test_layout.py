@@ -88,6 +88,13 @@ def test_larger_budgets_take_supersets(spark):
     assert sets[0] < sets[1] < sets[2]
 
 
+def test_documents_without_words_are_not_taken_a_third_time(spark):
+    """The target of this source is twice its size, so no budget is left for a threshold."""
+    rows = [(i, f"w{i} x y", "en", "a") for i in range(20)] + [(100 + i, None, "en", "a") for i in range(20)] + [(200, "w " * 900, "en", "b")]
+    got = mixing.mix(frame(spark, rows), share=1.9).where("doc_id < 200").collect()
+    assert {(r["size"] > 0, r["times"]) for r in got} == {(True, 2), (False, 2)}
+
+
 def test_nothing_to_mix(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.take(frame(spark, [(1, None)])).count() == 0
