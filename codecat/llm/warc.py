@@ -120,8 +120,8 @@ def write_warc(
     """Write a record per page and return the stored list of files: ``path, records, bytes``.
 
     Of equal payloads of at least ``LEAST_SHARED`` bytes the page with the largest id is the response,
-    the others are revisits that refer to it. A file gets its final name when it is complete, so a
-    task that is run again replaces its own files.
+    the others are revisits that refer to it. A file gets its final name when it is complete; names differ between
+    attempts of a task, which may deal rows to files in another way, and the list has the files of one attempt only.
 
     Defined results: a null html is an empty payload; a null id has no page number and is never referred
     to, unless all ids of its group are null, when all are responses; rows that repeat the largest id are
@@ -133,7 +133,7 @@ def write_warc(
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(target)
         store.create_dir(root, recursive=True)
-        task = TaskContext.get().partitionId()
+        task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         number, out = 0, None
         done: list[tuple[str, int, int]] = []
 
@@ -141,7 +141,7 @@ def write_warc(
             nonlocal out, number
             if out is not None:
                 out.close()
-                final = f"{root}/part-{task:06d}-{number:05d}.warc.gz"
+                final = f"{root}/part-{task:06d}-{number:05d}-{attempt}.warc.gz"
                 store.move(draft, final)
                 done.append((final if target.startswith(("/", "file:")) else f"{target}/{final.rpartition('/')[2]}", records, size))
                 out, number = None, number + 1
@@ -467,7 +467,10 @@ def read_row(path: str, found: Record | Gap, with_payload: bool) -> dict:
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """``path`` of the archives below a folder, by Spark's own listing; contents are not read."""
+    """``path`` of the archives below a folder, by Spark's own listing; contents are not read.
+
+    In a folder of :func:`write_warc` there may be files of lost attempts besides; its list has those that count.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").where(
         F.col("path").rlike(r"\.warc(\.gz)?$")
     )
