@@ -21,7 +21,9 @@ from codecat.operators import gomod, java, npm, python_env  # noqa: E402
 from codecat.operators.digest import digest  # noqa: E402
 from codecat.plans import catalogue as store  # noqa: E402
 from codecat.plans import search as find  # noqa: E402
+from codecat.plans.postings import open_postings  # noqa: E402
 from codecat.sources.corpus import read_corpus  # noqa: E402
+from codecat.sources.locations import open_locations, update_locations  # noqa: E402
 from codecat.sources.scratch import scratch_dir, staged  # noqa: E402
 from codecat.workload import fixture  # noqa: E402
 from codecat.workload.queries import queries  # noqa: E402
@@ -54,7 +56,11 @@ def main() -> None:
     corpus = read_corpus(spark, f"{home}/corpus")
     facts = staged(digest(corpus), "digest", "kind")
     store.index(corpus, f"{home}/catalogue")
+    store.build_postings(spark, f"{home}/catalogue")
     catalogue = store.open_catalogue(spark, f"{home}/catalogue")
+    postings = open_postings(spark, f"{home}/catalogue")
+    update_locations(spark, f"{home}/corpus", f"{home}/locations", f"{home}/checkpoint")
+    locations = open_locations(spark, f"{home}/locations")
     registered = queries()
 
     timed = {
@@ -71,15 +77,15 @@ def main() -> None:
         "search_listing": lambda: consume(find.search_listing(catalogue)),
         "resolve_name": lambda: consume(find.resolve_name(catalogue)),
         "lookup_content": lambda: consume(
-            find.lookup_content(find.search(catalogue, "f 1"), corpus)
+            find.lookup_located(find.search(catalogue, "f 1"), locations)
         ),
         "search_batch": lambda: consume(
-            find.search_batch(catalogue, fixture.name_queries(spark, sf_dir))
+            find.search_batch(catalogue, fixture.name_queries(spark, sf_dir), postings)
         ),
         "expand_archives": lambda: consume(registered["expand_archives"](spark, sf_dir)),
         **{
             name: lambda name=name: consume(registered[name](spark, sf_dir))
-            for name in ("maven_artifacts", "new_artifacts", "jdk_archive", "index_upsert", "incremental_index", "index_archives")
+            for name in ("maven_artifacts", "new_artifacts", "jdk_archive", "index_upsert", "incremental_index", "index_archives", "tree_files")
         },
     }
     seconds = {}

@@ -18,6 +18,7 @@ from ..operators.python_env import python_modules, python_rejects
 from ..schema import CATALOGUE, CATALOGUE_KEY, CATALOGUE_TABLE, REJECTS, Scope
 from ..sources.scratch import scratch_space, staged
 from ..sources.tables import add_rows, stored
+from .keys import add_keys, without_stored
 from .postings import add_postings, open_postings
 
 
@@ -116,6 +117,7 @@ def _write(documents: DataFrame, table: str, mode: str) -> None:
     files as well as row groups. The rows are stored first: finding the ranges
     reads them once more. A table with postings keeps them: those of added rows come first, so a
     run that was cut off leaves too many at worst; those of a new table come last, and are missing until then.
+    Stored keys are kept up, too.
     """
     spark = documents.sparkSession
     kept = open_postings(spark, table) is not None
@@ -133,6 +135,8 @@ def _write(documents: DataFrame, table: str, mode: str) -> None:
         )
         if kept and mode == "overwrite":
             add_postings(rows, table, "overwrite")
+        if mode == "append":
+            add_keys(rows, table)
 
 
 def build_postings(spark: SparkSession, table: str) -> None:
@@ -149,19 +153,22 @@ def upsert_catalogue(documents: DataFrame, table: str) -> None:
     """Append the documents whose key is not stored yet. One writer at a time.
 
     When the documents are measured small, the stored keys among them are
-    found map-side, so the table is scanned but not shuffled.
+    found map-side; otherwise they are shuffled to the buckets of the stored keys (:mod:`codecat.plans.keys`).
+    Either way the stored side is scanned but not shuffled.
     """
     spark = documents.sparkSession
     new = documents.select(*CATALOGUE_KEY).distinct()
-    stored = open_catalogue(spark, table).select(*CATALOGUE_KEY)
-    if stored.isEmpty():
+    stored_rows = open_catalogue(spark, table).select(*CATALOGUE_KEY)
+    if stored_rows.isEmpty():
         _write(new, table, "append")
         return
     with scratch_space(spark, "upsert") as work:
         new = staged(new, "new", under=work)
         if fits_broadcast(new):
-            stored = stored.join(F.broadcast(new), CATALOGUE_KEY, "left_semi")
-        _write(new.join(stored, CATALOGUE_KEY, "left_anti"), table, "append")
+            known = stored_rows.join(F.broadcast(new), CATALOGUE_KEY, "left_semi")
+            _write(new.join(known, CATALOGUE_KEY, "left_anti"), table, "append")
+        else:
+            without_stored(new, table, stored_rows, lambda rows: _write(rows, table, "append"))
 
 
 def index(

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from codecat.operators.digest import digest
 from codecat.plans import catalogue as store
+from codecat.plans import keys
 from codecat.plans import search as find
 from codecat.streaming.reindex import reindex
 
@@ -80,6 +81,46 @@ def test_insert_or_ignore_and_reset(spark, corpus, table, either_join):
     assert rows(store.open_catalogue(spark, table)) == [("go", "h/y.go", "/h/y.go")]
 
 
+def test_large_inserts_leave_the_stored_side_alone(spark, table, monkeypatch):
+    """Beyond the broadcast limit, stored keys are read by bucket; they are kept up, and made anew when they are short."""
+    def docs(numbers):
+        return spark.createDataFrame([("go", f"n{i % 7}", f"/p{i}") for i in numbers], "language string, name string, path string")
+
+    plans, own = [], keys.anti_join
+    monkeypatch.setattr(keys, "anti_join", lambda new, known: plans.append(own(new, known)) or plans[-1])
+    monkeypatch.setattr(store, "fits_broadcast", lambda df: False)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        store.upsert_catalogue(docs(range(50)), table)
+        assert keys._buckets(spark, table) is None
+        store.upsert_catalogue(docs(range(30, 80)), table)
+        plan = plans[-1]._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("SortMergeJoin") :].split("FileScan")
+        assert "Bucketed: true" in side[-1] and "Exchange" not in side[-2].rsplit("Sort [", 1)[1]
+        assert len(rows(store.open_catalogue(spark, table))) == 80
+        monkeypatch.setattr(store, "fits_broadcast", lambda df: True)
+        store.upsert_catalogue(docs(range(70, 90)), table)
+        monkeypatch.setattr(store, "fits_broadcast", lambda df: False)
+        with keys._opened(spark, table, keys._buckets(spark, table)) as name:
+            assert spark.table(name).distinct().count() == spark.table(name).count() == 90
+        # A run that was cut off before it stored its keys.
+        with monkeypatch.context() as cut:
+            cut.setattr(store, "add_keys", lambda rows, table: None)
+            store._write(docs(range(90, 95)), table, "append")
+        store.upsert_catalogue(docs(range(85, 100)), table)
+        store.upsert_catalogue(docs(range(85, 100)), table)
+        assert rows(store.open_catalogue(spark, table)) == sorted(("go", f"n{i % 7}", f"/p{i}") for i in range(100))
+        store.reset_catalogue(docs(range(10)), table)
+        assert keys._buckets(spark, table) is None
+        store.upsert_catalogue(docs(range(5, 15)), table)
+        assert len(rows(store.open_catalogue(spark, table))) == 15
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("codecat_keys")]
+    finally:
+        spark.conf.set(limit, old)
+
+
 def test_stored_search_is_pruned(spark, table):
     docs = spark.createDataFrame(DOCUMENTS, "language string, name string, path string")
     store.upsert_catalogue(docs, table)
