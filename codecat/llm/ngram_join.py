@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
@@ -194,10 +194,10 @@ def can_be_similar(a: str, b: str, percent: int) -> Column:
 
 def leader_pairs(met: DataFrame, percent: int) -> DataFrame:
     """``a, b`` with a < b: each class with the leader of each of its token groups, the class with the fewest of its own."""
-    # Dealt by token once, for the groups and for the join with their leaders.
-    rows = met.select("class", "n", "own", F.inline("tokens")).repartition("key")
-    led = rows.groupBy("key").agg(F.min(F.struct("own", "class", "n", "pos")).alias("l")).select("key", "l.*")
-    pairs = rows.alias("x").join(led.alias("y"), "key").where(
+    # One shuffle by token gives each row the leader of its group.
+    rows = met.select("class", "n", "own", F.inline("tokens"))
+    led = F.min(F.struct("own", "class", "n", "pos")).over(Window.partitionBy("key"))
+    pairs = rows.select(F.struct("class", "n", "pos").alias("x"), led.alias("y")).where(
         (F.col("x.class") != F.col("y.class")) & can_be_similar("x", "y", percent)
     )
     return pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
@@ -211,10 +211,11 @@ def open_pairs(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """
     named = met.join(found.withColumnRenamed("node", "class"), "class", "left").select(
         "class", "n", "own", F.coalesce("component", "class").alias("c"), F.inline("tokens")
-    ).repartition("key")
-    led = named.groupBy("key").agg(F.min(F.struct("own", "class", "c")).alias("l"), F.min("c").alias("low"), F.max("c").alias("high"))
-    mixed = led.where("low <> high").select("key", F.col("l.c").alias("led_by"))
-    left = staged(named.join(mixed, "key"), "open")
+    )
+    group = Window.partitionBy("key")
+    led = F.min(F.struct("own", "class", "c")).over(group)
+    marked = named.select("*", led["c"].alias("led_by"), F.min("c").over(group).alias("low"), F.max("c").over(group).alias("high"))
+    left = staged(marked.where("low <> high").select("class", "n", "key", "pos", "c", "led_by"), "open")
     pairs = left.where("c <> led_by").alias("x").join(
         left.alias("y"),
         (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & can_be_similar("x", "y", percent),
@@ -323,8 +324,8 @@ def near_duplicates(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     ranks = frequency_ranks(rows, width)
-    keyed = rows.where("_id is not null").mapInArrow(set_keys(width, percent, ranks), sharing.KEYED_SCHEMA)
-    shared = staged(sharing.shared(keyed, with_key=True), "shared")
+    keys_of = set_keys(width, percent, ranks)
+    shared = staged(sharing.shared_packed(rows.where("_id is not null"), keys_of), "shared")
     known = shared.where(F.col("key").bitwiseAND((1 << ORDER_BITS) - 1) == SET).select(
         F.col("place").alias("doc_id"), F.col("owner").alias("class"), F.shiftright("key", ORDER_BITS).alias("n")
     )
