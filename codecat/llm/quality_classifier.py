@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .words import slices, words_of
+from .words import give_back, slices, words_of
 
 #: The most documents of each label that the model is fitted to, and the most lines and bytes of each.
 SAMPLE, SAMPLE_LINES, SAMPLE_BYTES = 2000, 1000, 100_000
@@ -103,6 +103,15 @@ def line_features(texts: pa.Array) -> Lines:
     return Lines(features, (ends - begins).astype(float), first)
 
 
+def joined(parts: list[Lines]) -> Lines:
+    """The lines of several blocks of texts; their working memory is that of one block at a time."""
+    if not parts:
+        return line_features(pa.array([], pa.string()))
+    upto = np.cumsum([0, *(len(p.lengths) for p in parts)])
+    first = [p.first[:-1] + a for p, a in zip(parts, upto.tolist())]
+    return Lines(np.concatenate([p.features for p in parts]), np.concatenate([p.lengths for p in parts]), np.append(np.concatenate(first), upto[-1]))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -250,14 +259,19 @@ def train(
         .select("_id", "_y", "_text")
     )
     rows = examples.orderBy("_id").limit(2 * sample).toArrow()
-    lines = line_features(rows.column("_text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+    lines = joined([line_features(some.column("_text")) for part in rows.to_batches() for some in slices(part, "_text")])
     label = rows.column("_y").to_numpy()
+    del rows
+    give_back()
     if len(set(label.tolist())) < 2:
         share = counts.get(1, 0) / max(1, sum(counts.values()))
         flat = np.zeros(3 * len(STATISTICS) + 2)
         return Chain(flat, flat + 1, np.append(flat, 0.0), np.zeros((2, 2)), 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     weight = np.array([counts[y] / (label == y).sum() for y in label.tolist()])
-    return fit(lines, label, weight * len(label) / weight.sum())
+    chain = fit(lines, label, weight * len(label) / weight.sum())
+    del lines
+    give_back()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +294,11 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score as good, with all their columns, in one pass."""
+    """The rows of ``docs`` that score as good, with all their columns, in one pass.
+
+    Defined results: texts without words (null, empty, blank) go; repeated rows stay or go together; null ids and columns of
+    any name are handed on; an empty table gives no rows.
+    """
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
