@@ -99,6 +99,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Only ids travel to the rows: those of dropped texts, stored once so that Spark knows their size. Texts are hashed
     again only where an id is among them.
+
+    Defined results: null texts are equal to empty ones; of rows that repeat an id and a text one stays; a null id gives way to any other, and of
+    null ids alone one row stays; columns of any name are handed on; an empty table gives no rows.
     """
     found = exact_duplicates(docs, id_col, text_col).where("text_sha256 is not null")
     verdict = found.groupBy("doc_id", "text_sha256").agg(

@@ -171,6 +171,9 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     """The rows of ``docs`` as often as :func:`mix` takes them, with all their columns.
 
     The threshold of a source is applied to the rows as they are read; they do not move.
+
+    Defined results: documents without words are taken as often as their source is taken whole, so not at all where a source has no words; rows equal in
+    id and text share one fate; a null source is a source of its own; columns of any name are handed on; an empty table gives no rows.
     """
     chosen = thresholds(docs, id_col=id_col, text_col=text_col, seed=seed, **options)
     source = F.col(options.get("source_col", "source"))

@@ -262,3 +262,19 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in rows.collect()} == {r["doc_id"] for r in docs.collect()}
     run = corpus_pipeline.run(spark, sf_dir).drop("ids").collect()
     assert sorted(map(repr, run)) == sorted(map(repr, rows.drop("ids").collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables pass through every stage."""
+    spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    good = " ".join(prose(9, 1, 90))
+    rows = [*ODD, (20, good), (20, good), (21, good + " more"), (None, good)]
+    for docs in (frame(spark, rows), frame(spark, [])):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            found = out.collect()
+            if name == corpus_pipeline.STAGES[-1][0]:
+                assert bool(found) == bool(n) and all(r["round_trip"] for r in found)
+            else:
+                assert out.columns == docs.columns and bool(found) == bool(n), name
