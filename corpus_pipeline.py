@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last
 return the columns of ``documents``.
+
+Defined results of all stages: an empty table gives no rows; null ids, null languages and sources, repeated rows and columns of any
+name pass through, where the stage's operator does not say otherwise. Texts without words go in the first stage,
+since they score 0. Of equal texts and of similar ones the row with the smallest id stays; rows with a null id are
+equal to others, but similar to none.
 """
 
 from __future__ import annotations
