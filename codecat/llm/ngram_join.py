@@ -284,9 +284,16 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose full sets are similar, as edges ``u, v``. ``texts`` are ``class, _text``."""
-    one = texts.select(F.col("class").alias("a"), F.col("_text").alias("_one"))
-    two = texts.select(F.col("class").alias("b"), F.col("_text").alias("_text"))
+    """The stored ``pairs(a, b)`` whose full sets are similar, as edges ``u, v``. ``texts`` are ``class, _text``.
+
+    Only texts of classes in pairs move. Their classes are stored, so that few of them pick their texts where these lie.
+    """
+
+    def side(name: str, text: str) -> DataFrame:
+        named = staged(pairs.select(name).distinct(), "classes")
+        return texts.select(F.col("class").alias(name), F.col("_text").alias(text)).join(named, name, "left_semi")
+
+    one, two = side("a", "_one"), side("b", "_text")
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -350,7 +357,7 @@ def near_duplicates(
     found = components(edges)
     split = split_classes(loose, found)
     within = candidates(lambda m: open_pairs(m.join(split, "class", "left_semi"), found, percent))
-    rest = apart.unionByName(within).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = staged(apart.unionByName(within).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     more = staged(verified(rest, texts, width, percent), "links")
     found = components(found.toDF("u", "v").unionByName(more))
 
