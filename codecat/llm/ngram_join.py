@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import staged
 from . import sharing
 from .components import components
-from .words import Words, inside_text, keys, mix, slices, windows, words_of
+from .words import Words, give_back, inside_text, keys, mix, slices, windows, words_of
 
 #: Global orders under which candidates must meet.
 ORDERS = 2
@@ -94,6 +94,7 @@ def frequency_ranks(rows: DataFrame, width: int) -> np.ndarray:
                 for order in range(ORDERS):
                     total[order] += np.bincount(buckets(token, order), minlength=size).astype(np.uint32)
         yield chunk_rows({i: narrow(chunk) for i, chunk in enumerate(total.reshape(ORDERS * _CHUNKS, -1))})
+        give_back()
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}

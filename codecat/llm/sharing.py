@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix
+from .words import give_back, mix
 
 #: Values of ``known``: undecided; its key is shared; decided, only to be handed on.
 OPEN, SHARED, PASSED = 0, 1, 2
@@ -117,6 +117,8 @@ def pack(batches_: Iterator[pa.RecordBatch], targets: int) -> Iterator[pa.Record
         filled = [t for t in range(targets) if cuts[t] < cuts[t + 1]]
         values = [_packed([c[order[cuts[t] : cuts[t + 1]]] for c in columns]) for t in filled]
         yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(values, pa.binary())], ["target", "data"])
+    # The next stage runs two Python workers per task.
+    give_back()
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -144,6 +146,7 @@ def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += n * kind.itemsize
             columns[1] = owners[columns[1]]
             yield from batches(*columns)
+    give_back()
 
 
 def shared_packed(rows: DataFrame, occurrences: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
