@@ -60,6 +60,29 @@ def fitting_groups(df: DataFrame, key: str, groups: Collection[str]) -> set[str]
     return set(groups) - {row[key] for row in rows.collect() if row["size"] > limit}
 
 
+#: Bits of a key filter: 262,144 rows of 64 bits at most, at any input size. Fuller filters let more rows through.
+FILTER_BITS = 24
+
+
+def _place(key: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """``_word, _bits``: a table of bits, one set per value of a column by its hash. Null is a value like any other."""
+    places = keys.select(_place(key).alias("_place"))
+    bit = F.expr("shiftleft(1L, CAST(_place & 63 AS INT))")
+    return staged(places.groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), "filter")
+
+
+def marked(rows: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """``rows`` with ``_likely``: false for those whose key is surely not in the filter. Nothing is shuffled."""
+    placed = rows.withColumn("_place", _place(key)).withColumn("_word", F.shiftright("_place", 6))
+    bit = F.expr("shiftright(_bits, CAST(_place & 63 AS INT)) & 1 = 1")
+    found = placed.join(F.broadcast(words), "_word", "left").withColumn("_likely", F.coalesce(bit, F.lit(False)))
+    return found.drop("_place", "_word", "_bits")
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

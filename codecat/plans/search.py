@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import escape_like, like_pattern, listing_line, lower_ascii, with_header
 from ..functions.paths import ends_with_any
-from ..operators.joins import fits_broadcast, sized_join
+from ..operators.joins import fits_broadcast, key_filter, marked, sized_join
 from ..schema import CATALOGUE_KEY, LANGUAGE_CODES
 from ..sources.locations import SOURCE_SUFFIXES, read_located
 from ..sources.scratch import staged
@@ -15,6 +17,10 @@ from .postings import GRAM, Postings, grams, name_id
 
 #: So few paths or pieces are looked up by their values, which skips the other files and row groups of an index.
 FEW_PATHS = FEW_GRAMS = 200
+#: A pattern whose rarest piece more names have is keyed by a longer piece.
+FEW_NAMES = 16
+#: Sizes of longer pieces; below the 16 digits of a name's number.
+LONGER = (4, 6, 8, 12)
 
 def _name_lc(catalogue: DataFrame) -> Column:
     if "name_lc" in catalogue.columns:
@@ -51,6 +57,19 @@ def _query_grams(pattern: Column) -> Column:
     return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(longest["run"]))
 
 
+def _longer_pieces(pattern: Column) -> Column:
+    """Longer pieces that every match of a LIKE pattern contains: of each literal run those of the largest size that it has."""
+    runs = F.filter(F.split(pattern, "[%_]+"), lambda run: F.length(run) >= LONGER[0])
+
+    def cut(run: Column) -> Column:
+        size = F.lit(LONGER[0])
+        for more in LONGER[1:]:
+            size = F.when(F.length(run) >= more, more).otherwise(size)
+        return F.transform(F.sequence(F.lit(1), F.length(run) - size + 1), lambda i: F.substring(run, i, size))
+
+    return F.array_distinct(F.flatten(F.transform(runs, cut)))
+
+
 def search_batch(catalogue: DataFrame, queries: DataFrame, postings: Postings | None = None) -> DataFrame:
     """``(qid, language, name, path)`` for many queries at once.
 
@@ -62,7 +81,8 @@ def search_batch(catalogue: DataFrame, queries: DataFrame, postings: Postings |
 
     With the ``postings`` of a stored catalogue, frequencies and proposed names are read from them, and the
     catalogue is scanned once, for the names proposed. Patterns without a whole piece are
-    matched by their shorter ones in the same scan. Without postings, names are cut to pieces twice.
+    matched by their shorter ones in the same scan, and those whose rarest piece many names have by a longer piece.
+    Without postings, names are cut to pieces twice.
     """
     known = F.lower("language")
     asked = queries.select(
@@ -80,58 +100,86 @@ def search_batch(catalogue: DataFrame, queries: DataFrame, postings: Postings |
 
 
 def _rarest(pieces: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
-    """``(pattern, asked, gram)``: the rarest piece of each pattern. One that no name has leaves its pattern without a match."""
-    rarest = F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram"))
+    """``(pattern, asked, gram, names)``: the rarest piece of each pattern. One that no name has leaves its pattern without a match."""
+    rarest = F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("rarest")
     chosen = sized_join(pieces, counts, "gram", "pattern", "left", few)
-    return staged(chosen.groupBy("pattern", "asked").agg(rarest.alias("gram")), "patterns")
+    return staged(chosen.groupBy("pattern", "asked").agg(rarest).select("pattern", "asked", "rarest.gram", "rarest.names"), "patterns")
 
 
 def _met_by_pieces(keyed: DataFrame, pieces: DataFrame) -> DataFrame:
     """Names and patterns that share the pattern's rarest piece; all names are cut to pieces."""
-    # At most GRAM + 1 sizes.
+    whole = F.length("gram") >= GRAM
+    longer = pieces.where(whole).select("pattern", "asked").distinct()
+    longer = longer.select("pattern", "asked", F.explode(_longer_pieces(F.col("pattern"))).alias("gram"))
+    pieces = staged(pieces.unionByName(longer), "all-pieces")
+    # At most GRAM + 1 sizes, and those of longer pieces.
     sizes = [row[0] for row in pieces.select(F.length("gram")).distinct().collect()]
     of_name = F.explode(grams(F.col("_name_lc"), sizes or [GRAM])).alias("gram")
     used = pieces.select("gram").distinct()
     few = fits_broadcast(used)
+    words = None if few else key_filter(used, "gram")
     counts = (
-        sized_join(keyed.select("path", of_name), used, "gram", "path", "left_semi", few)
+        sized_join(_likely(keyed.select("path", of_name), "gram", words), used, "gram", "path", "left_semi", few)
         .groupBy("gram")
         .agg(F.count(F.lit(1)).alias("names"))
     )
-    chosen = _rarest(pieces, counts, few)
+    chosen = _rarest(pieces, counts, few).drop("names")
     small = fits_broadcast(chosen)
-    candidates = keyed.select("*", of_name)
-    if not small:
-        # Drop the pieces that no pattern took before the shuffle, if those are few.
-        taken = chosen.select("gram").distinct()
-        candidates = sized_join(candidates, taken, "gram", "path", "left_semi", few)
-    return sized_join(candidates, chosen, "gram", "path", small=small)
+    # Drop the pieces that no pattern took before the shuffle.
+    words = None if small else key_filter(chosen, "gram")
+    return sized_join(_likely(keyed.select("*", of_name), "gram", words), chosen, "gram", "path", small=small)
+
+
+def _likely(rows: DataFrame, key: str, words: DataFrame | None) -> DataFrame:
+    return rows if words is None else marked(rows, key, words).where("_likely").drop("_likely")
 
 
 def _met_by_postings(keyed: DataFrame, pieces: DataFrame, postings: Postings) -> DataFrame:
-    """Names and patterns that share the pattern's rarest piece, as the postings have it, or its only, shorter piece.
+    """Names and patterns that share the pattern's rarest piece, as the postings have it, a longer or its only, shorter piece.
 
     Names meet patterns on a key: the name's number, as 16 hexadecimal digits, or a piece shorter than that.
     """
     whole = F.length("gram") >= GRAM
-    sizes = [row[0] for row in pieces.where(~whole).select(F.length("gram")).distinct().collect()]
     long = pieces.where(whole)
     counts = postings.frequencies.groupBy("gram").agg(F.sum("names").alias("names"))
     used = long.select("gram").distinct()
     few = fits_broadcast(used)
-    chosen = _rarest(long, sized_join(counts, used, "gram", "gram", "left_semi", few), few)
-    names = postings.names
+    counts = staged(sized_join(counts, used, "gram", "gram", "left_semi", few), "counts")
+    chosen = _rarest(long, counts, few)
+    many = (F.col("names") > FEW_NAMES) & (F.size(_longer_pieces(F.col("pattern"))) > 0)
+    keys = [
+        pieces.where(~whole).withColumnRenamed("gram", "key"),
+        _longer_keys(chosen.where(many).select("pattern", "asked"), counts, few),
+        _numbers(chosen.where(~many).select("pattern", "asked", "gram"), postings.names),
+    ]
+    targets = staged(reduce(DataFrame.unionByName, keys), "targets")
+    sizes = [row[0] for row in targets.select(F.length("key")).distinct().collect() if row[0] < 16]
+    own = F.array(F.lpad(F.hex(name_id(F.col("_name_lc"))), 16, "0"))
+    cut = F.concat(own, grams(F.col("_name_lc"), sizes)) if sizes else own
+    small = fits_broadcast(targets)
+    words = None if small else key_filter(targets, "key")
+    return sized_join(_likely(keyed.select("*", F.explode(cut).alias("key")), "key", words), targets, "key", "path", small=small)
+
+
+def _longer_keys(patterns: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
+    """``(pattern, asked, key)``: of each pattern the longer piece that is rarest if its parts of size GRAM occurred independently."""
+    most = counts.agg(F.max("names")).collect()[0][0] or 1
+    cut = patterns.select("pattern", "asked", F.explode(_longer_pieces(F.col("pattern"))).alias("key"))
+    starts = F.sequence(F.lit(1), F.length("key") - GRAM + 1, F.lit(GRAM))
+    parts = cut.select("*", F.explode(F.transform(starts, lambda i: F.substring("key", i, F.lit(GRAM)))).alias("gram"))
+    share = F.sum(F.log(F.coalesce("names", F.lit(0.5)) / most)).alias("share")
+    rated = sized_join(parts, counts, "gram", "pattern", "left", few).groupBy("pattern", "asked", "key").agg(share)
+    return rated.groupBy("pattern", "asked").agg(F.min_by("key", F.struct("share", "key")).alias("key"))
+
+
+def _numbers(chosen: DataFrame, names: DataFrame) -> DataFrame:
+    """``(pattern, asked, key)``: the numbers of the names that the postings have for each pattern's piece."""
     taken = [row["gram"] for row in chosen.select("gram").distinct().limit(FEW_GRAMS + 1).collect()]
     if len(taken) <= FEW_GRAMS:
         names = names.where(F.col("gram").isin(taken))
     proposed = sized_join(names, chosen, "gram", "name_id").where(F.col("asked").isin("", F.col("language")))
-    number = F.lpad(F.hex("name_id"), 16, "0")
     # A name may have postings from several inserts.
-    targets = proposed.select(number.alias("key"), "pattern", "asked").distinct()
-    targets = staged(targets.unionByName(pieces.where(~whole).withColumnRenamed("gram", "key")), "targets")
-    own = F.array(F.lpad(F.hex(name_id(F.col("_name_lc"))), 16, "0"))
-    keys = F.concat(own, grams(F.col("_name_lc"), sizes)) if sizes else own
-    return sized_join(keyed.select("*", F.explode(keys).alias("key")), targets, "key", "path")
+    return proposed.select(F.lpad(F.hex("name_id"), 16, "0").alias("key"), "pattern", "asked").distinct()
 
 
 def search_listing(hits: DataFrame) -> DataFrame:

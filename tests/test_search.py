@@ -1,5 +1,6 @@
 """Search against SQLite, whose LIKE is the one to match."""
 
+import itertools
 import re
 import sqlite3
 
@@ -137,6 +138,22 @@ def test_search_batch_by_postings_scans_names_once(spark, stored):
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("by_postings", [False, True])
+def test_search_batch_tests_few_names_a_query(spark, tmp_path, monkeypatch, by_postings):
+    """Each piece of three characters is in many names, so queries times such names would grow with the square of the input."""
+    numbers = ["".join(digits) for digits in itertools.product("012", repeat=6)]
+    names = spark.createDataFrame([("java", f"Doc{n}", f"/{n}") for n in numbers], "language string, name string, path string")
+    queries = spark.createDataFrame([(n, f"%doc{n}%", "Java") for n in numbers], "qid string, pattern string, language string")
+    table, met = str(tmp_path / "catalogue"), []
+    store.upsert_catalogue(names, table)
+    store.build_postings(spark, table)
+    for name in ("_met_by_pieces", "_met_by_postings"):
+        monkeypatch.setattr(find, name, lambda *args, f=getattr(find, name): met.append(f(*args)) or met[-1])
+    found = find.search_batch(store.open_catalogue(spark, table), queries, open_postings(spark, table) if by_postings else None)
+    assert sorted((r["qid"], r["path"]) for r in found.collect()) == [(n, f"/{n}") for n in numbers]
+    assert met[0].count() <= 4 * len(numbers)
+
+
 def test_search_batch_without_queries(spark, catalogue):
     none = spark.createDataFrame([], "qid int, pattern string, language string")
     assert find.search_batch(catalogue, none).count() == 0
