@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import fits_broadcast
+from ..operators.joins import fits_broadcast, key_filter, marked
 from ..sources.scratch import staged
 from .words import SPACE
 
@@ -98,7 +98,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
 
     Only ids travel to the rows: those of dropped texts, stored once so that Spark knows their size. Texts are hashed
-    again only where an id is among them.
+    again only where an id is among them. Where these are too many to broadcast, a filter of fixed size tells the rows that may
+    have one, and only those are shuffled.
 
     Defined results: null texts are equal to empty ones; of rows that repeat an id and a text one stays; a null id gives way to any other, and of
     null ids alone one row stays; columns of any name are handed on; an empty table gives no rows.
@@ -110,11 +111,22 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     odd = staged(verdict.where("not _kept or _rows > 1"), "dropped")
     digest = F.sha2(normalised(F.col("_text")).cast("binary"), 256)
     rows = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    # The digest depends on both sides, so it is no key of the join: it is computed where ids meet.
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.when(F.col("text_sha256").isNotNull(), digest) == F.col("text_sha256"))
-    single = rows.join(odd, same, "left_anti")
+    same = F.col("_id").eqNullSafe(F.col("doc_id"))
+    if fits_broadcast(odd):
+        # The digest depends on both sides, so it is no key of the join: it is computed where ids meet.
+        near, far = rows, None
+        same &= F.when(F.col("text_sha256").isNotNull(), digest) == F.col("text_sha256")
+    else:
+        # Most rows have none of these ids, and stay where they lie; the others' digests are keys.
+        rows = marked(rows, "_id", key_filter(odd, "doc_id"))
+        near, far = rows.where("_likely").select("_doc", "_id", digest.alias("_digest")), rows.where("not _likely")
+        same &= F.col("_digest") == F.col("text_sha256")
+    single = near.join(odd, same, "left_anti").select("_doc")
     repeated = odd.where("_kept")
     if not repeated.isEmpty():
-        again = rows.join(repeated, same, "left_semi").withColumn("_digest", digest).dropDuplicates(["_id", "_digest"])
-        single = single.unionByName(again.drop("_digest"))
+        again = near.join(repeated, same, "left_semi")
+        again = again if far is not None else again.withColumn("_digest", digest)
+        single = single.unionByName(again.dropDuplicates(["_id", "_digest"]).select("_doc"))
+    if far is not None:
+        single = single.unionByName(far.select("_doc"))
     return single.select("_doc.*")

@@ -78,6 +78,25 @@ def test_exact_duplicates(spark, corpus):
     assert sorted(repr(r["doc_id"]) for r in left.collect()) == sorted(repr(e[0]) for e in expected if e[3])
 
 
+def test_few_texts_move_to_many_ids(spark, corpus, monkeypatch):
+    """Dropped ids too many to broadcast: only rows that a filter marks are shuffled, and the outcome is the same."""
+    def kept():
+        return sorted(repr(tuple(r)) for r in exact_dedup.drop_exact_duplicates(docs).collect())
+
+    rows = [(i, f"alone {i}") for i in range(300)] + [(1000 + i, f"twice {i % 20}") for i in range(40)]
+    rows += [(None, "twice 1"), (None, "null ids"), (None, "null ids"), (7, "alone 7"), (7, None), (8, "")]
+    for docs in (frame(spark, rows), frame(spark, corpus)):
+        monkeypatch.setattr(exact_dedup, "fits_broadcast", lambda df: True)
+        expected, seen = kept(), []
+        monkeypatch.setattr(exact_dedup, "fits_broadcast", lambda df: False)
+        with monkeypatch.context() as patch:
+            patch.setattr(exact_dedup, "marked", lambda *args, f=exact_dedup.marked: seen.append(f(*args)) or seen[-1])
+            assert kept() == expected
+        assert len(seen) == 1
+        if docs.count() == len(rows):
+            assert 20 <= seen[0].where("_likely").count() <= 60
+
+
 def test_exact_duplicates_of_nothing(spark):
     assert rows_of(exact_dedup.exact_duplicates(frame(spark, []))) == []
     assert rows_of(exact_dedup.drop_exact_duplicates(frame(spark, []))) == []
