@@ -13,6 +13,8 @@ lets many pairs through by chance. So candidates must meet under every one of
   groups (:mod:`.sharing`); most tokens end there.
 * *Positions.* What precedes the first token that two prefixes share is in one set only. So that token
   stands early in both, or the sets are too different; meetings at later positions are not paired.
+* *Sketches.* Counts of a set's tokens by their hash bound what two sets share. Pairs that they refute are
+  dropped before texts move.
 * *Hot groups.* Thousands of near copies share their prefixes. So the first round verifies each
   class only with the leader of each token group, the class with the fewest tokens of its own: in a
   family of copies that is the original. The links form components. The second round verifies what is
@@ -26,9 +28,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import key_filter, marked
 from ..sources.scratch import staged
 from . import sharing
 from .components import components
@@ -284,6 +288,63 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return staged(known.join(wanted, "_id").select("class", "_text"), "texts")
 
 
+#: Buckets of a sketch, which counts the tokens of a set by their hash.
+SKETCH_BUCKETS = 256
+
+
+def sketches_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``class, counts`` for ``wanted(class, _id)``: how many tokens of the set lie in each bucket, in 16 bits. Texts do not move."""
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for some in slices(part, "_text"):
+                text, token, size = token_sets(words_of(some.column("_text")), width)
+                place = text * SKETCH_BUCKETS + (mix(token) % np.uint64(SKETCH_BUCKETS)).astype(np.int64)
+                counts = np.bincount(place, minlength=len(size) * SKETCH_BUCKETS).reshape(-1, SKETCH_BUCKETS)
+                # A bucket that is full says nothing.
+                counts = np.minimum(counts, FULL).astype(np.uint16)
+                values = pa.array([c.tobytes() for c in counts], pa.binary())
+                classes = pa.array(set_classes(text, token, size))
+                yield pa.RecordBatch.from_arrays([classes, values], ["class", "counts"])
+
+    chosen = marked(rows.where("_id is not null"), "_id", key_filter(wanted, "_id")).where("_likely").select("_id", "_text")
+    found = chosen.mapInArrow(read, "class long, counts binary").join(wanted.select("class"), "class", "left_semi")
+    return staged(found.groupBy("class").agg(F.first("counts").alias("counts")), "sketches")
+
+
+#: The count of a full bucket.
+FULL = (1 << 16) - 1
+
+
+def not_refuted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b)`` that can be similar by their sketches: no bucket shares more tokens than the lesser of its counts.
+
+    This is exact: it drops no similar pair. A class without a sketch refutes nothing.
+    """
+
+    def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, 4096):
+                some = part.slice(at, 4096)
+                known = some.filter(pc.and_(some.column("_one").is_valid(), some.column("_two").is_valid()))
+                one, two = (
+                    np.frombuffer(b"".join(known.column(c).to_pylist()), np.uint16).reshape(-1, SKETCH_BUCKETS).astype(np.int64)
+                    for c in ("_one", "_two")
+                )
+                most, full = np.minimum(one, two).sum(axis=1), ((one == FULL) | (two == FULL)).any(axis=1)
+                good = full | (100 * most >= percent * (one.sum(axis=1) + two.sum(axis=1) - most))
+                out = known.filter(pa.array(good))
+                open_ = some.filter(pc.or_(some.column("_one").is_null(), some.column("_two").is_null()))
+                for batch in (out, open_):
+                    if batch.num_rows:
+                        yield batch.select(["a", "b"])
+
+    one = sketches.select(F.col("class").alias("a"), F.col("counts").alias("_one"))
+    two = sketches.select(F.col("class").alias("b"), F.col("counts").alias("_two"))
+    rows = pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", "_one", "_two")
+    return staged(rows.mapInArrow(check, "a long, b long"), "pairs")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The stored ``pairs(a, b)`` whose full sets are similar, as edges ``u, v``. ``texts`` are ``class, _text``.
 
@@ -345,20 +406,29 @@ def near_duplicates(
             found = found.join(pairs(other), ["a", "b"], "left_semi")
         return found
 
-    tried = staged(candidates(lambda m: leader_pairs(m, percent)), "pairs")
-    # Verified links join no more than all tried pairs would. So a pair of the second round either lies between
+    ids = known.groupBy("class").agg(F.min("doc_id").alias("_id"))
+
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        return ids.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs left by sketches, which are much smaller than texts."""
+        return not_refuted(pairs, sketches_of(rows, staged(of_pairs(pairs), "wanted"), width), percent)
+
+    led = staged(candidates(lambda m: leader_pairs(m, percent)), "led")
+    tried = possible(led)
+    # Verified links join no more than all tried pairs would, and refuted ones are no links. So a pair of the second round either lies between
     # components of tried pairs, and is found already here, or within one that verified links leave in pieces.
     loose = components(tried.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    apart = staged(candidates(lambda m: open_pairs(m, loose, percent)), "apart")
-    needed = tried.unionByName(apart).select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    first = known.groupBy("class").agg(F.min("doc_id").alias("_id")).join(needed, "class", "left_semi")
-    texts = texts_of(rows, staged(first, "first"))
+    apart = candidates(lambda m: open_pairs(m, loose, percent)).join(led, ["a", "b"], "left_anti")
+    apart = possible(staged(apart, "apart"))
+    texts = texts_of(rows, staged(of_pairs(tried.unionByName(apart)), "first"))
 
     edges = staged(verified(tried, texts, width, percent), "links")
     found = components(edges)
     split = split_classes(loose, found)
     within = candidates(lambda m: open_pairs(m.join(split, "class", "left_semi"), found, percent))
-    rest = staged(apart.unionByName(within).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = staged(apart.unionByName(within).distinct().join(led, ["a", "b"], "left_anti"), "rest")
     more = staged(verified(rest, texts, width, percent), "links")
     found = components(found.toDF("u", "v").unionByName(more))
 

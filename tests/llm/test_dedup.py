@@ -234,3 +234,24 @@ def test_components(spark):
     found = components.components(spark.createDataFrame(edges, "u long, v long"))
     assert {r["node"]: r["component"] for r in found.collect()} == expected
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sketches_drop_no_similar_pair(spark):
+    rng = random.Random(5)
+    base = [str(rng.random()) for _ in range(300)]
+    rows = [(i, " ".join(str(rng.random()) if rng.random() < i / 200 else w for w in base)) for i in range(40)]
+    rows += [(40, "x " * 70_000 + " ".join(base)), (41, " ".join(base + base[:9]))]
+    import pyarrow as pa
+
+    text, token, size = ngram_join.token_sets(words_of(pa.array([t for _, t in rows])), 3)
+    sets = [set(token[text == i].tolist()) for i in range(len(rows))]
+    classes = ngram_join.set_classes(text, token, size).tolist()
+    docs = frame(spark, rows).selectExpr("doc_id _id", "text _text")
+    wanted = spark.createDataFrame([(classes[i], i) for i in range(42) if i != 39], "class long, _id long")
+    pairs = [(i, j) for i in range(42) for j in range(i)]
+    given = spark.createDataFrame([(classes[i], classes[j]) for i, j in pairs], "a long, b long")
+    left = ngram_join.not_refuted(given, ngram_join.sketches_of(docs, wanted, 3), 80)
+    left = {(r["a"], r["b"]) for r in left.collect()}
+    similar = {(classes[i], classes[j]) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    unknown = {(classes[i], classes[j]) for i, j in pairs if 39 in (i, j)}
+    assert similar and similar | unknown <= left and len(left) < len(pairs) / 2
