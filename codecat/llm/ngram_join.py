@@ -36,7 +36,7 @@ from ..operators.joins import key_filter, marked
 from ..sources.scratch import staged
 from . import sharing
 from .components import components
-from .words import Words, give_back, inside_text, keys, mix, slices, windows, words_of
+from .words import Words, giving_back, inside_text, keys, mix, slices, windows, words_of
 
 #: Global orders under which candidates must meet.
 ORDERS = 2
@@ -98,7 +98,6 @@ def frequency_ranks(rows: DataFrame, width: int) -> np.ndarray:
                 for order in range(ORDERS):
                     total[order] += np.bincount(buckets(token, order), minlength=size).astype(np.uint32)
         yield chunk_rows({i: narrow(chunk) for i, chunk in enumerate(total.reshape(ORDERS * _CHUNKS, -1))})
-        give_back()
 
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -110,7 +109,7 @@ def frequency_ranks(rows: DataFrame, width: int) -> np.ndarray:
         yield chunk_rows({c: (_STEPS * np.log2(v + 1.0)).astype(np.uint16) for c, v in total.items()})
 
     schema = "chunk int, counts binary"
-    summed = rows.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema)
+    summed = rows.mapInArrow(giving_back(count), schema).repartition("chunk").mapInArrow(add, schema)
     table = np.zeros((ORDERS * _CHUNKS, 1 << CHUNK_BITS), np.uint16)
     for row in summed.collect():
         table[row["chunk"]] = np.frombuffer(row["counts"], np.uint16)
@@ -137,6 +136,8 @@ def prefix_length(n, percent: int):
 ORDER_BITS, SET = 2, 2
 #: The low bits of a place hold a token's position in the prefix, from 1; the size of the set is above.
 POSITION_BITS = 24
+#: Prefix tokens combined at once before the shuffle, and those of one more slice; bounds a task's memory whatever the size of batches.
+BLOCK_TOKENS = 200_000
 
 
 def set_keys(width: int, percent: int, ranks: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -147,30 +148,45 @@ def set_keys(width: int, percent: int, ranks: np.ndarray) -> Callable[[Iterator[
     own_key the size.
     """
 
+    def prefixes(some: pa.RecordBatch) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+        text, token, size = token_sets(words_of(some.column("_text")), width)
+        classes, ids = set_classes(text, token, size), some.column("_id").to_numpy()
+        length = np.where(size > 0, prefix_length(size, percent), 0)
+        first = np.concatenate([[0], np.cumsum(size)])
+        keyed, owned, placed = [], [], []
+        for nth in range(ORDERS):
+            rank = ranks[nth][buckets(token, nth)].astype(np.uint64)
+            place = (rank << np.uint64(48)) | (mix(token ^ np.uint64(nth + 1)) >> np.uint64(16))
+            order = np.argsort(place)
+            order = order[np.argsort(text[order], kind="stable")]
+            before = np.arange(len(order)) - first[text]
+            chosen = before < length[text]
+            keyed.append((token[order[chosen]] << np.uint64(ORDER_BITS)) | np.uint64(nth))
+            owned.append(np.repeat(classes, length))
+            placed.append(np.repeat(size.astype(np.int64) << POSITION_BITS, length) | (before[chosen] + 1))
+        known = np.full(len(ids), sharing.PASSED, np.int8)
+        own_key = (size.astype(np.int64) << ORDER_BITS) | SET
+        sets = (mix(ids.view(np.uint64)).view(np.int64), classes, ids, known, own_key)
+        return sets, (np.concatenate(keyed), np.concatenate(owned), np.concatenate(placed))
+
+    def combined(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
+        return sharing.combined_shared(*columns, with_key=True)
+
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Prefix tokens not yet combined; a batch of texts can have many times BLOCK_TOKENS.
+        held: list[tuple[np.ndarray, ...]] = []
         for part in parts:
-            keyed, owned, placed = [], [], []
             for some in slices(part, "_text"):
-                text, token, size = token_sets(words_of(some.column("_text")), width)
-                classes, ids = set_classes(text, token, size), some.column("_id").to_numpy()
-                length = np.where(size > 0, prefix_length(size, percent), 0)
-                first = np.concatenate([[0], np.cumsum(size)])
-                for nth in range(ORDERS):
-                    rank = ranks[nth][buckets(token, nth)].astype(np.uint64)
-                    place = (rank << np.uint64(48)) | (mix(token ^ np.uint64(nth + 1)) >> np.uint64(16))
-                    order = np.argsort(place)
-                    order = order[np.argsort(text[order], kind="stable")]
-                    before = np.arange(len(order)) - first[text]
-                    chosen = before < length[text]
-                    keyed.append((token[order[chosen]] << np.uint64(ORDER_BITS)) | np.uint64(nth))
-                    owned.append(np.repeat(classes, length))
-                    placed.append(np.repeat(size.astype(np.int64) << POSITION_BITS, length) | (before[chosen] + 1))
-                known = np.full(len(ids), sharing.PASSED, np.int8)
-                own_key = (size.astype(np.int64) << ORDER_BITS) | SET
-                yield from sharing.batches(mix(ids.view(np.uint64)).view(np.int64), classes, ids, known, own_key)
-            if keyed:
-                columns = (np.concatenate(c) for c in (keyed, owned, placed))
-                yield from sharing.combined_shared(*columns, with_key=True)
+                sets, found = prefixes(some)
+                yield from sharing.batches(*sets)
+                held.append(found)
+                if sum(len(f[0]) for f in held) >= BLOCK_TOKENS:
+                    del sets, found
+                    yield from combined(held)
+        if held:
+            yield from combined(held)
 
     return read
 
@@ -264,7 +280,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     table = np.zeros((n, 1 << (FILTER_CHUNK - 3)), np.uint8)
-    for row in ids.mapInArrow(mark, schema).repartition("chunk").mapInArrow(unite, schema).collect():
+    for row in ids.mapInArrow(giving_back(mark), schema).repartition("chunk").mapInArrow(unite, schema).collect():
         table[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
     return np.unpackbits(table.reshape(-1)).astype(bool)
 
@@ -284,7 +300,7 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             if chosen.num_rows:
                 yield chosen
 
-    known = rows.where("_id is not null").mapInArrow(read, "_id long, _text string")
+    known = rows.where("_id is not null").mapInArrow(giving_back(read), "_id long, _text string")
     return staged(known.join(wanted, "_id").select("class", "_text"), "texts")
 
 
@@ -308,7 +324,7 @@ def sketches_of(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([classes, values], ["class", "counts"])
 
     chosen = marked(rows.where("_id is not null"), "_id", key_filter(wanted, "_id")).where("_likely").select("_id", "_text")
-    found = chosen.mapInArrow(read, "class long, counts binary").join(wanted.select("class"), "class", "left_semi")
+    found = chosen.mapInArrow(giving_back(read), "class long, counts binary").join(wanted.select("class"), "class", "left_semi")
     return staged(found.groupBy("class").agg(F.first("counts").alias("counts")), "sketches")
 
 
@@ -342,7 +358,7 @@ def not_refuted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     one = sketches.select(F.col("class").alias("a"), F.col("counts").alias("_one"))
     two = sketches.select(F.col("class").alias("b"), F.col("counts").alias("_two"))
     rows = pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", "_one", "_two")
-    return staged(rows.mapInArrow(check, "a long, b long"), "pairs")
+    return staged(rows.mapInArrow(giving_back(check), "a long, b long"), "pairs")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -374,7 +390,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["u", "v"])
 
     rows = pairs.join(two, "b").join(one, "a").select("a", "b", "_one", "_text")
-    return rows.mapInArrow(check, "u long, v long")
+    return rows.mapInArrow(giving_back(check), "u long, v long")
 
 
 def near_duplicates(

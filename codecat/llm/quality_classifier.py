@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import staged
-from .words import give_back, slices, words_of
+from .words import give_back, giving_back, slices, words_of
 
 #: The most documents of each label that the model is fitted to, and the most lines and bytes of each.
 SAMPLE, SAMPLE_LINES, SAMPLE_BYTES = 2000, 1000, 100_000
@@ -289,7 +289,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(read, f"doc_id {kind}, score double")
+    scored = rows.mapInArrow(giving_back(read), f"doc_id {kind}, score double")
     return scored.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
 
 
@@ -305,4 +305,4 @@ def keep_good(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFram
             for rows in slices(part, text_col):
                 yield rows.filter(pa.array(chain.score(line_features(rows.column(text_col))) >= GOOD))
 
-    return docs.mapInArrow(read, docs.schema)
+    return docs.mapInArrow(giving_back(read), docs.schema)

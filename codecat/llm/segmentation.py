@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Numbers, give_back, keys, mix, slices
+from .words import Numbers, give_back, giving_back, keys, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct segmentations per text.
@@ -539,7 +539,7 @@ def encode(
                 texts = pc.fill_null(some.column("_text"), "").to_pylist()
                 yield encoded_rows(sampler, some.column("doc_id"), texts, some.column("_key").to_numpy().view(np.uint64))
 
-    return rows.mapInArrow(read, f"doc_id {kind}, {SCHEMA}")
+    return rows.mapInArrow(giving_back(read), f"doc_id {kind}, {SCHEMA}")
 
 
 def same_bytes(vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray, texts: list[str]) -> np.ndarray:

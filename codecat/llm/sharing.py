@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import give_back, mix
+from .words import giving_back, mix
 
 #: Values of ``known``: undecided; its key is shared; decided, only to be handed on.
 OPEN, SHARED, PASSED = 0, 1, 2
@@ -117,8 +117,6 @@ def pack(batches_: Iterator[pa.RecordBatch], targets: int) -> Iterator[pa.Record
         filled = [t for t in range(targets) if cuts[t] < cuts[t + 1]]
         values = [_packed([c[order[cuts[t] : cuts[t + 1]]] for c in columns]) for t in filled]
         yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array(values, pa.binary())], ["target", "data"])
-    # The next stage runs two Python workers per task.
-    give_back()
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -146,7 +144,6 @@ def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += n * kind.itemsize
             columns[1] = owners[columns[1]]
             yield from batches(*columns)
-    give_back()
 
 
 def shared_packed(rows: DataFrame, occurrences: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -155,8 +152,9 @@ def shared_packed(rows: DataFrame, occurrences: Callable[[Iterator[pa.RecordBatc
     A task of the next stage unpacks and sorts its part, on disk where it is large.
     """
     targets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = rows.mapInArrow(lambda parts: pack(occurrences(parts), targets), PACKED)
-    dealt = packed.repartitionById(targets, F.col("target")).select("data").mapInArrow(unpack, KEYED_SCHEMA)
+    # The next stage runs two Python workers per task.
+    packed = rows.mapInArrow(giving_back(lambda parts: pack(occurrences(parts), targets)), PACKED)
+    dealt = packed.repartitionById(targets, F.col("target")).select("data").mapInArrow(giving_back(unpack), KEYED_SCHEMA)
     return shared(dealt, with_key=True, dealt=dealt.sortWithinPartitions("key", "owner"))
 
 
@@ -203,7 +201,7 @@ def shared(occurrences: DataFrame, with_key: bool = False, dealt: DataFrame | No
             if len(columns[0]):
                 yield from _places(columns if with_key else columns[1:], schema)
 
-    return (_dealt(occurrences) if dealt is None else dealt).mapInArrow(stream, schema)
+    return (_dealt(occurrences) if dealt is None else dealt).mapInArrow(giving_back(stream), schema)
 
 
 def later(occurrences: DataFrame) -> DataFrame:

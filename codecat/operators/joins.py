@@ -23,8 +23,12 @@ _UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30
 
 def broadcast_limit(spark: SparkSession) -> int:
     """Spark's broadcast threshold in bytes; negative when broadcasting is off."""
-    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
-    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", value).groups()
+    return bytes_of(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+
+
+def bytes_of(value: str) -> int:
+    """A size as Spark's settings write it, such as 10m."""
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", value.strip().lower()).groups()
     return int(number) << _UNITS[unit]
 
 

@@ -7,6 +7,9 @@ Defined results of all stages: an empty table gives no rows; null ids, null lang
 name pass through, where the stage's operator does not say otherwise. Texts without words go in the first stage,
 since they score 0. Of equal texts and of similar ones the row with the smallest id stays; rows with a null id are
 equal to others, but similar to none.
+
+Stages that hand texts to Python bound the size of Arrow batches in the session (``spark.sql.execution.arrow.maxBytesPerBatch``): 64 MB
+per batch, Spark's default, stand in the executor and again in its Python workers, once per task.
 """
 
 from __future__ import annotations
@@ -16,11 +19,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codecat.llm import exact_dedup, mixing, ngram_join, quality_classifier, segmentation
+from codecat.operators.joins import bytes_of
 from codecat.sources.scratch import staged
 
 
+#: Bytes of an Arrow batch between an executor and its Python workers.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit to BATCH_BYTES where it is above. It stays so, as a stage's last step runs when its result is written."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bytes_of(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the classifier rejects. It is fitted to labelled rows of this stage's input."""
+    bound_batches(spark)
     chain = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.keep_good(docs, chain)
 
@@ -32,6 +48,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one of each group of similar texts: five-word shingles, a similarity of 0.8 or more."""
+    bound_batches(spark)
     return ngram_join.drop_near_duplicates(docs, width=5, percent=80)
 
 
@@ -42,6 +59,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document; a document that the mix takes twice has the same ones twice."""
+    bound_batches(spark)
     return segmentation.encode(docs)
 
 

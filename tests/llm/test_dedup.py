@@ -1,15 +1,19 @@
 """Exact, substring and near duplicates against brute force."""
 
+import functools
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 
 import numpy as np
 import pytest
 from corpora import ODD, frame, prose
 
 from codecat.llm import components, exact_dedup, ngram_join, sharing, substring_dedup
-from codecat.llm.words import inside_text, windows, words_of
+from codecat.llm import words as words_module
+from codecat.llm.words import inside_text, slices, windows, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -255,3 +259,69 @@ def test_sketches_drop_no_similar_pair(spark):
     similar = {(classes[i], classes[j]) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
     unknown = {(classes[i], classes[j]) for i, j in pairs if 39 in (i, j)}
     assert similar and similar | unknown <= left and len(left) < len(pairs) / 2
+
+
+def keyed(texts, rows=1):
+    """What :func:`ngram_join.set_keys` makes of ``texts``, in batches as Spark hands them on."""
+    import pyarrow as pa
+
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], ["_id", "_text"])
+    parts = (batch.slice(a, -(-len(texts) // rows)) for a in range(0, len(texts), -(-len(texts) // rows)))
+    ranks = np.zeros((ngram_join.ORDERS, 1 << ngram_join.SKETCH_BITS), np.uint16)
+    return ngram_join.set_keys(5, 80, ranks)(parts)
+
+
+def test_memory_of_prefix_tokens_is_bounded_whatever_the_size_of_batches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 40_000, raising=False)
+    monkeypatch.setattr(ngram_join, "slices", functools.partial(slices, most=200_000))
+    rng = random.Random(3)
+    few = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(500)) for _ in range(400)]
+
+    def peak(texts):
+        tracemalloc.start()
+        try:
+            for _ in keyed(texts):
+                pass
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    many = [" ".join(reversed(t.split())) + f" {i}" for i in range(4) for t in few]
+    peak(few[:2])  # imports
+    assert peak(many) < 1.5 * peak(few)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_prefix_tokens_of_small_blocks(monkeypatch, parts):
+    texts = [row[1] for row in ODD] + prose(2, 150)
+
+    def found():
+        rows = {}
+        for batch in keyed(texts, parts):
+            for key, owner, place, known, own_key in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.setdefault((own_key if known == sharing.PASSED else key, owner, place), set()).add(known)
+        return rows
+
+    whole = found()
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(ngram_join, "slices", functools.partial(slices, most=500))
+    small = found()
+    assert small.keys() == whole.keys()
+    assert small != whole
+
+
+def test_memory_is_given_back_when_nothing_is_held(monkeypatch):
+    class Held:
+        pass
+
+    held, seen = [], []
+
+    def read(parts):
+        mine = Held()
+        held.append(weakref.ref(mine))
+        yield from parts
+
+    monkeypatch.setattr(words_module, "give_back", lambda: seen.append(held[0]() is None))
+    assert list(words_module.giving_back(read)(iter([1, 2]))) == [1, 2]
+    assert seen == [True]

@@ -278,3 +278,23 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
                 assert bool(found) == bool(n) and all(r["round_trip"] for r in found)
             else:
                 assert out.columns == docs.columns and bool(found) == bool(n), name
+
+
+@pytest.mark.parametrize("before, after", [("64m", 4 << 20), ("67108864", 4 << 20), ("1m", 1 << 20)])
+def test_stages_bound_batches_of_texts(spark, before, after):
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, before)
+    try:
+        docs = frame(spark, [(i, "word " * 2000) for i in range(1500)]).coalesce(1)
+        corpus_pipeline.tokens(spark, docs, "")
+
+        def read(parts):
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([part.nbytes])], ["n"])
+
+        sizes = [r.n for r in docs.select("text").mapInArrow(read, "n long").collect()]
+    finally:
+        spark.conf.unset(key)
+    assert len(sizes) > 1 and max(sizes) <= 1.1 * after + 20_000
