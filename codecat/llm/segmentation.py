@@ -144,8 +144,15 @@ class Growing:
     """
 
     def __init__(self, kind: type, *first: int) -> None:
-        self.room, self.n = np.empty(4 * KEPT_NODES, kind), len(first)
-        self.room[: self.n] = first
+        self.room, self.first = np.empty(4 * KEPT_NODES, kind), first
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew in the same memory, unless a long text has made it larger."""
+        if len(self.room) > 4 * KEPT_NODES:
+            self.room = np.empty(4 * KEPT_NODES, self.room.dtype)
+        self.n = len(self.first)
+        self.room[: self.n] = self.first
         self.used = self.room[: self.n]
 
     def extend(self, values: np.ndarray) -> np.ndarray:
@@ -171,9 +178,15 @@ class Lattices:
     n_nodes: int = 0
 
     def __post_init__(self) -> None:
-        self.root = Numbers(UNIT_BITS)
         self.arrays = {"edge_at": Growing(np.int64, 0), "limit": Growing(np.float32), "chance": Growing(np.float64),
                        "head": Growing(np.int32), "token": Growing(np.int32)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all units. The arrays stay: new ones would be cut from freed memory here and there, and the process would grow with each."""
+        self.root, self.n_nodes = Numbers(UNIT_BITS), 0
+        for array in self.arrays.values():
+            array.forget()
         self.extend()
 
     def extend(self, **more: np.ndarray) -> None:
@@ -379,7 +392,7 @@ class Sampler:
     def sample(self, texts: list[str], keys: np.ndarray) -> list[tuple[list[Path], float]]:
         """Per text its paths by falling bound, and the bound of the best path not taken (minus infinity if none)."""
         if self.lattices.n_nodes > KEPT_NODES:
-            self.lattices = Lattices(self.vocabulary)
+            self.lattices.forget()
         lattices = self.lattices
         data, starts, first = units_of(texts)
         roots = lattices.roots(data, starts)

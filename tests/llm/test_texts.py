@@ -139,6 +139,24 @@ def test_few_segmentations_are_all_there():
     assert {tuple(sampler.lattices.token_ids(p.edges)[0].tolist()) for p in paths} == set(exact) and rest == -math.inf
 
 
+def test_lattices_start_anew_in_the_same_memory(monkeypatch):
+    monkeypatch.setattr(segmentation, "KEPT_NODES", 500)
+    sampler = segmentation.Sampler(segmentation.MODEL, 2, seed=1)
+    rooms = {name: array.room for name, array in sampler.lattices.arrays.items()}
+    texts, started, nodes = prose(5, 60, vocabulary=4000), 0, 0
+    for i, text in enumerate(texts):
+        found = segmentation.encoded_rows(sampler, pa.array([i]), [text], np.array([i], np.uint64))
+        alone = segmentation.Sampler(segmentation.MODEL, 2, seed=1)
+        assert found.equals(segmentation.encoded_rows(alone, pa.array([i]), [text], np.array([i], np.uint64)))
+        started, nodes = started + (sampler.lattices.n_nodes < nodes), sampler.lattices.n_nodes
+    assert started > 3 and all(sampler.lattices.arrays[name].room is room for name, room in rooms.items())
+    long = " ".join(str(i * 7919) for i in range(4000))
+    segmentation.encoded_rows(sampler, pa.array([0]), [long], np.array([0], np.uint64))
+    assert len(sampler.lattices.arrays["chance"].room) > 2000
+    segmentation.encoded_rows(sampler, pa.array([0]), ["a"], np.array([0], np.uint64))
+    assert all(len(array.room) == 2000 for array in sampler.lattices.arrays.values())
+
+
 def test_rows_do_not_depend_on_their_batch():
     sampler = segmentation.Sampler(segmentation.MODEL, 2, seed=1)
     texts = prose(6, 20)
