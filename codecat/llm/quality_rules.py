@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import staged
+from ..sources.scratch import staged, staged_small
 from .words import SPACE
 
 #: The basic limits: least words, and most per cent of words in repeated three-word windows.
@@ -178,27 +178,27 @@ def group_names(judged: DataFrame) -> DataFrame:
     )
     named = pairs.select("lang", "source", "_n", name.alias("group"))
     sizes = named.groupBy("group").agg(F.sum("_n").alias("_all")).where(F.col("_all") >= LEAST_GROUP).select("group")
-    return staged(named.join(sizes, "group").select("lang", "source", "group"), "groups")
+    return staged_small(named.join(sizes, "group").select("lang", "source", "group"), "groups")
 
 
 def mcd(rows: DataFrame) -> DataFrame:
     """Estimates per ``group`` of ``rows(group, x0, x1, …)``: mean ``m*``, Cholesky factor ``l*_*``, ``scale``."""
     points = staged(rows, "points")
     start = centre_and_spread(points).unionByName(factor(moments(points.withColumn("start", F.lit("moments")))))
-    at = staged(start, "mcd")
+    at = staged_small(start, "mcd")
     for _ in range(MOST_STEPS):
         rated = distance(points.join(at, "group"))
         binned = rated.select("group", "start", *x_names(), distance_bin(F.col("d2")).alias("bin"))
-        limit = staged(quantile_bin(binned, CORE), "limit")
+        limit = staged_small(quantile_bin(binned, CORE), "limit")
         core = binned.join(limit, ["group", "start"]).where("bin <= limit")
-        before, at = at, staged(factor(moments(core)), "mcd")
+        before, at = at, staged_small(factor(moments(core)), "mcd")
         fell = before.select("group", "start", F.col("logdet").alias("_before")).join(at, ["group", "start"])
         if fell.where(F.col("_before") - F.col("logdet") > TOLERANCE).isEmpty():
             break
     best = at.groupBy("group").agg(F.min_by(F.struct(*(c for c in at.columns if c != "group")), F.struct("logdet", "start")).alias("b")).select("group", "b.*")
     rated = distance(points.join(best, "group")).select("group", "start", distance_bin(F.col("d2")).alias("bin"))
     middle = quantile_bin(rated, 0.5).select("group", (F.exp(F.col("limit") / BINS) / CHI_MEDIAN).alias("scale"))
-    return staged(best.join(middle, "group").drop("start", "logdet"), "mcd")
+    return staged_small(best.join(middle, "group").drop("start", "logdet"), "mcd")
 
 
 def x_names() -> list[str]:
@@ -225,7 +225,7 @@ def centre_and_spread(points: DataFrame) -> DataFrame:
     """The first start: median and MAD per coordinate, from histograms of 1/100 units, as a diagonal factor."""
     long = points.select("group", F.posexplode(F.array(*x_names())).alias("start", "x"))
     binned = long.select("group", "start", "x", F.round(F.col("x") * 100).cast("long").alias("bin"))
-    median = staged(quantile_bin(binned, 0.5).withColumnRenamed("limit", "median"), "median")
+    median = staged_small(quantile_bin(binned, 0.5).withColumnRenamed("limit", "median"), "median")
     away = binned.join(median, ["group", "start"]).select("group", "start", F.abs(F.col("bin") - F.col("median")).alias("bin"))
     mad = quantile_bin(away, 0.5).withColumnRenamed("limit", "mad")
     both = median.join(mad, ["group", "start"]).groupBy("group").pivot("start", list(range(len(STATISTICS)))).agg(

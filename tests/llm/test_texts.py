@@ -5,6 +5,7 @@ import math
 import os
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -208,6 +209,18 @@ def test_outliers_are_rejected(spark):
     assert found[2000]["distance"] is None and found[2000]["kept"]  # no group is large enough
 
 
+def test_tables_of_groups_are_single_files(spark):
+    root, key = Path(spark.conf.get("spark.checkpoint.dir")), "spark.sql.adaptive.coalescePartitions.enabled"
+    there = set(root.iterdir())
+    spark.conf.set(key, "false")
+    try:
+        quality_rules.judge(frame(spark, outlier_corpus()))
+    finally:
+        spark.conf.unset(key)
+    small = [p for p in set(root.iterdir()) - there if p.name.split("-")[1] in ("groups", "median", "limit", "mcd")]
+    assert len(small) > 4 and {len(list(p.glob("part-*"))) for p in small} == {1}
+
+
 def test_repeats_alone_are_rejected(spark):
     """In a group without repeats, whose other statistics vary as those of real texts do."""
     rng = np.random.default_rng(11)
