@@ -363,7 +363,7 @@ def write_records(
         names = [f.split()[0] for f in FILES.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    files = staged(dealt.mapInArrow(write, FILES), "record-files")
+    files = dealt.mapInArrow(write, FILES)
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     return staged(files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))), "record-list")
 
@@ -437,8 +437,8 @@ def read_records(files: DataFrame) -> DataFrame:
     """The records of ``files(path, start)`` as ``doc_id, start, ids``; every checksum is verified.
 
     ``start`` counts the ids of all records before; ``ids`` are little-endian unsigned 32-bit numbers
-    (:func:`id_list` makes an array of them). A file is one task's work, and is read in blocks of 4 MB, or of a record if
-    that is longer.
+    (:func:`id_list` makes an array of them). A file is one task's work, or several small ones are where ``files`` has their
+    ``bytes``; it is read in blocks of 4 MB, or of a record if that is longer.
 
     Defined results: no files give no rows, an empty file none; a null path is passed over; a missing file or a
     record that does not fit its checksums or its file fails the task.
@@ -468,7 +468,14 @@ def read_records(files: DataFrame) -> DataFrame:
                         raise Corrupt(f"{path}: ends inside the record at {offset}")
         yield batch.take()
 
-    return listed.repartition(max(1, files.count())).mapInArrow(read, RECORDS)
+    return listed.repartition(reading_tasks(files)).mapInArrow(read, RECORDS)
+
+
+def reading_tasks(files: DataFrame) -> int:
+    """A task per file, but fewer where the files have less than ``BLOCK`` bytes each: a task's own costs, and its file of results, are then the larger part."""
+    size = F.sum("bytes") if "bytes" in files.columns else F.lit(None)
+    n, size = files.agg(F.count(F.lit(1)), size).first()
+    return max(1, n if size is None else min(n, -(-int(size) // BLOCK)))
 
 
 def read_index(files: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ import random
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from corpora import ODD, frame
+from corpora import ODD, frame, prose
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
@@ -135,6 +136,18 @@ def test_no_records(spark):
     assert files.count() == 0 and token_records.read_records(files).count() == 0 and token_records.read_shuffled(files).count() == 0
 
 
+def test_small_files_share_a_task_and_their_list_is_one_file(spark, tmp_path):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    there = set(root.iterdir())
+    files = token_records.write_records(frame(spark, enumerate(prose(3, 40))), str(tmp_path / "records"), file_bytes=500)
+    made = set(root.iterdir()) - there
+    assert files.count() > 8 and [len(list(p.glob("part-*"))) for p in made] == [1]
+    records = token_records.read_records(files)
+    assert records.count() == 40 and token_records.reading_tasks(files) == 1
+    assert token_records.reading_tasks(files.withColumn("bytes", F.lit(token_records.BLOCK))) == files.count()
+    assert token_records.reading_tasks(files.drop("bytes")) == files.count()
+
+
 def test_token_query(spark):
     rows = {r["doc_id"]: r for r in queries.token_files(spark, SF_DIR).collect()}
     tokenizer, start = token_records.Encoder(token_records.MODEL).tokenizer, 0
