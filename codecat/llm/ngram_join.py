@@ -16,8 +16,9 @@ lets many pairs through by chance. So candidates must meet under every one of
 * *Sketches.* Counts of a set's tokens by their hash bound what two sets share. Pairs that they refute are
   dropped before texts move.
 * *Hot groups.* Thousands of near copies share their prefixes. So the first round verifies each
-  class only with the leader of each token group, the class with the fewest tokens of its own: in a
-  family of copies that is the original. The links form components. The second round verifies what is
+  class only with the leader of each token group, the class whose prefix tokens are shared by the most classes in the mean: in a
+  family of copies that is the original, or a copy with few edits. (A count of tokens of its own would not do: a copy with many edits of
+  which another was made has none, and led its family though it was similar to few of it.) The links form components. The second round verifies what is
   left: pairs that share a token, one of them outside its leader's component. A link within a component
   changes nothing, so the result is that of all pairs.
 """
@@ -191,17 +192,30 @@ def set_keys(width: int, percent: int, ranks: np.ndarray) -> Callable[[Iterator[
     return read
 
 
-def meeting(found: DataFrame, order: int, percent: int) -> DataFrame:
-    """``class, n, own, tokens``: per class the prefix tokens under an order that it shares with another class.
+def of_order(found: DataFrame, order: int) -> DataFrame:
+    return found.where(F.col("key").bitwiseAND((1 << ORDER_BITS) - 1) == order)
 
-    ``tokens`` holds ``key, pos`` and is bounded by the prefix; ``own`` counts the prefix tokens not in it.
+
+def common(found: DataFrame) -> DataFrame:
+    """``class, common``: the logarithms of the number of classes that share a prefix token under the first order, summed per class."""
+    rows = of_order(found, 0).select(F.col("owner").alias("class"), "key").repartition("key").distinct()
+    sharers = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    logs = rows.select("class", F.floor(_STEPS * F.log2(sharers)).alias("common"))
+    return staged(logs.groupBy("class").agg(F.sum("common").alias("common")), "common")
+
+
+def meeting(found: DataFrame, order: int, percent: int, shares: DataFrame) -> DataFrame:
+    """``class, n, far, tokens``: per class the prefix tokens under an order that it shares with another class.
+
+    ``tokens`` holds ``key, pos`` and is bounded by the prefix; ``far`` is the less, the more classes share a token of the prefix
+    in the mean, and the same under all orders. Classes without such tokens under the first order are left out: they are in no candidate.
     """
-    rows = found.where(F.col("key").bitwiseAND((1 << ORDER_BITS) - 1) == order)
     token = F.struct("key", F.col("place").bitwiseAND((1 << POSITION_BITS) - 1).alias("pos"))
-    size = F.shiftright("place", POSITION_BITS).alias("n")
-    tokens = rows.groupBy(F.col("owner").alias("class"), size).agg(F.collect_set(token).alias("tokens"))
+    size = F.max(F.shiftright("place", POSITION_BITS)).alias("n")
+    tokens = of_order(found, order).groupBy(F.col("owner").alias("class")).agg(size, F.collect_set(token).alias("tokens"))
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    return staged(tokens.select("class", "n", (length - F.size("tokens")).alias("own"), "tokens"), "meeting")
+    far = F.floor(-F.col("common") / length).alias("far")
+    return staged(tokens.join(shares, "class").select("class", "n", far, "tokens"), "meeting")
 
 
 def can_be_similar(a: str, b: str, percent: int) -> Column:
@@ -214,10 +228,10 @@ def can_be_similar(a: str, b: str, percent: int) -> Column:
 
 
 def leader_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` with a < b: each class with the leader of each of its token groups, the class with the fewest of its own."""
+    """``a, b`` with a < b: each class with the leader of each of its token groups, the least far one."""
     # One shuffle by token gives each row the leader of its group.
-    rows = met.select("class", "n", "own", F.inline("tokens"))
-    led = F.min(F.struct("own", "class", "n", "pos")).over(Window.partitionBy("key"))
+    rows = met.select("class", "n", "far", F.inline("tokens"))
+    led = F.min(F.struct("far", "class", "n", "pos")).over(Window.partitionBy("key"))
     pairs = rows.select(F.struct("class", "n", "pos").alias("x"), led.alias("y")).where(
         (F.col("x.class") != F.col("y.class")) & can_be_similar("x", "y", percent)
     )
@@ -231,10 +245,10 @@ def open_pairs(met: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     component, and most of a group with few strays, is never paired.
     """
     named = met.join(found.withColumnRenamed("node", "class"), "class", "left").select(
-        "class", "n", "own", F.coalesce("component", "class").alias("c"), F.inline("tokens")
+        "class", "n", "far", F.coalesce("component", "class").alias("c"), F.inline("tokens")
     )
     group = Window.partitionBy("key")
-    led = F.min(F.struct("own", "class", "c")).over(group)
+    led = F.min(F.struct("far", "class", "c")).over(group)
     marked = named.select("*", led["c"].alias("led_by"), F.min("c").over(group).alias("low"), F.max("c").over(group).alias("high"))
     left = staged(marked.where("low <> high").select("class", "n", "key", "pos", "c", "led_by"), "open")
     pairs = left.where("c <> led_by").alias("x").join(
@@ -414,7 +428,8 @@ def near_duplicates(
     known = shared.where(F.col("key").bitwiseAND((1 << ORDER_BITS) - 1) == SET).select(
         F.col("place").alias("doc_id"), F.col("owner").alias("class"), F.shiftright("key", ORDER_BITS).alias("n")
     )
-    met = [meeting(shared, order, percent) for order in range(ORDERS)]
+    shares = common(shared)
+    met = [meeting(shared, order, percent, shares) for order in range(ORDERS)]
 
     def candidates(pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
         found = pairs(met[0])

@@ -224,6 +224,33 @@ def test_near_duplicates(spark, corpus, width, percent):
     assert {r["doc_id"] for r in left.collect()} - {None, 10} == {c for d, c in least.items() if d != 10} - {10}
 
 
+def test_a_far_copy_does_not_lead_a_hot_group(spark, monkeypatch):
+    """A copy with three edits has no prefix token of its own, since another one was made from it; it is far from most others."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+
+    def edited(w, *places):
+        return [f"{w[i]}e{rng.randrange(10**9)}" if i in places else w[i] for i in range(len(w))]
+
+    copies = [edited(base, *rng.sample(range(5, 145), 1 + (i % 10 == 0))) for i in range(80)]
+    far = edited(base, 30, 70, 110)
+    rows = [(i, " ".join(w)) for i, w in enumerate([*copies, far, edited(far, 130)])]
+    made, write = [], ngram_join.staged
+
+    def staged(df, label, *more, **named):
+        out = write(df, label, *more, **named)
+        made.extend([out.count()] if label in ("led", "apart", "rest") else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", staged)
+    found = rows_of(ngram_join.near_duplicates(frame(spark, rows), 5, 80))
+    sets = [(d, shingles(t, 5)) for d, t in rows]
+    links = [(a, b) for a, x in sets for b, y in sets[:a] if 100 * len(x & y) >= 80 * len(x | y)]
+    least = brute_components(range(len(rows)), links)
+    assert found == sorted(((d, len(s), least[d]) for d, s in sets), key=repr)
+    assert sum(made) < 5 * len(rows)
+
+
 def test_no_near_duplicates(spark):
     assert rows_of(ngram_join.near_duplicates(frame(spark, []))) == []
     assert rows_of(ngram_join.near_duplicates(frame(spark, [(1, None), (2, "")]))) == [(1, 0, 1), (2, 0, 2)]
